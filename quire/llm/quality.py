@@ -161,7 +161,9 @@ def judged(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that neither the base limits nor the learned list reject."""
-    return judged(docs, fit(docs, labels, id_col, text_col), text_col).where("q_kept").select(*docs.columns)
+    out = judged(docs, fit(docs, labels, id_col, text_col), text_col)
+    # the row number is a barrier: pushed below the statistics, the filter would repeat them inside each other
+    return out.withColumn("q_row", F.monotonically_increasing_id()).where(F.col("q_kept") & (F.col("q_row") >= 0)).select(*docs.columns)
 
 
 def digest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
