@@ -17,55 +17,88 @@ TIERS = (256, 512, 1024, 2048)
 #: Tokens that a task gathers before it packs them, and sequences of a step group.
 POOL, GROUP = 2_000_000, 16
 #: Distinct pieces of text whose ids a worker remembers.
-PIECES = 300_000
+PIECES = 800_000
 
 # Ids of a text are those of its pieces, and pieces never cross these cuts: a run without white space with at
 # most one space before it, or white space.  Texts with other white space than ASCII's go to the tokenizer whole.
 _PIECE = re.compile(rb" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_HINTS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2", b"\xe1\x9a\x80", b"\xe2", b"\xe3\x80\x80")
+# Texts without these have single spaces and line ends only, and are cut by splitting.
+_UNEVEN = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x00")
 
 
 class Ids:
-    """Token ids of UTF-8 texts, through a bounded memory of pieces."""
+    """Token ids of UTF-8 texts, through a bounded memory of pieces.
+
+    Keys are pieces without their space; a piece without one has a zero byte in front, white space is as it is.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.clear()
+
+    def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat, self.start, self.length = np.empty(1 << 20, np.uint32), [], []
+        self.flat, self.starts, self.lengths = np.empty(1 << 18, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False), strict=True):
-            ids = got.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.known[piece] = len(self.start)
-            self.start.append(self.used)
-            self.length.append(len(ids))
-            self.used += len(ids)
+    def _keep(self, keys: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = len(self.known), len(keys)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + m > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.lengths[n : n + m] = lengths
+        self.starts[n : n + m] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat)
+        self.known.update(zip(keys, range(n, n + m), strict=True))
+
+    def _learn(self, keys: list[bytes]) -> None:
+        """Pieces without white space are tokenized many at a time, a line each; no id but the line end's holds one."""
+        plain, rest = [], []
+        for k in keys:
+            (plain if len(self.line_end) == 1 and k and k[0] > 32 else rest).append(k)
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            got = np.array(self.tokenizer.encode("".join(f"\n {k.decode()}" for k in part) + "\n", add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(got == self.line_end[0])
+            if len(ends) != len(part) + 1:  # never seen; piece by piece is always right
+                rest += part
+                continue
+            self._keep(part, got[got != self.line_end[0]], np.diff(ends) - 1)
+        for k in rest:
+            piece = k[1:] if k[:1] == b"\0" else k if k[:1] in (b"", b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r") else b" " + k
+            got = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids if piece else [], np.uint32)
+            self._keep([k], got, np.array([len(got)]))
+
+    @staticmethod
+    def keys(text: bytes) -> list[bytes]:
+        if any(x in text for x in _UNEVEN):
+            return [p[1:] if p[0] == 32 and len(p) > 1 and p[1] > 32 else p if p[0] <= 32 and p[:1].isspace() else b"\0" + p for p in _PIECE.findall(text)]
+        return (b"\0" + text.replace(b"\n", b" \n \0")).split(b" ")
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.known) > PIECES:
-            self.known.clear(), self.start.clear(), self.length.clear()
-            self.used = 0
-        plain = [not _OTHER_SPACE.search(t) and not any(s in t for s in self.specials) for t in texts]
-        cut = [_PIECE.findall(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        self._learn([p for p in {p for pieces in cut for p in pieces} if p not in self.known])
-        starts, lengths, known = np.array(self.start, np.int64), np.array(self.length, np.int64), self.known
-        out = []
-        for text, ok, pieces in zip(texts, plain, cut, strict=True):
+            self.clear()
+        plain = [not any(s in t for s in self.specials) and not (any(x in t for x in _HINTS) and _OTHER_SPACE.search(t)) for t in texts]
+        cut = [self.keys(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        self._learn([k for k in set().union(*cut) if k not in self.known])
+        out, known = [], self.known
+        for text, ok, keys in zip(texts, plain, cut, strict=True):
             if not ok:
                 out.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32))
                 continue
-            at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-            n = lengths[at]
+            at = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+            n = self.lengths[at]
             ends = np.cumsum(n)
-            out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)])
+            out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - n), n)])
         return out
 
 
@@ -111,7 +144,6 @@ class Packer:
             window, above = self.tiers[k], self.tiers[k - 1] if k else 0
             lengths = sorted(self.by_length)  # kept in step with by_length below
             while lengths and lengths[-1] > above and self.waiting >= window:
-                first = lengths[-1]
                 made, room = [], window
                 while room:
                     i = bisect.bisect_right(lengths, room) - 1
@@ -130,7 +162,6 @@ class Packer:
                     if lengths[i] not in self.by_length:
                         lengths.pop(i)
                 self.done.append(made)
-                del first
 
     def close(self) -> None:
         """Cut the left-over, which fills no window, into sequences whose lengths are powers of two: no padding."""
