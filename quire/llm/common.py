@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -38,13 +39,27 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> None:
+    """Free what finished steps leave behind: the files of the given scratch tables and unreachable shuffles."""
+    for df in frames:
+        for path in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+            for held in [x for x in _written if x[1].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]]:
+                _delete(*held)
+                _written.remove(held)
+    gc.collect()
+    SparkSession.getActiveSession().sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; whoever owns the folder clears it
             return
 

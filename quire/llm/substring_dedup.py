@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordIds, hashed_words, mixed, row_key, scratch
+from quire.llm.common import WordIds, hashed_words, mixed, release, row_key, scratch
 
 #: Words of the anchors that index blocks.
 ANCHOR = 10
@@ -128,17 +128,20 @@ def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).cast("binary").alias("t"))
     rows = scratch(_block_rows(slim, window), "blocks")
     key = ["anchor", "block", "n"]
-    index = scratch(rows.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last")), "index")
-    copied = rows.join(index.where("last > first").select(*key, "first").hint("merge"), key).where("id > first").select("id", "rk", "start", "n")
-    parted = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("anchor")
-    edges = index.select(*key, "first").join(parted.hint("merge"), "anchor")
-    asked = rows.join(edges.hint("merge"), key).where("id = first")
-    listed = asked.groupBy("id", "rk").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("open"))
-    named = listed.withColumnRenamed("id", "q_id")
-    checked = slim.join(named.hint("shuffle_hash"), (slim["rk"] == named["rk"]) & (slim["id"] == named["q_id"])).select(slim["id"], slim["rk"], "t", "open")
-    windows = _window_rows(checked, window)
-    found = windows.withColumn("first", F.min("id").over(Window.partitionBy("hash", "anchor"))).where("id > first")
-    single = found.select("id", "rk", F.col("at").alias("start"), F.lit(window).cast("long").alias("n"))
+    index = rows.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    index = index.withColumn("parted", F.count(F.lit(1)).over(Window.partitionBy("anchor")) > 1).where("parted or last > first")
+    index = scratch(index.select(*key, "first", "parted"), "index")
+    met = rows.join(index.hint("merge"), key).where("id > first or parted")
+    met = scratch(met.select("id", "rk", "start", "n", F.when(F.col("id") == F.col("first"), F.col("anchor")).alias("anchor")), "met")
+    release(rows, index)
+    copied = met.where("anchor is null").select("id", "rk", "start", "n")
+    listed = met.where("anchor is not null").groupBy("id", "rk").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("open"))
+    named = listed.withColumnRenamed("id", "q_id").withColumnRenamed("rk", "q_rk")
+    checked = slim.join(named.hint("shuffle_hash"), (F.col("rk") == F.col("q_rk")) & (F.col("id") == F.col("q_id"))).select("id", "rk", "t", "open")
+    found = _window_rows(checked, window).withColumn("first", F.min("id").over(Window.partitionBy("hash", "anchor"))).where("id > first")
+    single = scratch(found.select("id", "rk", F.col("at").alias("start"), F.lit(window).cast("long").alias("n")), "windows")
+    del checked, found
+    release()
     return copied.unionByName(single)
 
 
