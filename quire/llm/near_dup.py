@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordIds, hashed_words, mixed, scratch
+from quire.llm.common import WordIds, hashed_words, mixed, release, scratch
 from quire.llm.graph import components
 
 #: Coordinates of a signature.  Two sets of similarity 0.85 agree in 54 of them on average, and in fewer than
@@ -177,11 +177,39 @@ def _best_partners(postings: DataFrame, match: int, similarity: int) -> DataFram
     return pairs.groupBy("b").agg(F.max(F.struct("m", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
 
 
-def _other_pairs(postings: DataFrame, reached: DataFrame, match: int, similarity: int) -> DataFrame:
-    """All pairs of different components that agree in enough values and share a posting.
+def _joins(one: dict, two: dict, counts: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """Links that join components of two blocks, best matches first; pairs that are joined already are passed over."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    found = []
+    x, y = np.nonzero(counts)
+    for k in np.argsort(-counts[x, y].astype(np.int64), kind="stable").tolist():
+        i, j = int(x[k]), int(y[k])
+        p, q = find(int(one["component"][i])), find(int(two["component"][j]))
+        if p == q:
+            continue
+        both = np.concatenate([one["brief"][i], two["brief"][j]])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        if 100 * common >= similarity * (len(both) - common):
+            root[max(p, q)] = min(p, q)
+            found.append((int(one["id"][i]), int(two["id"][j])))
+    return found
+
+
+def _other_links(postings: DataFrame, reached: DataFrame, sets: DataFrame, match: int, similarity: int) -> DataFrame:
+    """Links between different components: every pair that agrees in enough values and shares a posting is looked at.
 
     Postings inside one component are done and go.  Of the others, blocks meet blocks; each pair of blocks is a
-    group of its own, so a long posting is dealt over many tasks.
+    group of its own, so a long posting is dealt over many tasks.  The sets come along, as 32-bit hashes, which
+    can only add matches; a block gives the links that join its components, no more of them than members, and
+    not its pairs.
     """
     named = postings.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = scratch(named, "postings")
@@ -194,19 +222,21 @@ def _other_pairs(postings: DataFrame, reached: DataFrame, match: int, similarity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _runs(batches, ["value", "i", "j"]):
             members = _members(parts, ["id", "n", "component", "block", "i", "j"])
+            members["brief"] = np.array([np.frombuffer(x, np.uint32) for p in parts for x in p.column(p.schema.get_field_index("brief")).to_pylist()] + [None], object)[:-1]
             same = members["i"][0] == members["j"][0]
             left = members["block"] == members["i"][0]
             one = {k: v[left] for k, v in members.items()}
             two = one if same else {k: v[~left] for k, v in members.items()}
-            m = _agree(one, two, match, similarity)
-            m[one["component"][:, None] == two["component"][None, :]] = 0
-            x, y = np.nonzero(m)
-            a, b = one["id"][x], two["id"][y]
-            keep = (a < b) if same else np.ones(len(a), bool)
-            a, b = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    ordered = dealt.select("value", "i", "j", "block", "id", "n", "small", "component").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "id")
+            counts = _agree(one, two, match, similarity)
+            counts[one["component"][:, None] == two["component"][None, :]] = 0
+            if same:
+                counts[np.tril_indices(len(counts))] = 0
+            found = _joins(one, two, counts, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
+
+    brief = sets.select("id", "brief")
+    rows = dealt.select("value", "i", "j", "block", "id", "n", "small", "component").join(brief, "id")
+    ordered = rows.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "id")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -220,9 +250,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(at, 512)
                 sets = shingle_sets(part.column(1).to_pylist(), ids, width)
                 marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks[:, 0]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "h1", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks[:, 0]), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.sort((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], names=["id", "h1", "shingles", "brief"])
 
-    return docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id bigint, h1 bigint, shingles binary")
+    return docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id bigint, h1 bigint, shingles binary, brief binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -250,8 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are one class, which its smallest id stands for.  Classes are posted under their signature's
     coordinate values; prefixes and match counts leave the pairs worth comparing.  First each class is compared,
     on full sets, with the partner that matches it best; that joins most of a group of near copies without its
-    pairs.  Then every remaining pair of different components with enough matches is compared, so no link
-    between components is lost except to the match count's tail.
+    pairs.  Then every remaining pair of different components with enough matches is looked at, block by block,
+    so no link between components is lost except to the match count's tail; what is found is confirmed on full sets.
 
     Null and blank texts have no shingles and stand alone, as do rows without id (component null).  Rows that
     share an id are one document.  An empty table gives an empty one; texts are read whole.
@@ -263,13 +293,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = firsts.select(F.col("first").alias("id"), "h1", "h2")
     classes = scratch(sound.join(keys.hint("merge"), ["id", "h1", "h2"]).dropDuplicates(["id"]).select("id", "n", "sig", "small"), "classes")
     postings = scratch(_postings(classes, match), "prefixes")
+    release(classes)
     best = scratch(_best_partners(postings, match, similarity), "best")
     wanted = postings.select("id").distinct()
     own = _sets(slim.where("id is not null"), wanted, width).join(keys.select("id", "h1").hint("merge"), ["id", "h1"]).dropDuplicates(["id"])
-    sets = scratch(own.select("id", "shingles"), "sets")
+    sets = scratch(own.select("id", "shingles", "brief"), "sets")
     links = scratch(_linked(best, sets, similarity), "links")
+    release(best)
     reached = components(links)
-    rest = scratch(_other_pairs(postings, reached, match, similarity), "rest")
+    rest = scratch(_other_links(postings, reached, sets, match, similarity), "rest")
     if not rest.isEmpty():
         more = scratch(_linked(rest, sets, similarity), "more")
         if not more.isEmpty():
