@@ -17,7 +17,7 @@ TIERS = (256, 512, 1024, 2048)
 #: Tokens that a task gathers before it packs them, and sequences of a step group.
 POOL, GROUP = 2_000_000, 16
 #: Distinct pieces of text whose ids a worker remembers.
-PIECES = 800_000
+PIECES = 1_500_000
 
 # Ids of a text are those of its pieces, and pieces never cross these cuts: a run without white space with at
 # most one space before it, or white space.  Texts with other white space than ASCII's go to the tokenizer whole.
@@ -73,7 +73,7 @@ class Ids:
                 continue
             self._keep(part, got[got != self.line_end[0]], np.diff(ends) - 1)
         for k in rest:
-            piece = k[1:] if k[:1] == b"\0" else k if k[:1] in (b"", b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r") else b" " + k
+            piece = k[1:] if k[:1] == b"\0" else b" " if not k else k if k[:1] in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r") else b" " + k
             got = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids if piece else [], np.uint32)
             self._keep([k], got, np.array([len(got)]))
 
