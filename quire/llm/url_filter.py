@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,8 @@ PATHS = ("/en/12", "/de/345/", "/fr/67.html", "/es/890?page=2&ref=x", "/en/404#t
 
 def labelled(spark: SparkSession) -> DataFrame:
     """(url, label): 1 is unwanted.  Each name comes with every prefix, endings and paths in turn."""
-    rows = [(f"https://{p}{name}.{ENDINGS[(i + j) % 3]}{PATHS[(i + j) % 6]}", label) for label, names in ((1, UNWANTED), (0, ORDINARY)) for i, name in enumerate(names) for j, p in enumerate(PREFIXES)]
-    return spark.createDataFrame(rows, "url string, label int")
+    rows = [{"url": f"https://{p}{name}.{ENDINGS[(i + j) % 3]}{PATHS[(i + j) % 6]}", "label": label} for label, names in ((1, UNWANTED), (0, ORDINARY)) for i, name in enumerate(names) for j, p in enumerate(PREFIXES)]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<url:string,label:int>>")))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
