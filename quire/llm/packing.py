@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
@@ -26,6 +27,15 @@ _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x
 _HINTS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2", b"\xe1\x9a\x80", b"\xe2", b"\xe3\x80\x80")
 # Texts without these have single spaces and line ends only, and are cut by splitting.
 _UNEVEN = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x00")
+# A word of letters and the marks after it are two pre-tokens of byte-level BPE.  An apostrophe may start a third.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level BPE writes for each byte: itself where it prints, else the next free one."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Ids:
@@ -40,12 +50,19 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.bytes = _byte_letters()
+        parts = json.loads(self.tokenizer.to_str())
+        before, model = parts["pre_tokenizer"] or {}, parts["model"]
+        unusual = model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges")
+        #: whether words can go to the model at once, past the pre-tokenizer's pattern
+        self.direct = not parts["normalizer"] and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model["type"] == "BPE" and not unusual
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.starts, self.lengths = np.empty(1 << 18, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.used = 0
+        self.marks: dict[str, tuple[int, ...]] = {}
 
     def _keep(self, keys: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
         n, m = len(self.known), len(keys)
@@ -59,10 +76,49 @@ class Ids:
         self.used += len(flat)
         self.known.update(zip(keys, range(n, n + m), strict=True))
 
+    def _words(self, keys: list[bytes]) -> list[bytes]:
+        """Learn the pieces that are a word of Latin letters with marks after it, at most; returns the others.
+
+        The model gets the word with its space, and the marks, without the pre-tokenizer.
+        """
+        if not self.direct:
+            return keys
+        model, space, got, lengths, learnt, others = self.tokenizer.model, self.bytes[32], [], [], [], []
+        stems: dict[bytes, tuple[int, ...]] = {}
+        known, tokenize, made = self.known, model.tokenize, self.marks
+        for k in keys:
+            text = k.decode()
+            stem = text.rstrip(_MARKS)
+            bare = stem[:1] == "\0"
+            word = stem[1:] if bare else stem
+            if not word.isalpha() or not (plain := word.isascii()) and max(word) >= "\u0250":
+                others.append(k)
+                continue
+            if len(stem) == len(text):
+                whole, tail = k, ()
+            else:
+                marks = text[len(stem) :]
+                whole = k[: -len(marks)]
+                if (tail := made.get(marks)) is None:
+                    tail = made[marks] = tuple([t.id for t in tokenize(marks)])
+            if (ids := stems.get(whole)) is None:
+                if tail and (at := known.get(whole)) is not None:
+                    ids = self.flat[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
+                else:
+                    written = word if plain else word.encode().decode("latin-1").translate(self.bytes)
+                    ids = [t.id for t in tokenize(written if bare else space + written)]
+                stems[whole] = ids = tuple(ids)
+            got += ids
+            got += tail
+            lengths.append(len(ids) + len(tail))
+            learnt.append(k)
+        self._keep(learnt, np.array(got, np.uint32), np.array(lengths, np.int64))
+        return others
+
     def _learn(self, keys: list[bytes]) -> None:
         """Pieces without white space are tokenized many at a time, a line each; no id but the line end's holds one."""
         plain, rest = [], []
-        for k in keys:
+        for k in self._words(keys):
             (plain if len(self.line_end) == 1 and k and k[0] > 32 else rest).append(k)
         for at in range(0, len(plain), 1000):
             part = plain[at : at + 1000]
