@@ -16,8 +16,8 @@ from quire.llm.graph import components
 #: Coordinates of a signature.  Two sets of similarity 0.85 agree in 54 of them on average, and in fewer than
 #: MATCH with a probability below 4e-5 (binomial tail); the match count only chooses what is compared exactly.
 COORDINATES, MATCH = 64, 42
-#: Postings of one coordinate value that are compared at once.
-BLOCK = 512
+#: Postings of one coordinate value that are compared at once, and those that a task gathers.
+BLOCK, GATHERED = 512, 4096
 
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,7 +84,7 @@ def _postings(classes: DataFrame, match: int) -> DataFrame:
     values = classes.select("id", F.explode("sig").alias("value")).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("held > 1")
     prefix = values.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("shared")).where(F.size("shared") >= match)
     prefix = prefix.select("id", F.slice("shared", F.lit(1), F.size("shared") - (match - 1)).alias("first"))
-    return prefix.join(classes.select("id", "n", "small"), "id").select(F.explode("first.value").alias("value"), "id", "n", "small")
+    return prefix.join(classes.select("id", "n", "small"), "id").select(F.explode("first").alias("first"), "id", "n", "small").select("first.value", "first.held", "id", "n", "small")
 
 
 def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -140,7 +140,9 @@ def _slice(m: dict, a: int, b: int) -> dict:
 def _best_partners(postings: DataFrame, match: int, similarity: int) -> DataFrame:
     """For each class the partner that agrees in most values, among neighbours in its postings: (a, b, m), a row for each b.
 
-    Long postings are streamed in blocks; each block meets itself and the posting's first block.
+    A posting of more than GATHERED classes is dealt by their ids to parts of about so many, each with the posting's
+    smallest class, so a value that very many classes share is spread over tasks.  A part's blocks meet themselves
+    and its first block.  What the parts do not link, the second step does.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +163,7 @@ def _best_partners(postings: DataFrame, match: int, similarity: int) -> DataFram
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [[], [], []])], names=["a", "b", "m"])
 
-        for parts in _runs(batches, ["value"]):
+        for parts in _runs(batches, ["value", "part"]):
             members = _members(parts, ["id", "n"])
             for at in range(0, len(members["id"]), BLOCK):
                 block = _slice(members, at, at + BLOCK)
@@ -172,7 +174,11 @@ def _best_partners(postings: DataFrame, match: int, similarity: int) -> DataFram
                 yield out()
         yield out()
 
-    ordered = postings.repartition("value").sortWithinPartitions("value", "n", "id")
+    parts = F.ceil(F.col("held") / GATHERED)
+    dealt = postings.withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    leads = postings.where(F.col("held") > GATHERED).groupBy("value").agg(F.max("held").alias("held"), F.min(F.struct("n", "id", "small")).alias("x"))
+    leads = leads.select("value", "held", "x.id", "x.n", "x.small", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    ordered = dealt.unionByName(leads).drop("held").repartition("value", "part").sortWithinPartitions("value", "part", "n", "id")
     pairs = ordered.mapInArrow(run, "a bigint, b bigint, m bigint")
     return pairs.groupBy("b").agg(F.max(F.struct("m", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
 
@@ -206,18 +212,22 @@ def _joins(one: dict, two: dict, counts: np.ndarray, similarity: int) -> list[tu
 def _other_links(postings: DataFrame, reached: DataFrame, sets: DataFrame, match: int, similarity: int) -> DataFrame:
     """Links between different components: every pair that agrees in enough values and shares a posting is looked at.
 
-    Postings inside one component are done and go.  Of the others, blocks meet blocks; each pair of blocks is a
-    group of its own, so a long posting is dealt over many tasks.  The sets come along, as 32-bit hashes, which
-    can only add matches; a block gives the links that join its components, no more of them than members, and
-    not its pairs.
+    Postings inside one component are done and go.  In the others, the classes of the posting's main component
+    need not meet each other: blocks of the rest meet all blocks, so the work grows with the rest and not with the
+    square of a large group.  Each pair of blocks is a group of its own, so a long posting is dealt over many
+    tasks.  The sets come along, as 32-bit hashes, which can only add matches; a block gives the links that join
+    its components, no more of them than members, and not its pairs.
     """
     named = postings.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = scratch(named, "postings")
-    mixed_ones = named.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
-    open_ones = named.join(mixed_ones.hint("merge"), "value")
-    place = (F.row_number().over(Window.partitionBy("value").orderBy("n", "id")) - 1).cast("long")
-    blocked = open_ones.withColumn("place", place).withColumn("block", F.expr(f"place div {BLOCK}")).withColumn("blocks", F.expr(f"(count(1) over (partition by value) + {BLOCK - 1}) div {BLOCK}")).drop("place")
-    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    counted = named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("n_in"))
+    sides = counted.groupBy("value").agg(F.max(F.struct("n_in", "component")).alias("x"), F.sum("n_in").alias("n_all"))
+    sides = sides.where("n_all > x.n_in").select("value", F.col("x.component").alias("main"), (F.col("n_all") <= BLOCK).alias("few"), F.ceil(F.col("x.n_in") / BLOCK).alias("m"), F.ceil((F.col("n_all") - F.col("x.n_in")) / BLOCK).alias("r"))
+    open_ones = named.join(sides.hint("merge"), "value")
+    in_main, zero = F.col("component") == F.col("main"), F.lit(0).cast("long")
+    block = F.when(F.col("few"), zero).when(in_main, F.pmod(F.xxhash64("id"), "m")).otherwise(F.col("m") + F.pmod(F.xxhash64("id"), "r"))
+    others = F.when(F.col("few"), F.array(zero)).when(in_main, F.sequence("m", F.col("m") + F.col("r") - 1)).otherwise(F.sequence(zero, F.col("m") + F.col("r") - 1))
+    dealt = open_ones.withColumn("block", block).withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _runs(batches, ["value", "i", "j"]):
