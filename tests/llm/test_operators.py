@@ -33,6 +33,26 @@ def test_near(docs):
     assert found == brute.near(list(enumerate(TEXTS)))
 
 
+def test_near_in_small_blocks(docs, monkeypatch):
+    """Postings longer than a block and than a task gathers give the same components."""
+    monkeypatch.setattr(near_dup, "BLOCK", 2)
+    monkeypatch.setattr(near_dup, "GATHERED", 3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.digest(docs).collect()}
+    assert found == brute.near(list(enumerate(TEXTS)))
+
+
+def test_ids_are_the_tokenizers():
+    """Ids by pieces equal those of whole texts: apostrophes, marks, letters of other scripts, specials, zero bytes."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["don't it's we'll. a_b __x__ \u00aa\u00ba. \u0250x. na\u00efve... O'Neil's; x\u0301y. caf\u00e9!? \u00df.", "\n\nfoo. <|endoftext|> bar\0baz", "\0abc. \0\0d", "<b>hi</b> word'. word.' 'word", " lead", "trail ", "\u01c5e. \u02b0h", "foo foo. foo, foo"]
+    whole, ids = Tokenizer.from_file(path), packing.Ids(path)
+    for found, text in zip(ids.of([t.encode() for t in texts]), texts, strict=True):
+        assert found.tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_substrings(docs):
     found = sorted(map(tuple, substring_dedup.digest(docs).collect()))
     assert found == sorted(brute.substrings(list(enumerate(TEXTS))))
