@@ -75,16 +75,17 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame, match: int) -> DataFrame:
-    """Classes under their prefix of coordinate values, rarest first.
+    """Classes under their prefix of coordinate values, rarest first; ``bits`` marks the coordinates a class posts.
 
     Two signatures that agree in ``match`` of 64 values share one of the first 64 - match + 1 of either, in any
     common order.  Values that nobody shares come first in that order and need no posting, so a class with s
     shared values has s - match + 1 postings, and none if s is less than ``match``.
     """
-    values = classes.select("id", F.explode("sig").alias("value")).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("held > 1")
-    prefix = values.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("shared")).where(F.size("shared") >= match)
+    values = classes.select("id", F.posexplode("sig").alias("k", "value")).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("held > 1")
+    prefix = values.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "value", "k"))).alias("shared")).where(F.size("shared") >= match)
     prefix = prefix.select("id", F.slice("shared", F.lit(1), F.size("shared") - (match - 1)).alias("first"))
-    return prefix.join(classes.select("id", "n", "small"), "id").select(F.explode("first").alias("first"), "id", "n", "small").select("first.value", "first.held", "id", "n", "small")
+    prefix = prefix.withColumn("bits", F.expr("aggregate(first, 0L, (s, x) -> s | shiftleft(1L, x.k))"))
+    return prefix.join(classes.select("id", "n", "small"), "id").select(F.explode("first").alias("first"), "bits", "id", "n", "small").select("first.value", "first.held", "bits", "id", "n", "small")
 
 
 def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,7 +176,7 @@ def _best_partners(postings: DataFrame, match: int, similarity: int) -> DataFram
         yield out()
 
     parts = F.ceil(F.col("held") / GATHERED)
-    dealt = postings.withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    dealt = postings.drop("bits").withColumn("part", F.pmod(F.xxhash64("id"), parts))
     leads = postings.where(F.col("held") > GATHERED).groupBy("value").agg(F.max("held").alias("held"), F.min(F.struct("n", "id", "small")).alias("x"))
     leads = leads.select("value", "held", "x.id", "x.n", "x.small", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     ordered = dealt.unionByName(leads).drop("held").repartition("value", "part").sortWithinPartitions("value", "part", "n", "id")
@@ -183,40 +184,61 @@ def _best_partners(postings: DataFrame, match: int, similarity: int) -> DataFram
     return pairs.groupBy("b").agg(F.max(F.struct("m", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
 
 
-def _joins(one: dict, two: dict, counts: np.ndarray, similarity: int) -> list[tuple[int, int]]:
-    """Links that join components of two blocks, best matches first; pairs that are joined already are passed over."""
-    root: dict[int, int] = {}
+def _owned(value: int, one: dict, two: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs (x, y) this posting looks at: those whose first coordinate that both post and agree in is its own."""
+    keep = np.zeros(len(x), bool)
+    for at in range(0, len(x), 16384):
+        i, j = x[at : at + 16384], y[at : at + 16384]
+        shared = (one["sig"][i] == two["sig"][j]) & one["posted"][i] & two["posted"][j]
+        keep[at : at + 16384] = one["sig"][i, shared.argmax(axis=1)] == value
+    return keep
+
 
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
+def _joins(one: dict, two: dict, x: np.ndarray, y: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """Links among the pairs (x, y) that join components; pairs that are joined already are passed over.
+
+    A set's shingles are flagged once, and the sets of all its partners are counted against the flags.
+    """
+    root: dict[int, int] = {}
 
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    left, right = np.unique(x), np.unique(y)
+    sets = [*one["set"][left], *two["set"][right]]
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    parts = np.split(ids, np.cumsum([len(s) for s in sets])[:-1])
+    theirs = dict(zip(right.tolist(), parts[len(left) :], strict=True))
+    flags = np.zeros(ids.max() + 1, np.int32)
     found = []
-    x, y = np.nonzero(counts)
-    for k in np.argsort(-counts[x, y].astype(np.int64), kind="stable").tolist():
-        i, j = int(x[k]), int(y[k])
-        p, q = find(int(one["component"][i])), find(int(two["component"][j]))
-        if p == q:
+    for i, mine in zip(left.tolist(), parts, strict=False):
+        own = find(int(one["component"][i]))
+        js = [j for j in y[x == i].tolist() if find(int(two["component"][j])) != own]
+        if not js:
             continue
-        both = np.concatenate([one["brief"][i], two["brief"][j]])
-        both.sort()
-        common = int((both[1:] == both[:-1]).sum())
-        if 100 * common >= similarity * (len(both) - common):
-            root[max(p, q)] = min(p, q)
-            found.append((int(one["id"][i]), int(two["id"][j])))
+        sizes = np.array([len(theirs[j]) for j in js])
+        flags[mine] = 1
+        common = np.add.reduceat(flags[np.concatenate([theirs[j] for j in js])], np.cumsum(sizes) - sizes)
+        flags[mine] = 0
+        for k in np.flatnonzero(100 * common >= similarity * (len(mine) + sizes - common)).tolist():
+            p, q = find(own), find(int(two["component"][js[k]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                found.append((int(one["id"][i]), int(two["id"][js[k]])))
     return found
 
 
-def _other_links(postings: DataFrame, reached: DataFrame, sets: DataFrame, match: int, similarity: int) -> DataFrame:
-    """Links between different components: every pair that agrees in enough values and shares a posting is looked at.
+def _other_links(postings: DataFrame, reached: DataFrame, sets: DataFrame, match: int, similarity: int, full: bool = False) -> DataFrame:
+    """Links between different components: every pair that agrees in enough values is looked at in one of its postings.
 
     Postings inside one component are done and go.  In the others, the classes of the posting's main component
     need not meet each other: blocks of the rest meet all blocks, so the work grows with the rest and not with the
     square of a large group.  Each pair of blocks is a group of its own, so a long posting is dealt over many
-    tasks.  The sets come along, as 32-bit hashes, which can only add matches; a block gives the links that join
-    its components, no more of them than members, and not its pairs.
+    tasks.  The sets come along, as 32-bit hashes unless ``full``; a block gives the links that join its
+    components, no more of them than members, and not its pairs.
     """
     named = postings.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = scratch(named, "postings")
@@ -231,8 +253,7 @@ def _other_links(postings: DataFrame, reached: DataFrame, sets: DataFrame, match
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _runs(batches, ["value", "i", "j"]):
-            members = _members(parts, ["id", "n", "component", "block", "i", "j"])
-            members["brief"] = np.array([np.frombuffer(x, np.uint32) for p in parts for x in p.column(p.schema.get_field_index("brief")).to_pylist()] + [None], object)[:-1]
+            members = _members(parts, ["id", "n", "component", "bits", "block", "i", "j"])
             same = members["i"][0] == members["j"][0]
             left = members["block"] == members["i"][0]
             one = {k: v[left] for k, v in members.items()}
@@ -241,17 +262,28 @@ def _other_links(postings: DataFrame, reached: DataFrame, sets: DataFrame, match
             counts[one["component"][:, None] == two["component"][None, :]] = 0
             if same:
                 counts[np.tril_indices(len(counts))] = 0
-            found = _joins(one, two, counts, similarity)
+            x, y = np.nonzero(counts)
+            if not len(x):
+                continue
+            table = pa.Table.from_batches(parts)
+            value = table.column("value")[0].as_py()
+            members["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int64).reshape(-1, COORDINATES)
+            members["posted"] = (members["bits"][:, None] >> np.arange(COORDINATES)) & 1 == 1
+            members["set"] = np.array([np.frombuffer(s, np.uint64 if full else np.uint32) for s in table.column("shingles").to_pylist()] + [None], object)[:-1]
+            one = {k: v[left] for k, v in members.items()}
+            two = one if same else {k: v[~left] for k, v in members.items()}
+            own = _owned(value, one, two, x, y)
+            found = _joins(one, two, x[own], y[own], similarity) if own.any() else []
             yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
 
-    brief = sets.select("id", "brief")
-    rows = dealt.select("value", "i", "j", "block", "id", "n", "small", "component").join(brief, "id")
+    shapes = sets.select("id", "sig", F.col("shingles" if full else "brief").alias("shingles"))
+    rows = dealt.select("value", "i", "j", "block", "id", "n", "bits", "small", "component").join(shapes, "id")
     ordered = rows.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "id")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The full sets of the wanted classes' first documents."""
+    """The full sets and signatures of the wanted classes' first documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -260,9 +292,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(at, 512)
                 sets = shingle_sets(part.column(1).to_pylist(), ids, width)
                 marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks[:, 0]), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.sort((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], names=["id", "h1", "shingles", "brief"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks[:, 0]), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.sort((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["id", "h1", "shingles", "brief", "sig"])
 
-    return docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id bigint, h1 bigint, shingles binary, brief binary")
+    return docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id bigint, h1 bigint, shingles binary, brief binary, sig binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -307,15 +339,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = scratch(_best_partners(postings, match, similarity), "best")
     wanted = postings.select("id").distinct()
     own = _sets(slim.where("id is not null"), wanted, width).join(keys.select("id", "h1").hint("merge"), ["id", "h1"]).dropDuplicates(["id"])
-    sets = scratch(own.select("id", "shingles", "brief"), "sets")
+    sets = scratch(own.select("id", "shingles", "brief", "sig"), "sets")
     links = scratch(_linked(best, sets, similarity), "links")
     release(best)
     reached = components(links)
-    rest = scratch(_other_links(postings, reached, sets, match, similarity), "rest")
-    if not rest.isEmpty():
+    for full in (False, True):
+        rest = scratch(_other_links(postings, reached, sets, match, similarity, full), "rest")
         more = scratch(_linked(rest, sets, similarity), "more")
-        if not more.isEmpty():
-            reached = components(links.unionByName(more))
+        known, found = rest.count(), more.count()
+        if found:
+            links = links.unionByName(more)
+            reached = components(links)
+        if found == known:  # else 32 bits have taken two shingles for one, and may have hidden a link behind that
+            break
     named = firsts.join(reached.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left").select("h1", "h2", F.coalesce("component", "first").alias("component"))
     found = sound.select("id", "n", "h1", "h2").join(named.hint("merge"), ["h1", "h2"]).select("id", "n", "component")
     alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
