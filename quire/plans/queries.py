@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import geometry, text
+from quire.functions import forms, geometry, text
 from quire.functions.geometry import Box
-from quire.operators import boxes, metrics, records, sequences
+from quire.operators import boxes, layout, metrics, records, sequences
 
 EVENTS = ("view", "click", "signup", "purchase", "error")
 _EVENTS_SQL = "list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type) - 1"
@@ -306,3 +306,40 @@ def alphanumeric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("escaped_texts", """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS safe FROM pages""")
 def escaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", text.escaped(F.col("html")).alias("safe"))
+
+
+_NEAR = """met AS (SELECT a.page_id, a.box_id AS a, b.box_id AS b, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
+FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.box_id < b.box_id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2),
+e AS (SELECT page_id, a, b FROM met WHERE i / CAST(s - i AS DOUBLE) >= 0.3)"""
+
+
+@_query("linked_boxes", f"""WITH RECURSIVE {_BOXES}, {_NEAR}, d AS (SELECT page_id, a, b FROM e UNION ALL SELECT page_id, b, a FROM e),
+r AS (SELECT page_id, a AS node, a AS seen FROM d UNION SELECT r.page_id, r.node, d.b FROM r JOIN d ON d.page_id = r.page_id AND d.a = r.seen)
+SELECT page_id, node, min(seen) AS root FROM r GROUP BY page_id, node""")
+def linked_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda p: page_boxes(spark, sf_dir).select("page_id", *[F.col(c).alias(f"{p}{c}") for c in ("box_id", "x1", "y1", "x2", "y2")])
+    one, two = Box.of("a_"), Box.of("b_")
+    met = side("a_").join(side("b_"), "page_id").where((F.col("a_box_id") < F.col("b_box_id")) & one.overlaps(two)).where(one.iou(two) >= 0.3)
+    return layout.linked_groups(met.select("page_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b")))
+
+
+@_query("pair_geometry", f"""WITH {_BOXES}, s AS (SELECT *, x2 - x1 + 1 AS w, greatest(y2 - y1 + 1, 1) AS h FROM boxes)
+SELECT page_id, a.box_id AS a_box_id, b.box_id AS b_box_id, round((b.x1 - a.x1) / 10.0::DOUBLE, 6) AS dx, round((b.y1 - a.y1) / 10.0::DOUBLE, 6) AS dy, round(a.w / a.h::DOUBLE, 6) AS aspect, round(b.h / a.h::DOUBLE, 6) AS height_ratio, round(b.w / a.h::DOUBLE, 6) AS width_ratio
+FROM s a JOIN s b USING (page_id)""")
+def pair_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = layout.pair_geometry(page_boxes(spark, sf_dir))
+    return out.select("page_id", "a_box_id", "b_box_id", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "aspect", "height_ratio", "width_ratio")])
+
+
+@_query("reading_order")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.reading_order(page_boxes(spark, sf_dir))
+
+
+@_query("key_values", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS nth FROM documents),
+c AS (SELECT doc_id, nth, trim(line) AS line, regexp_extract(trim(line), '^([^:;：；]*)[:;：；]((?s:.+))$', ['k', 'v']) AS f FROM l),
+p AS (SELECT doc_id, nth, regexp_replace(trim(CASE WHEN f.v <> '' THEN f.k ELSE line END), '[:：;；\\s]+$', '') AS key, CASE WHEN f.v <> '' THEN trim(f.v) ELSE '' END AS value FROM c)
+SELECT doc_id, CAST(nth AS INTEGER) AS nth, key, value FROM p WHERE key <> ''""")
+def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records.lines(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "nth", forms.key_value(F.col("line"), F.lit("")).alias("f")).where("f is not null").select("doc_id", "nth", "f.key", "f.value")
