@@ -23,7 +23,7 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: 5-word shingle sets of similarity 0.8 or more are linked."""
     return near_dup.keep_firsts(docs)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import WordIds, hashed_words, mixed, release, scratch
 from quire.llm.graph import components
 
-#: Coordinates of a signature.  Two sets of similarity 0.85 agree in 54 of them on average, and in fewer than
-#: MATCH with a probability below 4e-5 (binomial tail); the match count only chooses what is compared exactly.
-COORDINATES, MATCH = 64, 42
+#: Coordinates of a signature, and the probability with which a pair at the threshold may agree in too few of them.
+COORDINATES, MISSED = 64, 5e-5
+#: Similarity in % from which documents are near-duplicates, and that of op1_near_dedup's contract.
+SIMILARITY, CONTRACT = 80, 85
 #: Postings of one coordinate value that are compared at once, and those that a task gathers.
 BLOCK, GATHERED = 512, 4096
 
@@ -25,6 +27,19 @@ _B = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(16)], np.uint64)
 
 
+def least_matches(similarity: int) -> int:
+    """The most coordinates that may be asked for: a pair at ``similarity`` % has fewer with a probability of MISSED at most.
+
+    Matches are binomial, so this is 42 at 85 % (3.0e-5) and 38 at 80 % (4.3e-5); they only choose what is compared exactly.
+    """
+    p, tail = similarity / 100, 0.0
+    for m in range(COORDINATES):
+        tail += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if tail > MISSED:
+            return max(1, m)
+    return COORDINATES
+
+
 def shingle_sets(texts: list[bytes | None], ids: WordIds, width: int) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes; a shorter text is one shingle, a blank one none."""
     words, starts = hashed_words(texts, ids, lower=True)
@@ -316,7 +331,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 85, match: int = MATCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = SIMILARITY, match: int | None = None) -> DataFrame:
     """(id, n_shingles, component) of every row: components of the graph that links sets of similarity >= ``similarity`` %.
 
     Equal sets are one class, which its smallest id stands for.  Classes are posted under their signature's
@@ -324,10 +339,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     on full sets, with the partner that matches it best; that joins most of a group of near copies without its
     pairs.  Then every remaining pair of different components with enough matches is looked at, block by block,
     so no link between components is lost except to the match count's tail; what is found is confirmed on full sets.
+    Without ``match`` the count follows from ``similarity``.
 
     Null and blank texts have no shingles and stand alone, as do rows without id (component null).  Rows that
     share an id are one document.  An empty table gives an empty one; texts are read whole.
     """
+    match = least_matches(similarity) if match is None else match
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     signed = scratch(_signed(slim, width), "signed")
     sound = signed.where("n > 0 and id is not null")
@@ -358,13 +375,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component")
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = CONTRACT, **limits: int) -> DataFrame:
     """A row for each document: its set's size, its component, and whether it is the component's first."""
-    out = near_duplicates(docs, id_col, text_col, **limits)
+    out = near_duplicates(docs, id_col, text_col, similarity=similarity, **limits)
     return out.select(id_col, "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col(id_col) == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, **limits: int) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group; rows that share that id are one document and stay."""
-    kept = digest(docs, id_col, text_col, **limits).where("kept").select(F.col(id_col).alias("q_id")).distinct()
+    kept = digest(docs, id_col, text_col, similarity, **limits).where("kept").select(F.col(id_col).alias("q_id")).distinct()
     return docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("q_id")), "left_semi")

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from quire.llm import ann, line_dedup, mixing, near_dup, packing, quality, queries, secrets, substring_dedup, toxicity, url_filter
 from tests.llm import brute
 
@@ -41,6 +42,19 @@ def test_near_in_small_blocks(docs, monkeypatch):
     assert found == brute.near(list(enumerate(TEXTS)))
 
 
+def test_pipeline_links_from_eighty(spark):
+    """Pairs of similarity 0.80 to 0.85 are one document in the pipeline's stage and two in op1; a pair below 0.80 is two in both."""
+    rows = []
+    for k, n in enumerate((45, 49, 55, 60, 44)):  # shingles, of which one word changes five: (n - 5) / (n + 5)
+        one = [f"p{k}w{i}" for i in range(n + 4)]
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join([*one[:20], "other", *one[21:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.unique_documents(spark, docs, "").collect()} == {0, 2, 4, 6, 8, 9}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).withColumnRenamed("component", "component_id").collect()} == brute.near(rows, similarity=80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.digest(docs).collect()} == brute.near(rows)
+    assert (near_dup.least_matches(80), near_dup.least_matches(85)) == (38, 42)
+
+
 def test_ids_are_the_tokenizers():
     """Ids by pieces equal those of whole texts: apostrophes, marks, letters of other scripts, specials, zero bytes."""
     import public_tokenizers
