@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +83,36 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance in code points of texts of any length, bit-parallel (Myers, Hyyrö): a column of the table is one integer."""
+    if a == b:
+        return 0
+    if len(a) < len(b):
+        a, b = b, a
+    start = len(os.path.commonprefix((a, b)))
+    a, b = a[start:], b[start:]
+    end = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not b:
+        return len(a)
+    n = len(a)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    letters = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = {c: int.from_bytes(np.packbits(letters == ord(c), bitorder="little").tobytes(), "little") for c in set(b) & set(a)}
+    up, down, found = full, 0, n
+    for c in b:
+        eq = places.get(c, 0)
+        same = ((((eq & up) + up) ^ up) | eq | down) & full
+        more, less = down | (full ^ (same | up)), up & same
+        if more & top:
+            found += 1
+        elif less & top:
+            found -= 1
+        more = (more << 1 | 1) & full
+        up, down = (less << 1) & full | (full ^ (same | more)), more & same
+    return found
+
+
 def ideographic_year(text: Column) -> Column:
     """Four digits, ASCII or ideographic, as an integer; else null."""
     digits = F.translate(text, *_DIGITS)

@@ -61,6 +61,19 @@ def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("next", F.lead("t").over(Window.partitionBy("source").orderBy("doc_id"))).where("next is not null")
 
 
+def whole_text_pairs(docs: DataFrame, chunk: int = 1024) -> DataFrame:
+    """(source, t, next): each document's whole text and that of its source's next document.
+
+    Windows are over chunks of ids, so a large source is many groups; each chunk's last text meets the first of
+    the source's next chunk.
+    """
+    rows = docs.select("source", "doc_id", F.expr(f"doc_id div {chunk}").alias("chunk"), F.coalesce("text", F.lit("")).alias("t"))
+    inside = rows.withColumn("next", F.lead("t").over(Window.partitionBy("source", "chunk").orderBy("doc_id", "t")))
+    ends = rows.groupBy("source", "chunk").agg(F.max(F.struct("doc_id", "t")).alias("last"), F.min(F.struct("doc_id", "t")).alias("first"))
+    across = ends.select("source", F.col("last.t").alias("t"), F.lead("first.t").over(Window.partitionBy("source").orderBy("chunk")).alias("next"))
+    return inside.select("source", "t", "next").unionByName(across).where("next is not null")
+
+
 _TEXT_PAIRS = r"""pairs AS (SELECT * FROM (
   SELECT doc_id, source, t, lead(t) OVER (PARTITION BY source ORDER BY doc_id) AS next
   FROM (SELECT doc_id, source, regexp_replace(substr(text, 1, 64), '[^\x20-\x7E]', '', 'g') AS t FROM documents)) WHERE next IS NOT NULL)"""
@@ -192,6 +205,13 @@ def recognition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.recognition(_text_pairs(spark, sf_dir), "t", "next", "source").withColumn("similarity", F.round("similarity", 6))
 
 
+@_query("whole_text_scores")
+def whole_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recognition_scores on whole texts as they are; that query's SQL binds it to 64 characters."""
+    pairs = whole_text_pairs(_read(spark, sf_dir, "documents"))
+    return metrics.whole_text_recognition(pairs, "t", "next", "source").withColumn("similarity", F.round("similarity", 6))
+
+
 @_query("class_scores", """WITH c AS (SELECT quality AS p, toxic AS t FROM labels),
 k AS (SELECT DISTINCT p AS class FROM c UNION SELECT DISTINCT t FROM c),
 s AS (SELECT class, (SELECT count(*) FROM c WHERE p = class AND t = class) AS hits, (SELECT count(*) FROM c WHERE p = class) AS predicted, (SELECT count(*) FROM c WHERE t = class) AS truth FROM k)

@@ -76,6 +76,31 @@ def test_sequences(spark):
     assert _one(spark, sequences.decoded(F.array(*map(F.lit, (2, 1, 9, 4))), "abcd", stop=9)) == "ba"
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_whole_text_scores(spark, tmp_path):
+    """Texts that agree in their first 64 characters and differ behind are told apart; chunks of ids lose no pair."""
+    head = "the same beginning, " * 4
+    texts = [head + "one end", head + "another é end", head + "another é end", "", None, "abc\n" * 40, "xabc\n" * 30, "é" * 70 + "b", "é" * 70 + "c"]
+    rows = [(1000 * i, ("a", "b", None)[i % 5 % 3], t) for i, t in enumerate(texts * 3)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for source in ("a", "b", None):
+        own = [t or "" for _, s, t in rows if s == source]
+        pairs = list(zip(own, own[1:]))
+        far = sum(_distance(a, b) / max(len(a), len(b), 1) for a, b in pairs)
+        want[source] = (len(pairs), sum(a == b for a, b in pairs), round(1 - far / (len(pairs) + 1e-5), 6))
+    found = queries.QUERIES["whole_text_scores"](spark, str(tmp_path)).collect()
+    assert {r.source: (r.n, r.correct, r.similarity) for r in found} == want
+
+
 def test_html(spark):
     assert _one(spark, records.html_tokens(F.lit('<table class="x"><tr><td rowspan="2">a</td></tr>'), True)) == ["<table>", "<tr>", '<td rowspan="2">', "</td>", "</tr>"]
     assert _one(spark, records.html_text(F.lit("<p>a &amp; b<p>a &amp; b<br><script>x</script>c"))) == "a & b\nc"
