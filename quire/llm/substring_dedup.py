@@ -1,4 +1,4 @@
-"""Substring dedup as a relative Lempel-Ziv parse against blocks of reference text."""
+"""Substring dedup by content-defined blocks and window hashes, in place of a greedy relative Lempel-Ziv parse."""
 
 from __future__ import annotations
 
@@ -117,7 +117,7 @@ def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, rk, start, n): the stretches of words of each document that an earlier document holds too.
 
     The reference is the whole corpus, cut into blocks by content and indexed by anchor, each distinct block
-    with the smallest id that holds it.  A document is parsed against all indexed blocks: a block of its own
+    with the smallest id that holds it.  Nothing is parsed greedily: a block of a document
     that the index gives to a smaller id is a factor, copied whole.  Factors end where texts part.  There a
     block has an anchor in common with other blocks, but not all its words, so such blocks, once for each
     distinct one, are checked window by window against all others with the same anchor.
