@@ -175,16 +175,17 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_sample: int = TOXIC_SAMPLE, ordinary_sample: int = ORDINARY_SAMPLE, sample_chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """Learn from a bounded sample of labelled rows that aren't held out: per class the first by a hash of their id.
 
+    At most ``toxic_sample`` and ``ordinary_sample`` documents, none longer than ``sample_chars`` code points.
     Rows without id or label don't count; of several labels of a document the largest does.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != 0)).groupBy(id_col).agg(F.max(label_col).alias("q_label"))
     texts = []
-    for label, most in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE)):
+    for label, most in ((1, toxic_sample), (0, ordinary_sample)):
         chosen = known.where(F.col("q_label") == label).orderBy(F.xxhash64(F.lit(6), F.col(id_col)), id_col).limit(most)
-        rows = docs.where(F.char_length(text_col) <= SAMPLE_CHARS).select(id_col, F.col(text_col).cast("binary").alias("t")).join(F.broadcast(chosen), id_col)  # at most ``most`` ids
+        rows = docs.where(F.char_length(text_col) <= sample_chars).select(id_col, F.col(text_col).cast("binary").alias("t")).join(F.broadcast(chosen), id_col)  # at most ``most`` ids
         texts.append([bytes(r[0]) for r in rows.orderBy(F.xxhash64(F.lit(6), F.col(id_col)), "t").limit(most).select("t").collect()])
     return learn(*texts)
 

@@ -178,6 +178,16 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == int(r.doc_id % 3 == 0) for r in held]) >= 0.95
 
 
+def test_toxicity_bounds_are_parameters(spark):
+    """Long labelled documents train where the caller lets them."""
+    rows = [(i, " ".join([f"r{i}w{k}" for k in range(60)] + ["grumblefoot"] * 3 * (i % 2))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, sample_chars=10).toxic == b""
+    assert toxicity.fit(docs, labels, sample_chars=1000).toxic_word(b"grumblefoot")
+    assert toxicity.fit(docs, labels, toxic_sample=0).toxic == b""
+
+
 def test_empty_tables(docs, labels):
     none, no_labels = docs.limit(0), labels.limit(0)
     for out in (near_dup.digest(none), substring_dedup.digest(none), quality.digest(none, no_labels), secrets.find_secrets(none), packing.pack(none), line_dedup.digest(none), mixing.shares(none), mixing.mix(none), toxicity.digest(none, no_labels)):
