@@ -6,8 +6,10 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,41 +81,64 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE_CLASS}]+"), F.lit(0))
 
 
-class WordIds(dict):
-    """Small integers for words (bytes), with a 64-bit hash of each; bounded, so a worker's memory is.
+IS_SPACE = np.isin(np.arange(256), list(SPACE_CHARS.encode()))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
-    The hash depends on the word only, so that any two workers agree on it.
+
+def chunks(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about ``most`` bytes of a binary column (a single longer value is a slice of its own)."""
+    starts = _offsets(batch.column(column)).astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    width = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    return np.frombuffer(values.buffers()[1], width)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, width)
+
+
+def column_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary array one after another, and where each value starts (one more entry at the end); a null is empty."""
+    if values.null_count:
+        values = values.fill_null(b"")
+    starts = _offsets(values).astype(np.int64)
+    data = values.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None else np.empty(0, np.uint8)
+    return flat, starts - starts[0]
+
+
+class Words:
+    """The ASCII-white-space-separated words of a binary array of texts.
+
+    ``which`` numbers the distinct words in the order of the texts, ``starts`` says where each text's words begin
+    (one more entry at the end), ``distinct`` holds the words themselves.
     """
 
-    def __init__(self, limit: int = 400_000, seed: int = 0) -> None:
-        super().__init__()
-        self.limit, self.seed = limit, seed
-        self.hashes = np.empty(1024, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.empty(n, np.uint64)])
-        self.hashes[n] = xxhash.xxh64_intdigest(word, self.seed)
-        self[word] = n
-        return n
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """The words' hashes, uint64."""
-        if len(self) > self.limit:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.hashes[at]
-
-
-def hashed_words(texts: list[bytes | None], ids: WordIds, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' word hashes one after another, and each text's start (one more entry at the end)."""
-    starts, words = np.zeros(len(texts) + 1, np.int64), []
-    for i, text in enumerate(texts):
-        if text:
-            words += (text.lower() if lower else text).split()
-        starts[i + 1] = len(words)
-    return ids.of(words), starts
+    def __init__(self, texts: pa.Array, lower: bool = False) -> None:
+        flat, starts = column_bytes(texts)
+        if lower:
+            flat = _LOWER[flat]
+        inside = ~IS_SPACE[flat]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        edges = starts[:-1][starts[:-1] < starts[1:]]
+        first[edges] = inside[edges]
+        letters = flat[inside]
+        upto = np.cumsum(inside)
+        at = np.flatnonzero(first)
+        offsets = np.append(upto[at] - 1, len(letters)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        self.which, self.distinct = words.indices.to_numpy().astype(np.int64), words.dictionary
+        self.starts = np.searchsorted(at, starts)
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, the same in every task."""
+        made = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.distinct.to_pylist()), np.uint64, len(self.distinct))
+        return made[self.which]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordIds, hashed_words, mixed, release, scratch
+from quire.llm.common import Words, chunks, mixed, release, scratch
 from quire.llm.graph import components
 
 #: Coordinates of a signature, and the probability with which a pair at the threshold may agree in too few of them.
@@ -20,6 +20,8 @@ COORDINATES, MISSED = 64, 5e-5
 SIMILARITY, CONTRACT = 80, 85
 #: Postings of one coordinate value that are compared at once, and those that a task gathers.
 BLOCK, GATHERED = 512, 4096
+#: Bytes of text that are read into sets at once.
+CHUNK = 1 << 22
 
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,9 +42,10 @@ def least_matches(similarity: int) -> int:
     return COORDINATES
 
 
-def shingle_sets(texts: list[bytes | None], ids: WordIds, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes; a shorter text is one shingle, a blank one none."""
-    words, starts = hashed_words(texts, ids, lower=True)
+    found = Words(texts, lower=True)
+    words, starts = found.hashes(), found.starts
     n = max(0, len(words) - width + 1)
     rolled = np.zeros(n, np.uint64)
     for k in range(width):
@@ -71,11 +74,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = shingle_sets(part.column(1).to_pylist(), ids, width)
+            for part in chunks(batch, 1, CHUNK):
+                sets = shingle_sets(part.column(1), width)
                 marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 signs = [signature(s) for s in sets]
                 flat = np.concatenate(signs).view(np.int64) if signs else np.empty(0, np.int64)
@@ -301,11 +302,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The full sets and signatures of the wanted classes' first documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = shingle_sets(part.column(1).to_pylist(), ids, width)
+            for part in chunks(batch, 1, CHUNK):
+                sets = shingle_sets(part.column(1), width)
                 marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks[:, 0]), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.sort((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["id", "h1", "shingles", "brief", "sig"])
 

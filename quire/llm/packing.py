@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
 import json
 import re
 import zlib
@@ -13,22 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import IS_SPACE, chunks, column_bytes
+
 #: Context sizes of the tiers; the last is the longest window.
 TIERS = (256, 512, 1024, 2048)
 #: Tokens that a task gathers before it packs them, and sequences of a step group.
 POOL, GROUP = 2_000_000, 16
-#: Distinct pieces of text whose ids a worker remembers.
-PIECES = 1_500_000
+#: Bytes of text whose pieces are told apart at once.
+CHUNK = 1 << 23
 
-# Ids of a text are those of its pieces, and pieces never cross these cuts: a run without white space with at
-# most one space before it, or white space.  Texts with other white space than ASCII's go to the tokenizer whole.
-_PIECE = re.compile(rb" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+# White space that is not ASCII's (and the separators of which engines disagree): such texts go to the tokenizer whole.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_HINTS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2", b"\xe1\x9a\x80", b"\xe2", b"\xe3\x80\x80")
-# Texts without these have single spaces and line ends only, and are cut by splitting.
-_UNEVEN = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x00")
-# A word of letters and the marks after it are two pre-tokens of byte-level BPE.  An apostrophe may start a third.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_HINTS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+# Byte-level BPE's cut of a text into pre-tokens; repetitions are possessive, which changes no match and saves steps.
+_CUT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,123 +39,112 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Ids:
-    """Token ids of UTF-8 texts, through a bounded memory of pieces.
+    """Token ids of UTF-8 texts, those of the tokenizer file at ``path``.
 
-    Keys are pieces without their space; a piece without one has a zero byte in front, white space is as it is.
+    No pre-token reaches from a word into the white space behind it, so a text is cut before each run of white
+    space into pieces whose ids do not depend on what stands around them.  The distinct pieces of many texts are
+    found at once, tokenized once, and their ids gathered.  Where the file is plain byte-level BPE whose merges
+    stand in the order of their ids, a faster engine reads the same merges; any other file is read piece by piece.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.bytes = _byte_letters()
         parts = json.loads(self.tokenizer.to_str())
+        self.specials = [t["content"].encode() for t in parts["added_tokens"]]
         before, model = parts["pre_tokenizer"] or {}, parts["model"]
         unusual = model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges")
-        #: whether words can go to the model at once, past the pre-tokenizer's pattern
-        self.direct = not parts["normalizer"] and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model["type"] == "BPE" and not unusual
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.starts, self.lengths = np.empty(1 << 18, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.used = 0
-        self.marks: dict[str, tuple[int, ...]] = {}
-
-    def _keep(self, keys: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = len(self.known), len(keys)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + m > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.lengths[n : n + m] = lengths
-        self.starts[n : n + m] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(flat)
-        self.known.update(zip(keys, range(n, n + m), strict=True))
-
-    def _words(self, keys: list[bytes]) -> list[bytes]:
-        """Learn the pieces that are a word of Latin letters with marks after it, at most; returns the others.
-
-        The model gets the word with its space, and the marks, without the pre-tokenizer.
+        plain = not parts["normalizer"] and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model["type"] == "BPE" and not unusual
+        self.engine = self._ranked(model) if plain else None
+        #: whether cutting at white space is sound
+        self.cuts = plain
+
+    def _ranked(self, model: dict):
+        byte = {c: b for b, c in _byte_letters().items()}
+        merged = [model["vocab"]["".join(m) if not isinstance(m, str) else m.replace(" ", "")] for m in model["merges"]]
+        singles = {c for c in model["vocab"] if len(c) == 1}
+        if any(a >= b for a, b in zip(merged[:-1], merged[1:], strict=True)) or singles != set(byte) or len(merged) + 256 != len(model["vocab"]) or max(model["vocab"][c] for c in singles) > merged[0]:
+            return None
+        import tiktoken
+
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
+        self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.widths[i] = len(token)
+        return tiktoken.Encoding("ranked", pat_str=_CUT, mergeable_ranks=ranks, special_tokens={})
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
+    def _tokenized(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each piece one after another, and how many each has."""
+        if self.engine is None:
+            found = [self._whole(p) for p in pieces.to_pylist()]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+        ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + 1 : pieces.offset + 1 + len(pieces)]
+        begin = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset]
+        text = bytes(memoryview(pieces.buffers()[2])[begin : ends[-1]]) if len(pieces) else b""
+        got = np.array(self.engine.encode_ordinary(text.decode()), np.uint32)
+        upto = np.searchsorted(np.cumsum(self.widths[got]), ends - begin, "left") + 1  # a piece's end is a token's end
+        return got, np.diff(upto, prepend=0)
+
+    def of(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and each text's start (one more entry at the end).
+
+        Texts are a binary array; a null is an empty text.  ``end`` goes behind each text's ids.
         """
-        if not self.direct:
-            return keys
-        model, space, got, lengths, learnt, others = self.tokenizer.model, self.bytes[32], [], [], [], []
-        stems: dict[bytes, tuple[int, ...]] = {}
-        known, tokenize, made = self.known, model.tokenize, self.marks
-        for k in keys:
-            text = k.decode()
-            stem = text.rstrip(_MARKS)
-            bare = stem[:1] == "\0"
-            word = stem[1:] if bare else stem
-            if not word.isalpha() or not (plain := word.isascii()) and max(word) >= "\u0250":
-                others.append(k)
-                continue
-            if len(stem) == len(text):
-                whole, tail = k, ()
-            else:
-                marks = text[len(stem) :]
-                whole = k[: -len(marks)]
-                if (tail := made.get(marks)) is None:
-                    tail = made[marks] = tuple([t.id for t in tokenize(marks)])
-            if (ids := stems.get(whole)) is None:
-                if tail and (at := known.get(whole)) is not None:
-                    ids = self.flat[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
-                else:
-                    written = word if plain else word.encode().decode("latin-1").translate(self.bytes)
-                    ids = [t.id for t in tokenize(written if bare else space + written)]
-                stems[whole] = ids = tuple(ids)
-            got += ids
-            got += tail
-            lengths.append(len(ids) + len(tail))
-            learnt.append(k)
-        self._keep(learnt, np.array(got, np.uint32), np.array(lengths, np.int64))
-        return others
-
-    def _learn(self, keys: list[bytes]) -> None:
-        """Pieces without white space are tokenized many at a time, a line each; no id but the line end's holds one."""
-        plain, rest = [], []
-        for k in self._words(keys):
-            (plain if len(self.line_end) == 1 and k and k[0] > 32 else rest).append(k)
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            got = np.array(self.tokenizer.encode("".join(f"\n {k.decode()}" for k in part) + "\n", add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(got == self.line_end[0])
-            if len(ends) != len(part) + 1:  # never seen; piece by piece is always right
-                rest += part
-                continue
-            self._keep(part, got[got != self.line_end[0]], np.diff(ends) - 1)
-        for k in rest:
-            piece = k[1:] if k[:1] == b"\0" else b" " if not k else k if k[:1] in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r") else b" " + k
-            got = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids if piece else [], np.uint32)
-            self._keep([k], got, np.array([len(got)]))
-
-    @staticmethod
-    def keys(text: bytes) -> list[bytes]:
-        if any(x in text for x in _UNEVEN):
-            return [p[1:] if p[0] == 32 and len(p) > 1 and p[1] > 32 else p if p[0] <= 32 and p[:1].isspace() else b"\0" + p for p in _PIECE.findall(text)]
-        return (b"\0" + text.replace(b"\n", b" \n \0")).split(b" ")
-
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self.known) > PIECES:
-            self.clear()
-        plain = [not any(s in t for s in self.specials) and not (any(x in t for x in _HINTS) and _OTHER_SPACE.search(t)) for t in texts]
-        cut = [self.keys(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        self._learn([k for k in set().union(*cut) if k not in self.known])
-        out, known = [], self.known
-        for text, ok, keys in zip(texts, plain, cut, strict=True):
-            if not ok:
-                out.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
-            n = self.lengths[at]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - n), n)])
-        return out
+        tail = [] if end is None else [end]
+        flat, starts = column_bytes(texts)
+        held = flat.tobytes()
+        odd = np.zeros(len(texts), bool)
+        if not self.cuts or any(x in held for x in (*_HINTS, *self.specials)):
+            for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+                part = held[a:b]
+                odd[i] = not self.cuts or any(s in part for s in self.specials) or _OTHER_SPACE.search(part) is not None
+        # pieces: from the start of a text or of a run of white space to the next one
+        space = IS_SPACE[flat]
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        filled = starts[:-1] < starts[1:]
+        cut[starts[:-1][filled]] = True
+        at = np.flatnonzero(cut)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(flat)).astype(np.int64)), pa.py_buffer(flat)]).dictionary_encode()
+        which, distinct = pieces.indices.to_numpy(), pieces.dictionary
+        # pieces that start with a word, or end in white space, would run together with their neighbours
+        ends = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1]
+        body = np.frombuffer(distinct.buffers()[2], np.uint8) if len(distinct) else flat
+        apart = ~IS_SPACE[body[ends[:-1]]] | IS_SPACE[body[ends[1:] - 1]]
+        found, n = np.empty(0, np.uint32), np.zeros(len(distinct), np.int64)
+        begin = np.zeros(len(distinct), np.int64)
+        joint = np.flatnonzero(~apart)
+        if len(joint):
+            found, n[joint] = self._tokenized(distinct.take(pa.array(joint)))
+            begin[joint] = np.cumsum(n[joint]) - n[joint]
+        rest = [self._tokenized(distinct.slice(int(i), 1))[0] for i in np.flatnonzero(apart)]
+        n[apart] = [len(r) for r in rest]
+        begin[apart] = len(found) + np.cumsum(n[apart]) - n[apart]
+        found = np.concatenate([found, *rest, np.array(tail, np.uint32)])
+        # the end is one more piece behind each text's
+        per_text = np.searchsorted(at, starts)
+        if tail:
+            which = np.insert(which, per_text[1:], len(n))
+            n, begin = np.append(n, 1), np.append(begin, len(found) - 1)
+            per_text = per_text + np.arange(len(per_text))
+        count = n[which]
+        upto = np.append(0, np.cumsum(count))
+        out = found[np.arange(upto[-1]) + np.repeat(begin[which] - upto[:-1], count)]
+        starts_out = upto[per_text]
+        if odd.any():
+            parts = [np.append(self._whole(held[starts[i] : starts[i + 1]]), np.array(tail, np.uint32)) if odd[i] else out[starts_out[i] : starts_out[i + 1]] for i in range(len(texts))]
+            out, starts_out = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+        return out.astype("<u4"), starts_out
+
+
+@functools.lru_cache(maxsize=2)
+def ids_of(path: str) -> Ids:
+    """One for each worker process and file: workers outlive tasks."""
+    return Ids(path)
 
 
 class Packer:
@@ -194,8 +183,6 @@ class Packer:
 
     def pack(self) -> None:
         """Pack all that waits into full windows, the longest tier first, then what is left over."""
-        import bisect
-
         for k in range(len(self.tiers) - 1, -1, -1):
             window, above = self.tiers[k], self.tiers[k - 1] if k else 0
             lengths = sorted(self.by_length)  # kept in step with by_length below
@@ -239,7 +226,7 @@ class Packer:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], task: int, path: str, end_id: int, tiers: tuple[int, ...], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    ids, packer, docs, sequence = Ids(path), Packer(tiers), [], 0
+    ids, packer, docs, sequence = ids_of(path), Packer(tiers), [], 0
 
     def emit() -> Iterator[pa.RecordBatch]:
         nonlocal sequence
@@ -265,21 +252,23 @@ def _sequences(batches: Iterator[pa.RecordBatch], task: int, path: str, end_id:
         nonlocal docs
         held = sorted({p[0] for d in packer.by_length.values() for p in d})
         new = {old: i for i, old in enumerate(held)}
-        docs = [docs[i] for i in held]
+        docs = [(docs[i][0], docs[i][1].copy()) for i in held]  # copies let the chunks go
         packer.by_length = {n: deque((new[d], a, m) for d, a, m in x) for n, x in packer.by_length.items()}
 
+    held = 0
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            texts = [t or b"" for t in part.column(1).to_pylist()]
-            for doc_id, got in zip(part.column(0).to_pylist(), ids.of(texts), strict=True):
-                tokens = np.append(got, np.uint32(end_id)).astype("<u4")
+        for part in chunks(batch, 1, CHUNK):
+            flat, starts = ids.of(part.column(1), end_id)
+            for i, doc_id in enumerate(part.column(0).to_pylist()):
+                tokens = flat[starts[i] : starts[i + 1]]
                 packer.add(len(docs), len(tokens))
                 docs.append((doc_id, tokens))
-            if sum(len(d[1]) for d in docs) > POOL:
+                held += len(tokens)
+            if held > POOL:
                 packer.pack()
                 yield from emit()
                 forget()
+                held = sum(len(d[1]) for d in docs)
     packer.close()
     yield from emit()
 

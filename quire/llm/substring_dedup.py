@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordIds, hashed_words, mixed, release, row_key, scratch
+from quire.llm.common import Words, mixed, release, row_key, scratch
 
 #: Words of the anchors that index blocks.
 ANCHOR = 10
@@ -28,8 +28,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Hashed:
     """Word hashes of a batch of texts, and hashes of any range of words in constant time."""
 
-    def __init__(self, texts: list[bytes | None], ids: WordIds) -> None:
-        self.words, self.starts = hashed_words(texts, ids)
+    def __init__(self, texts: pa.Array) -> None:
+        found = Words(texts)
+        self.words, self.starts = found.hashes(), found.starts
         n = len(self.words)
         self.back = _powers(_INVERSE, n)
         self.sums = np.zeros(n + 1, np.uint64)
@@ -80,9 +81,8 @@ def _batches(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[
 
 def _block_rows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for part in _batches(batches):
-            text, start, length, anchor, block = blocks(Hashed(part.column(2).to_pylist(), ids), window)
+            text, start, length, anchor, block = blocks(Hashed(part.column(2)), window)
             at = pa.array(text)
             yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64))], names=["id", "rk", "start", "n", "anchor", "block"])
 
@@ -93,9 +93,8 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     """Hashes of every window of the blocks listed in ``open``: (id, rk, at, hash, anchor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for part in _batches(batches, 64):
-            h = Hashed(part.column(2).to_pylist(), ids)
+            h = Hashed(part.column(2))
             rows, at, anchors = [], [], []
             for i, listed in enumerate(part.column(3).to_pylist()):
                 for x in listed:

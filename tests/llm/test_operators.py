@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -63,8 +64,9 @@ def test_ids_are_the_tokenizers():
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ["don't it's we'll. a_b __x__ \u00aa\u00ba. \u0250x. na\u00efve... O'Neil's; x\u0301y. caf\u00e9!? \u00df.", "\n\nfoo. <|endoftext|> bar\0baz", "\0abc. \0\0d", "<b>hi</b> word'. word.' 'word", " lead", "trail ", "\u01c5e. \u02b0h", "foo foo. foo, foo"]
     whole, ids = Tokenizer.from_file(path), packing.Ids(path)
-    for found, text in zip(ids.of([t.encode() for t in texts]), texts, strict=True):
-        assert found.tolist() == whole.encode(text, add_special_tokens=False).ids
+    found, starts = ids.of(pa.array([t.encode() for t in texts], pa.binary()))
+    for i, text in enumerate(texts):
+        assert found[starts[i] : starts[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_substrings(docs):
@@ -111,9 +113,11 @@ def test_pieces_are_the_tokenizers():
     import public_tokenizers
 
     ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a  b", "a \n b", "\n\n a", " lead", "tail ", "x\u00a0y  z", "a\tb\r\nc", "it's 12,5 <|endoftext|> é", "", "a\x1cb", "\x00a b", "   ", "a\n\nb\n", "é\nü ñ"]
-    for text, got in zip(texts, ids.of([t.encode() for t in texts]), strict=True):
-        assert got.tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, text
+    texts = ["a  b", "a \n b", "\n\n a", " lead", "tail ", "x\u00a0y  z", "a\tb\r\nc", "it's 12,5 <|endoftext|> é", "", "a\x1cb", "\x00a b", "   ", "a\n\nb\n", "é\nü ñ", "a\n", "\n", "b \n\n  c\t", "x\u2003\n\ny", "12 \n 34"]
+    for end in (None, 1):
+        found, starts = ids.of(pa.array([*[t.encode() for t in texts], None], pa.binary()), end)
+        for i, text in enumerate([*texts, ""]):
+            assert found[starts[i] : starts[i + 1]].tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids + [end] * (end is not None), text
 
 
 def test_sql(spark, docs):
