@@ -20,10 +20,17 @@ _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-_ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+_ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{78,}")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----(.*?)-----END \1PRIVATE KEY-----", re.DOTALL)
+# What base64 of a DER sequence, of an OpenSSH key and of a PEM block starts with; an escaped line end may stand before it.
+_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|b3BlbnNzaC1r|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{8,}")
+_BREAKS = r"(?:\s|\\[nrt])*"
+_LETTER = re.compile(rf"{_BREAKS}((?:[A-Za-z0-9+_-]|\\?/)+)")
+_PADDING = re.compile(rf"{_BREAKS}=(?:{_BREAKS}=)?")
+_HEADERS = re.compile(r"\A(?:\s*[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+[^\n]*\n)*)+")
+_CIPHER = re.compile(r"^DEK-Info:\s*[A-Z0-9-]+,\s*((?:[0-9A-Fa-f]{2}){8,})\s*$", re.MULTILINE)
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
+#: Least lengths of what a pattern without white space matches.
 _SHORTEST = 20
 
 
@@ -94,6 +101,63 @@ def private_key(data: bytes) -> bool:
     return der_private_key(data) or ssh_private_key(data)
 
 
+def encrypted_key(data: bytes) -> bool:
+    """Whether ``data`` is a DER encrypted PKCS#8 key: an algorithm and octets."""
+    top = der_items(data)
+    inner = der_items(top[0][1]) if top and len(top) == 1 and top[0][0] == 0x30 else None
+    if not inner or [t for t, _ in inner] != [0x30, 0x04] or len(inner[1][1]) < 16:
+        return False
+    algorithm = der_items(inner[0][1])
+    return bool(algorithm) and algorithm[0][0] == 0x06
+
+
+def armoured_key(label: str, body: str) -> bool:
+    """Whether the body of a PEM block is a private key: line ends may be escaped, header lines may come first.
+
+    A key under a cipher that a header names can't be parsed; its body must be whole blocks.
+    """
+    text = re.sub(r"\\[nrt]", "\n", body).replace("\\/", "/")
+    headers = _HEADERS.match(text)
+    data = _decoded(text[headers.end() :] if headers else text)
+    if private_key(data) or label.startswith("ENCRYPTED") and encrypted_key(data):
+        return True
+    cipher = _CIPHER.search(headers[0]) if headers else None
+    return bool(cipher and len(data) >= 32 and len(data) % (len(cipher[1]) // 2) == 0)
+
+
+def _wrapped(text: str, at: int) -> tuple[int, bytes] | None:
+    """The key in base64 that starts at ``at``: where it ends, and its bytes; lines may be wrapped, ends escaped.
+
+    How far it goes is written in it: the length of the DER sequence.  OpenSSH keys and PEM blocks go as far as
+    their letters do.
+    """
+    first = _LETTER.match(text, at)[1][:16]
+    der = first.startswith("M")
+    if der:
+        head = _decoded(first[: len(first) // 4 * 4])
+        width = head[1] & 0x7F if head[1:2] and head[1] & 0x80 else 0
+        if len(head) < 2 + width or width > 4:
+            return None
+        size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+        wanted = -(-size * 4 // 3)  # letters, without padding
+        if wanted > len(text) - at:
+            return None
+    letters, n, end = [], 0, at
+    while not der or n < wanted:
+        part = _LETTER.match(text, end)
+        if part is None or not der and part.start(1) > end and len(part[1]) < 16:
+            break
+        got = part[1].replace("\\/", "/")
+        if der and n + len(got) > wanted:
+            return None  # the letters run on behind what the length says
+        letters.append(got)
+        n, end = n + len(got), part.end()
+    if der and n < wanted:
+        return None
+    padding = _PADDING.match(text, end) if n % 4 else None
+    return (padding.end() if padding else end), _decoded("".join(letters))
+
+
 def signed_token(head: str, body: str) -> bool:
     """Whether ``head`` decodes to a JSON object that names an algorithm, and ``body`` decodes."""
     try:
@@ -105,8 +169,10 @@ def signed_token(head: str, body: str) -> bool:
 
 
 def _decoded(text: str) -> bytes:
+    """The bytes of base64 in either alphabet, with or without padding; none if it is neither."""
+    letters = "".join(text.split()).rstrip("=").replace("-", "+").replace("_", "/")
     try:
-        return base64.b64decode("".join(text.split()), validate=True)
+        return base64.b64decode(letters + "=" * (-len(letters) % 4), validate=True)
     except (ValueError, binascii.Error):
         return b""
 
@@ -123,25 +189,33 @@ def base_spans(text: str, long_words: bool = True) -> list[tuple[str, int, int]]
     return found
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+def confirmed_spans(text: str, long_words: bool = True) -> list[tuple[str, int, int]]:
     """Candidates whose decoded bytes have the structure of a private key or of a signed token."""
-    found = [("key", *m.span()) for m in _ARMOUR.finditer(text) if private_key(_decoded(m[2]))]
-    inside = [(a, b) for _, a, b in found]
+    found = []
+    if "PRIVATE KEY-----" in text:
+        found = [("key", *m.span()) for m in _ARMOUR.finditer(text) if armoured_key(m[1], m[2])]
+    upto, inside = 0, list(found)
     for m in _BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside) and private_key(_decoded(m[0])):
-            found.append(("key", *m.span()))
-    for m in _ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and private_key(bytes.fromhex(m[0])):
-            found.append(("key", *m.span()))
-    return found + [("token", *m.span()) for m in _SIGNED.finditer(text) if signed_token(m[1], m[2])]
+        at = m.start()
+        if at < upto or any(a <= at < b for _, a, b in inside):
+            continue
+        got = _wrapped(text, at)
+        if got and (private_key(got[1]) or any(armoured_key(x[1], x[2]) for x in _ARMOUR.finditer(got[1].decode("latin-1")))):
+            upto = got[0]
+            found.append(("key", at, upto))
+    if long_words:
+        found += [("key", *m.span()) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and private_key(bytes.fromhex(m[0]))]
+        found += [("token", *m.span()) for m in _SIGNED.finditer(text) if signed_token(m[1], m[2])]
+    return found
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
-    """All spans by start, then kind; offsets are code points, ends exclusive."""
-    long_words = any(len(w) >= _SHORTEST for w in text.split())  # what the longer patterns match has no white space
-    found = base_spans(text, long_words)
-    if long_words:
-        found += confirmed_spans(text)
+    """All spans by start, then kind; offsets are code points, ends exclusive.
+
+    Keys may be wrapped at any width.  All else that is looked for is at least 20 characters without white space.
+    """
+    long_words = any(len(w) >= _SHORTEST for w in text.split())
+    found = base_spans(text, long_words) + confirmed_spans(text, long_words)
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -175,7 +249,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of their texts replaced by ``mask`` (overlapping spans by one); other columns as they were."""
+    """``docs`` with every span of their texts replaced by ``mask`` (overlapping spans by one); other columns as they were.
+
+    Null texts stay null, empty ones empty; equal rows are masked alike; an empty table stays empty; columns of any
+    name and type may come along.  Long texts are read whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
