@@ -66,6 +66,22 @@ def _clean() -> None:
             return
 
 
+def own_rows(df: DataFrame, **more: Column) -> DataFrame:
+    """Each row of ``df`` as one struct, ``q_own``, beside columns of ours: no name of a caller's can clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("q_own"), *[c.alias(n) for n, c in more.items()])
+
+
+def own_columns(df: DataFrame, columns: list[str], **more: Column) -> DataFrame:
+    """The caller's columns out of ``q_own``, and ours behind them; ours get an underscore where a name is taken."""
+    taken = {c.lower() for c in columns}
+    named = []
+    for name, column in more.items():
+        while name.lower() in taken:
+            name += "_"
+        named.append(column.alias(name))
+    return df.select(*[F.col("q_own").getField(c).alias(c) for c in columns], *named)
+
+
 def row_key(*columns: Column) -> Column:
     """64 bits that tell rows apart which share an id; equal rows share it."""
     return F.xxhash64(F.lit(17), *columns)
