@@ -1,15 +1,14 @@
-"""Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text.
+"""Toxicity by compression distance: windows of a text, compressed with an ordinary and with a toxic zstandard dictionary.
 
-Plain bytes gave too little to compare: a toxic word of six letters saves one or two bytes in a window, less than
-chance matches do.  So texts are compressed in a token code: each word becomes a window of fixed-length codes of
-itself and of its first four and five letters.  A code that a dictionary holds costs almost nothing, any other
-costs its length, and nothing matches by chance.
+Texts are lower-cased, marks become spaces, and every byte is written as a unit of two (as in UTF-16), so that what a
+match saves outweighs what it costs to say where it is.  The ordinary compressor has ordinary text as its dictionary,
+the toxic one has a dictionary trained on toxic text in front of the same ordinary text.  What a window of several
+words is shorter with the second is what toxic text alone explains of it; a calibrated number of such windows, for
+the length of the text, makes it toxic.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,61 +19,72 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import chunks, column_bytes
+
 #: Labelled documents that are learned from, at most, and their longest text (code points).
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 2_000, 4_000, 20_000
-#: Bytes of the two dictionaries, and of a code.
-TOXIC_BYTES, ORDINARY_BYTES, CODE_BYTES = 16_384, 65_536, 10
-_EDGES = b".,;:!?*#$%&|<>()[]{}\"'`_-+=/\\~^@"
-
-
-def words(text: bytes | None) -> list[bytes]:
-    """Lower-cased words without the marks at their edges."""
-    if not text:
-        return []
-    return [w for w in (x.strip(_EDGES) for x in text.decode("utf-8", "replace").lower().encode().split()) if w]
-
-
-def parts(word: bytes) -> list[bytes]:
-    letters = word.decode("utf-8", "replace")
-    return [word, *[f"{letters[:n]}-".encode() for n in (4, 5) if len(letters) > n]]
+#: Bytes of the two dictionaries at most (before they are written in units), words of a window, bytes of a unit.
+TOXIC_BYTES, ORDINARY_BYTES, WINDOW, UNIT = 32_768, 1 << 21, 8, 2
+#: Bytes of text that are cut into windows at once.
+CHUNK = 1 << 22
 
+_PLAIN = np.where(np.arange(256) >= 128, np.arange(256), 32).astype(np.uint8)
+for _a, _b, _to in ((48, 58, 48), (97, 123, 97), (65, 91, 97)):
+    _PLAIN[_a:_b] = np.arange(_b - _a) + _to
 
-def window(word: bytes) -> bytes:
-    """The code of a word, in which its beginnings come first."""
-    return b"".join(hashlib.blake2b(p, digest_size=CODE_BYTES).digest() for p in reversed(parts(word)))
 
+def windows(texts: pa.Array, width: int = WINDOW) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words one after another, a space behind each, and windows of ``width`` words: start, length, text.
 
-def _apart(texts: list[bytes]) -> list[list[bytes]]:
-    """The texts' words, without copies and near copies: those that share two of eight least word-pair hashes."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for text in texts:
-        w = words(text)
-        pairs = np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + 2])) for i in range(max(1, len(w) - 1))], np.uint64)
-        keys = [(k, int(((pairs ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)).min())) for k in range(8)]
-        if sum(k in seen for k in keys) < 2:
-            out.append(w)
-        seen.update(keys)
-    return out
-
-
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary's content; of few samples, which the trainer refuses, the samples themselves."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+    The last window of a text is shorter; a text without a letter, digit or non-ASCII byte has none.
+    """
+    flat, starts = column_bytes(texts)
+    plain = _PLAIN[flat]
+    inside = plain != 32
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    filled = starts[:-1] < starts[1:]
+    first[starts[:-1][filled]] = inside[starts[:-1][filled]]
+    last[starts[1:][filled] - 1] = inside[starts[1:][filled] - 1]
+    letters = np.flatnonzero(inside)
+    word = np.cumsum(first)[letters] - 1
+    out = np.full(len(letters) + int(last.sum()), 32, np.uint8)
+    out[np.arange(len(letters)) + word] = plain[letters]
+    begins = np.flatnonzero(first)
+    place = np.searchsorted(letters, begins) + np.arange(len(begins))
+    per_text = np.searchsorted(begins, starts)
+    many = -(-np.diff(per_text) // width)
+    text = np.repeat(np.arange(len(texts)), many)
+    nth = np.arange(len(text)) - (np.cumsum(many) - many)[text]
+    start = place[per_text[text] + width * nth] if len(text) else place
+    return out.tobytes(), start, np.diff(start, append=len(out)), text
+
+
+def _units(data: bytes) -> bytes:
+    return np.repeat(np.frombuffer(data, np.uint8), UNIT).tobytes()
+
+
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    how = zstandard.ZstdCompressionParameters(
+        window_log=24, hash_log=20, chain_log=20, search_log=4, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+    held = zstandard.ZstdCompressionDict(_units(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=held)
 
 
 @dataclass
 class ToxicityModel:
+    """Two dictionaries, the bytes a window must be shorter by to count, and the weights of a text's features."""
+
     toxic: bytes
     ordinary: bytes
     margin: int
-    coefficients: tuple[float, float, float]
+    coefficients: tuple[float, ...]
 
     def __post_init__(self) -> None:
-        self._known: dict[bytes, bool] = {}
         self._pair = None
 
     def __getstate__(self) -> dict:
@@ -84,90 +94,95 @@ class ToxicityModel:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def lengths(self, word: bytes) -> tuple[int, int]:
-        """Compressed lengths of the word's window with the ordinary and with the toxic dictionary."""
+    def gains(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each window: how many bytes shorter it is with the toxic dictionary, and its text."""
+        data, start, length, text = windows(texts)
+        if not len(start) or not self.toxic:
+            return np.zeros(len(start), np.int64), text
         if self._pair is None:
-            how = zstandard.ZstdCompressionParameters(
-                window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
-                write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
-            )
-            made = []
-            for content in (self.ordinary, self.toxic):
-                held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                held.precompute_compress(compression_params=how)
-                made.append(zstandard.ZstdCompressor(compression_params=how, dict_data=held))
-            self._pair = made
-        code = window(word)
-        return len(self._pair[0].compress(code)), len(self._pair[1].compress(code))
-
-    def toxic_word(self, word: bytes) -> bool:
-        found = self._known.get(word)
-        if found is None:
-            a, b = self.lengths(word)
-            found = a - b >= self.margin
-            if len(self._known) >= 600_000:
-                self._known.clear()
-            self._known[word] = found
-        return found
-
-    def hits(self, text: bytes | None) -> tuple[int, int]:
-        w = words(text)
-        known = self._known
-        return sum(known[x] if x in known else self.toxic_word(x) for x in w), len(w)
-
-    def score(self, text: bytes | None) -> float:
-        """Of a whole text, by how many of its windows the toxic dictionary compresses better by the margin."""
-        return float(_sigmoid(np.dot(_features(*self.hits(text)), self.coefficients)))
-
-
-def _features(hits: int, n: int) -> np.ndarray:
-    return np.array([1.0, np.log1p(hits), 100 * hits / max(n, 20)])
+            self._pair = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
+        segments = np.column_stack([start, length]).astype(np.uint64) * np.uint64(UNIT)
+        cut = zstandard.BufferWithSegments(_units(data), segments.tobytes())
+        one, two = (np.fromiter(map(len, c.multi_compress_to_buffer(cut)), np.int64, len(start)) for c in self._pair)
+        return one - two, text
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """A row for each text: 1, windows that gain the margin and their gains (as logarithms), the number of windows."""
+        gain, text = self.gains(texts)
+        return _features(gain, text, len(texts), self.margin)
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return _sigmoid(self.features(texts)[:, :4] @ np.array(self.coefficients))
+
+
+def _features(gain: np.ndarray, text: np.ndarray, n: int, margin: int) -> np.ndarray:
+    hits = np.bincount(text, gain >= margin, n)
+    more = np.bincount(text, np.where(gain >= margin, np.minimum(gain, 24), 0), n)
+    many = np.bincount(text, minlength=n)
+    return np.column_stack([np.ones(n), np.log1p(hits), np.log1p(more), np.log(np.maximum(many, 8) / 8), hits, many])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _apart(texts: list[bytes]) -> list[bytes]:
+    """The texts but for those half of whose windows an earlier one has: copies would train and test the same thing."""
+    seen: set[int] = set()
+    out = []
+    for text in texts:
+        data, start, length, _ = windows(pa.array([text], pa.binary()))
+        own = {xxhash.xxh3_64_intdigest(data[a : a + n]) for a, n in zip(start.tolist(), length.tolist(), strict=True)}
+        if own and 2 * len(own & seen) < len(own):
+            out.append(text)
+        seen |= own
+    return out
+
+
+def _samples(texts: list[bytes], width: int) -> list[bytes]:
+    data, start, length, _ = windows(pa.array(texts, pa.binary()), width)
+    return [data[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A trained dictionary's content; of few samples, which the trainer refuses, the samples themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
 def learn(toxic: list[bytes], ordinary: list[bytes]) -> ToxicityModel:
-    """Two thirds of each class train the dictionaries, the last third calibrates margin and score.
+    """Two thirds of each class give the dictionaries, the last third calibrates their size, the margin and the score.
 
-    The toxic dictionary is trained on those codes that toxic documents hold far more often than ordinary ones
-    do.  Without examples of both classes the score is the share of toxic ones.
+    Without examples of both classes the score is the share of toxic ones.
     """
-    if not toxic or not ordinary:
-        share = len(toxic) / max(1, len(toxic) + len(ordinary))
-        return ToxicityModel(b"", b"", 1 << 30, (float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0, 0.0))
-    a, b = _apart([t for i, t in enumerate(toxic) if i % 3 != 2]), _apart([t for i, t in enumerate(ordinary) if i % 3 != 2])
-    held: dict[bytes, list[bytes]] = {}
-    for w in {w for text in (*a, *b) for w in text}:
-        held[w] = parts(w)
-    count = lambda texts: Counter(p for text in texts for p in {p for w in set(text) for p in held[w]})
-    in_toxic, in_ordinary = count(a), count(b)
-    marked = {p for p, n in in_toxic.items() if n >= 3 and n / len(a) >= 12 * (in_ordinary[p] + 0.5) / (len(b) + 1)}
-    code = {p: hashlib.blake2b(p, digest_size=CODE_BYTES).digest() for p in marked}
-    common = [p for p, n in in_ordinary.most_common(ORDINARY_BYTES // CODE_BYTES)]
-    plain = {p: hashlib.blake2b(p, digest_size=CODE_BYTES).digest() for p in common}
-    samples = [b"".join(code[p] for p in dict.fromkeys(p for w in text for p in reversed(held[w]) if p in marked)) for text in a]
-    others = [b"".join(plain[p] for p in dict.fromkeys(p for w in text for p in reversed(held[w]) if p in plain)) for text in b]
-    ordinary_dict = _dictionary([s for s in others if len(s) >= 8], ORDINARY_BYTES)
-    toxic_dict = _dictionary([s for s in samples if len(s) >= 8], min(TOXIC_BYTES, 2 * CODE_BYTES * max(len(marked), 16)))
-    checks = [(t, 1) for i, t in enumerate(toxic) if i % 3 == 2] + [(t, 0) for i, t in enumerate(ordinary) if i % 3 == 2]
-    y = np.array([label for _, label in checks], float)
-    best = None
-    for margin in (3, 5, 8, 12):
-        model = ToxicityModel(toxic_dict, ordinary_dict, margin, (0.0, 0.0, 0.0))
-        x = np.array([_features(*model.hits(t)) for t, _ in checks])
-        w, weight = np.zeros(3), np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-        weight = (weight + 1) / 2
-        for _ in range(50):
-            p = _sigmoid(x @ w)
-            hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-            w -= np.linalg.solve(hessian, x.T @ (weight * (p - y)) + 0.05 * w)
-        p = np.clip(_sigmoid(x @ w), 1e-6, 1 - 1e-6)
-        loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
-        if best is None or loss < best[0] - 1e-4:
-            best = (loss, margin, w)
-    return ToxicityModel(toxic_dict, ordinary_dict, best[1], tuple(map(float, best[2])))
+    share = len(toxic) / max(1, len(toxic) + len(ordinary))
+    prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+    toxic, ordinary = _apart(toxic), _apart(ordinary)
+    own, others = [t for i, t in enumerate(toxic) if i % 3 != 2], [t for i, t in enumerate(ordinary) if i % 3 != 2]
+    checks = pa.array([*toxic[2::3], *ordinary[2::3]], pa.binary())
+    y = np.array([1.0] * len(toxic[2::3]) + [0.0] * len(ordinary[2::3]))
+    if len(set(y.tolist())) < 2:
+        return ToxicityModel(b"", b"", 1, (prior, 0.0, 0.0, 0.0))
+    base, samples = b"".join(_samples(others, 64))[:ORDINARY_BYTES], _samples(own, 16)
+    size, best = sum(map(len, samples)), None
+    weight = (1 + np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)) / 2
+    for bytes_ in dict.fromkeys(min(TOXIC_BYTES, max(512, size // part)) for part in (100, 32, 12)):
+        model = ToxicityModel(_trained(samples, bytes_), base, 1, ())
+        gain, text = model.gains(checks)
+        for margin in (1, 2, 3, 5):
+            x = _features(gain, text, len(y), margin)[:, :4]
+            w = np.zeros(4)
+            for _ in range(60):
+                p = _sigmoid(x @ w)
+                slope, bend = x.T @ (weight * (p - y)) + 0.05 * w, (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(4)
+                w -= np.linalg.solve(bend, slope)
+            p = np.clip(_sigmoid(x @ w), 1e-6, 1 - 1e-6)
+            loss = -np.mean(weight * (y * np.log(p) + (1 - y) * np.log(1 - p)))
+            if best is None or loss < best[0] - 1e-4:
+                best = (loss, ToxicityModel(model.toxic, base, margin, tuple(map(float, w))))
+    return best[1]
 
 
 def fold(id_col: str) -> Column:
@@ -178,33 +193,35 @@ def fold(id_col: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_sample: int = TOXIC_SAMPLE, ordinary_sample: int = ORDINARY_SAMPLE, sample_chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """Learn from a bounded sample of labelled rows that aren't held out: per class the first by a hash of their id.
 
-    At most ``toxic_sample`` and ``ordinary_sample`` documents, none longer than ``sample_chars`` code points.
-    Rows without id or label don't count; of several labels of a document the largest does.
+    At most ``toxic_sample`` and ``ordinary_sample`` ids are drawn; of their documents those of more than
+    ``sample_chars`` code points don't train, so the sample may be smaller.  Rows without id or label don't count;
+    of several labels of a document the largest does.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != 0)).groupBy(id_col).agg(F.max(label_col).alias("q_label"))
-    texts = []
-    for label, most in ((1, toxic_sample), (0, ordinary_sample)):
-        chosen = known.where(F.col("q_label") == label).orderBy(F.xxhash64(F.lit(6), F.col(id_col)), id_col).limit(most)
-        rows = docs.where(F.char_length(text_col) <= sample_chars).select(id_col, F.col(text_col).cast("binary").alias("t")).join(F.broadcast(chosen), id_col)  # at most ``most`` ids
-        texts.append([bytes(r[0]) for r in rows.orderBy(F.xxhash64(F.lit(6), F.col(id_col)), "t").limit(most).select("t").collect()])
-    return learn(*texts)
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != 0)).groupBy(F.col(id_col).alias("q_id")).agg(F.max(label_col).alias("q_label"))
+    drawn = [known.where(F.col("q_label") == label).orderBy(F.xxhash64(F.lit(6), F.col("q_id")), "q_id").limit(most) for label, most in ((1, toxic_sample), (0, ordinary_sample))]
+    chosen = drawn[0].unionByName(drawn[1])  # at most the two samples' ids
+    rows = docs.where(F.char_length(text_col) <= sample_chars).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(chosen), F.col("id") == F.col("q_id"))
+    got = rows.select("q_label", F.xxhash64(F.lit(6), F.col("id")).alias("h"), "t").collect()
+    texts = {label: [bytes(r["t"]) for r in sorted(got, key=lambda r: (r["h"], bytes(r["t"]))) if r["q_label"] == label] for label in (1, 0)}
+    return learn(texts[1][:toxic_sample], texts[0][:ordinary_sample])
 
 
 def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, hits, n_words) of every row.  Null and blank texts have no window and the score of none."""
+    """(id, score, hits, windows) of every row.  Null and blank texts have no window, and the score of none."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.hits(t) for t in batch.column(1).to_pylist()]
-            scores = [float(_sigmoid(np.dot(_features(*f), model.coefficients))) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["id", "score", "hits", "n_words"])
+            for part in chunks(batch, 1, CHUNK):
+                x = model.features(part.column(1))
+                scores = _sigmoid(x[:, :4] @ np.array(model.coefficients))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(x[:, 4].astype(np.int64)), pa.array(x[:, 5].astype(np.int64))], names=["id", "score", "hits", "windows"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, score double, hits bigint, n_words bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, score double, hits bigint, windows bigint")
 
 
 def digest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: whether it is held out, its score and the predicted label.
+    """A row for each document: whether it is held out, its score, the predicted label and the windows that count.
 
     Equal rows get equal scores, an empty table stays empty, texts are read whole, other columns are not read.
     """
