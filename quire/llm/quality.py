@@ -8,20 +8,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE_CLASS, words_of
+from quire.llm.common import SPACE_CLASS, own_columns, own_rows, words_of
 
 #: Labelled rows that a list is learned from, at most.
 SAMPLE = 8_000
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with counts of their whole texts, in columns that start with ``q_``.
+    """The rows of ``docs`` as a struct ``q_own``, with counts of their whole texts in columns that start with ``q_``.
 
     ``q_repeat_words``: words inside a 3-word window that is found twice or more.  A window is a hash above its
     place in one long; sorted, equal windows are neighbours, and the words themselves confirm them.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("q_words", words_of(F.col(text_col))).withColumn("q_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE_CLASS}]")))
+    text = F.coalesce(F.col("q_text"), F.lit(""))
+    out = own_rows(docs, q_text=F.col(text_col)).withColumn("q_words", words_of(F.col("q_text"))).withColumn("q_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE_CLASS}]")))
     out = out.withColumn("q_n_words", F.size("q_words").cast("long")).withColumn("q_bits", F.length(F.bin("q_n_words")))
     out = out.withColumn(
         "q_windows",
@@ -42,7 +42,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("q_upper", (F.char_length(text) - F.char_length(F.regexp_replace(text, r"[A-Z!]", ""))).cast("long"))
         .withColumn("q_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"))
         .withColumn("q_n_lines", F.size("q_lines").cast("long"))
-        .drop("q_words", "q_lines", "q_bits", "q_windows", "q_mask", "q_found")
+        .drop("q_text", "q_words", "q_lines", "q_bits", "q_windows", "q_mask", "q_found")
     )
 
 
@@ -142,17 +142,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     worst = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("q_label"))
     chosen = worst.orderBy(F.xxhash64(F.lit(3), F.col(id_col)), id_col).limit(sample)
-    rows = with_statistics(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), text_col)  # at most ``sample`` rows are broadcast
-    names = list(ratios())
-    got = rows.select(F.xxhash64(F.lit(4), F.col(id_col)).alias("h"), "q_label", *[c.alias(n) for n, c in ratios().items()]).orderBy("h", *names).limit(sample).collect()
+    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id")  # at most ``sample`` rows are broadcast
+    rows, names = with_statistics(drawn), list(ratios())
+    got = rows.select(F.xxhash64(F.lit(4), F.col("q_own.id")).alias("h"), F.col("q_own.q_label").alias("q_label"), *[c.alias(n) for n, c in ratios().items()]).orderBy("h", *names).limit(sample).collect()
     x = np.array([[r[n] for n in names] for r in got], float).reshape(len(got), len(names))
     return learn(x, np.array([r["q_label"] == 0 for r in got], bool), names)
 
 
 def judged(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """``docs`` with their statistics, ``q_base_failed`` and ``q_kept``.
+    """The rows of ``docs`` as a struct ``q_own`` with their statistics, ``q_base_failed`` and ``q_kept``.
 
-    Null and blank texts have zero words and fail.  Equal rows get equal verdicts; an empty table stays empty.
+    Null and blank texts have zero words and fail.  Equal rows get equal verdicts; an empty table stays empty; no
+    column of ``docs`` can clash with ours.
     """
     out = with_statistics(docs, text_col)
     out = out.withColumn("q_base_failed", (F.col("q_n_words") < 50) | (F.col("q_repeat_words") * 100 > F.col("q_n_words") * 50))
@@ -160,14 +161,14 @@ def judged(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that neither the base limits nor the learned list reject."""
+    """The rows of ``docs`` that neither the base limits nor the learned list reject, with all their columns; see ``judged``."""
     out = judged(docs, fit(docs, labels, id_col, text_col), text_col)
     # the row number is a barrier: pushed below the statistics, the filter would repeat them inside each other
-    return out.withColumn("q_row", F.monotonically_increasing_id()).where(F.col("q_kept") & (F.col("q_row") >= 0)).select(*docs.columns)
+    return own_columns(out.withColumn("q_row", F.monotonically_increasing_id()).where(F.col("q_kept") & (F.col("q_row") >= 0)), docs.columns)
 
 
 def digest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: its counts, whether it fails the base limits, and the verdict."""
+    """A row for each document: its counts, whether it fails the base limits, and the verdict; see ``judged``."""
     out = judged(docs.select(id_col, text_col), fit(docs, labels, id_col, text_col), text_col)
     names = {"q_n_words": "n_words", "q_word_chars": "word_chars", "q_symbols": "n_symbols", "q_dup_lines": "n_dup_lines", "q_repeat_words": "n_repeat_words", "q_base_failed": "base_failed", "q_kept": "kept"}
-    return out.select(id_col, *[F.col(a).alias(b) for a, b in names.items()])
+    return out.select(F.col("q_own").getField(id_col).alias(id_col), *[F.col(a).alias(b) for a, b in names.items()])
