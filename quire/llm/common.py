@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,13 +23,21 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` or ``setCheckpointDir`` names it.
+
+    On one machine (a local master) a temporary folder does; a cluster without the setting is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    own = tempfile.mkdtemp(prefix="quire-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{_own_folder()}"
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="quire-")
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -42,14 +50,12 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Free what finished steps leave behind: the files of the given scratch tables and unreachable shuffles."""
+    """Delete the files of the given scratch tables, which nothing reads any more."""
     for df in frames:
         for path in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
             for held in [x for x in _written if x[1].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]]:
                 _delete(*held)
                 _written.remove(held)
-    gc.collect()
-    SparkSession.getActiveSession().sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -82,6 +88,25 @@ def own_columns(df: DataFrame, columns: list[str], **more: Column) -> DataFrame:
     return df.select(*[F.col("q_own").getField(c).alias(c) for c in columns], *named)
 
 
+#: A key with more than one in so many of all rows is heavy, so there are fewer than so many of them; nor is any with fewer rows than the least.
+HEAVY_SHARE, HEAVY_LEAST = 1 << 14, 4096
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, least: int = HEAVY_LEAST) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key and in ``weight`` how many rows hold it.
+
+    The rows of heavy keys, however many, meet a broadcast of at most HEAVY_SHARE rows where they are; what is left is
+    shuffled, and no key of it fills a task.  Keys are not null.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    edge = max(least, total // HEAVY_SHARE)
+    heavy = table.where(F.col(weight) > edge)
+    if heavy.isEmpty():
+        return rows.join(table.hint("merge"), keys)
+    heavy = F.broadcast(heavy)  # fewer than HEAVY_SHARE rows: their weights add up to at most the total
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(table.where(F.col(weight) <= edge).hint("merge"), keys))
+
+
 def row_key(*columns: Column) -> Column:
     """64 bits that tell rows apart which share an id; equal rows share it."""
     return F.xxhash64(F.lit(17), *columns)

@@ -1,4 +1,4 @@
-"""Substring dedup by content-defined blocks and window hashes, in place of a greedy relative Lempel-Ziv parse."""
+"""Substring dedup by a relative Lempel-Ziv parse of all documents against content-cut reference blocks."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Words, mixed, release, row_key, scratch
+from quire.llm.common import HEAVY_SHARE, Words, mixed, release, row_key, scratch, spread_join
 
-#: Words of the anchors that index blocks.
-ANCHOR = 10
+#: Words of the anchors that index blocks, and distinct blocks of an anchor up to which one task parses them.
+ANCHOR, CROWD = 10, 2048
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -28,9 +28,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Hashed:
     """Word hashes of a batch of texts, and hashes of any range of words in constant time."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, seed: int = 0) -> None:
         found = Words(texts)
-        self.words, self.starts = found.hashes(), found.starts
+        self.words, self.starts = found.hashes(seed), found.starts
         n = len(self.words)
         self.back = _powers(_INVERSE, n)
         self.sums = np.zeros(n + 1, np.uint64)
@@ -89,59 +89,147 @@ def _block_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, rk bigint, start bigint, n bigint, anchor bigint, block bigint")
 
 
-def _window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """Hashes of every window of the blocks listed in ``open``: (id, rk, at, hash, anchor)."""
+def _block_texts(docs: DataFrame) -> DataFrame:
+    """The words of the blocks listed in ``open``, joined by single spaces: (anchor, id, rk, start, n, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _batches(batches, 64):
-            h = Hashed(part.column(2))
-            rows, at, anchors = [], [], []
-            for i, listed in enumerate(part.column(3).to_pylist()):
+        for part in _batches(batches):
+            rows: list[tuple] = []
+            at: list[int] = []
+            for i, (text, listed) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                words = (text or b"").split()
                 for x in listed:
-                    m = x["n"] - window + 1
-                    rows.append(np.full(m, i))
-                    at.append(np.arange(x["start"], x["start"] + m))
-                    anchors.append(np.full(m, x["anchor"]))
-            if not rows:
-                continue
-            row, place = np.concatenate(rows), np.concatenate(at)
-            begin = h.starts[row] + place
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(place, pa.int64()), pa.array(h.ranges(begin, begin + window).view(np.int64)), pa.array(np.concatenate(anchors), pa.int64())], names=["id", "rk", "at", "hash", "anchor"])
-
-    return docs.mapInArrow(run, "id bigint, rk bigint, at bigint, hash bigint, anchor bigint")
-
-
-def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """(id, rk, start, n): the stretches of words of each document that an earlier document holds too.
-
-    The reference is the whole corpus, cut into blocks by content and indexed by anchor, each distinct block
-    with the smallest id that holds it.  Nothing is parsed greedily: a block of a document
-    that the index gives to a smaller id is a factor, copied whole.  Factors end where texts part.  There a
-    block has an anchor in common with other blocks, but not all its words, so such blocks, once for each
-    distinct one, are checked window by window against all others with the same anchor.
-
-    Counts are pre-aggregated, and only one holder of each distinct block is checked at its edges, so a passage
-    of very many documents costs one row for each, and nothing more.
+                    rows.append((x["anchor"], x["start"], x["n"], b" ".join(words[x["start"] : x["start"] + x["n"]])))
+                    at.append(i)
+            if rows:
+                anchor, start, n, held = zip(*rows, strict=True)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(held, pa.binary())], names=["anchor", "id", "rk", "start", "n", "words"])
+
+    return docs.mapInArrow(run, "anchor bigint, id bigint, rk bigint, start bigint, n bigint, words binary")
+
+
+class Reference:
+    """Blocks of earlier documents that share an anchor, indexed by the hash of each of their windows."""
+
+    def __init__(self, window: int) -> None:
+        self.window = window
+        self.blocks: list[list[bytes]] = []
+        self.index: dict[int, tuple[int, int]] = {}
+
+    def add(self, words: list[bytes], hashes: list[int]) -> None:
+        for at, h in enumerate(hashes):
+            self.index.setdefault(h, (len(self.blocks), at))
+        self.blocks.append(words)
+
+    def factors(self, words: list[bytes], hashes: list[int]) -> list[tuple[int, int]]:
+        """The greedy parse of a block: (first word, words) of each factor that is long enough.
+
+        From the left, a window that the index holds is compared word by word and grows as far as the reference
+        goes along; that is a factor.  Windows inside it are copied with it.  The search goes on at the first window
+        that reaches beyond the factor's end, so what starts inside one factor and ends in the next is found too.
+        """
+        out, at, window = [], 0, self.window
+        while at < len(hashes):
+            found = self.index.get(hashes[at])
+            if found is not None:
+                block, place = self.blocks[found[0]], found[1]
+                long = window
+                if words[at : at + window] == block[place : place + window]:
+                    most = min(len(words) - at, len(block) - place)
+                    while long < most and words[at + long] == block[place + long]:
+                        long += 1
+                    out.append((at, long))
+                    at += long - window + 1
+                    continue
+            at += 1
+        return out
+
+
+def _parsed(blocks_: DataFrame, window: int) -> DataFrame:
+    """Blocks of each anchor in the order of their ids, factored against those of smaller ids: (id, rk, start, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, earlier, waiting = None, Reference(window), []
+        for part in _batches(batches, 2048):
+            h = Hashed(part.column(5))
+            ids, anchors, found = part.column(1).to_pylist(), part.column(0).to_pylist(), []
+            begin = part.column(3).to_pylist()
+            for i, text in enumerate(part.column(5).to_pylist()):
+                if (anchors[i], ids[i]) != last:
+                    if last and last[0] == anchors[i]:
+                        for held in waiting:
+                            earlier.add(*held)
+                    else:
+                        earlier = Reference(window)
+                    waiting, last = [], (anchors[i], ids[i])
+                words = text.split()
+                place = np.arange(h.starts[i], h.starts[i + 1] - window + 1)
+                hashes = h.ranges(place, place + window).tolist()
+                found += [(i, begin[i] + a, n) for a, n in earlier.factors(words, hashes)]
+                waiting.append((words, hashes))
+            if found:
+                at, start, n = zip(*found, strict=True)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([part.column(1).take(take), part.column(2).take(take), pa.array(start, pa.int64()), pa.array(n, pa.int64())], names=["id", "rk", "start", "n"])
+
+    ordered = blocks_.repartition("anchor").sortWithinPartitions("anchor", "id", "rk", "start")
+    return ordered.mapInArrow(run, "id bigint, rk bigint, start bigint, n bigint")
+
+
+def _window_hashes(blocks_: DataFrame, window: int) -> DataFrame:
+    """Every window of the blocks, as 128 hash bits: (id, rk, at, h1, h2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _batches(batches, 2048):
+            one, two = Hashed(part.column(5)), Hashed(part.column(5), 1)
+            many = np.diff(one.starts) - window + 1
+            row = np.repeat(np.arange(part.num_rows), many)
+            nth = np.arange(len(row)) - (np.cumsum(many) - many)[row]
+            begin, take = one.starts[row] + nth, pa.array(row)
+            place = part.column(3).to_numpy()[row] + nth
+            yield pa.RecordBatch.from_arrays([part.column(1).take(take), part.column(2).take(take), pa.array(place, pa.int64()), *[pa.array(h.ranges(begin, begin + window).view(np.int64)) for h in (one, two)]], names=["id", "rk", "at", "h1", "h2"])
+
+    return blocks_.mapInArrow(run, "id bigint, rk bigint, at bigint, h1 bigint, h2 bigint")
+
+
+def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, crowd: int = CROWD) -> DataFrame:
+    """(id, rk, start, n): factors of at least ``window`` words of each document that an earlier document holds too.
+
+    The reference is the whole corpus, cut into blocks by content and indexed by anchor, each distinct block with the
+    smallest id that holds it.  A block of a document that the index gives to a smaller id is a factor, copied whole.
+    Where texts part, blocks have an anchor in common but not all their words; such blocks, once for each distinct
+    one, are parsed greedily against all blocks of their anchor that smaller ids hold, word by word.
+
+    An anchor of more than ``crowd`` distinct blocks would be a task of its own; its blocks' windows are looked up by
+    128 hash bits instead, whose smallest ids are aggregated before anything is shuffled.  Only one holder of each
+    distinct block is parsed, so a passage of very many documents costs one row for each, and nothing more.
     """
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).cast("binary").alias("t"))
     rows = scratch(_block_rows(slim, window), "blocks")
     key = ["anchor", "block", "n"]
-    index = rows.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    index = index.withColumn("parted", F.count(F.lit(1)).over(Window.partitionBy("anchor")) > 1).where("parted or last > first")
-    index = scratch(index.select(*key, "first", "parted"), "index")
-    met = rows.join(index.hint("merge"), key).where("id > first or parted")
+    index = scratch(rows.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("holders")), "index")
+    parted = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
+    parted = scratch(parted, "parted")
+    open_ones = spread_join(index, parted, ["anchor"], "blocks")
+    shared = index.where("last > first").withColumn("blocks", F.lit(None).cast("long"))
+    wanted = shared.unionByName(open_ones).groupBy(*key).agg(F.min("first").alias("first"), F.max("holders").alias("holders"), F.max("blocks").alias("blocks"))
+    met = spread_join(rows, scratch(wanted, "wanted"), key, "holders").where("id > first or blocks is not null")
     met = scratch(met.select("id", "rk", "start", "n", F.when(F.col("id") == F.col("first"), F.col("anchor")).alias("anchor")), "met")
-    release(rows, index)
     copied = met.where("anchor is null").select("id", "rk", "start", "n")
     listed = met.where("anchor is not null").groupBy("id", "rk").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("open"))
-    named = listed.withColumnRenamed("id", "q_id").withColumnRenamed("rk", "q_rk")
-    checked = slim.join(named.hint("shuffle_hash"), (F.col("rk") == F.col("q_rk")) & (F.col("id") == F.col("q_id"))).select("id", "rk", "t", "open")
-    found = _window_rows(checked, window).withColumn("first", F.min("id").over(Window.partitionBy("hash", "anchor"))).where("id > first")
-    single = scratch(found.select("id", "rk", F.col("at").alias("start"), F.lit(window).cast("long").alias("n")), "windows")
-    del checked, found
-    release()
-    return copied.unionByName(single)
+    named = listed.select(F.col("id").alias("q_id"), F.col("rk").alias("q_rk"), "open")
+    holders = slim.join(named.hint("shuffle_hash"), (F.col("rk") == F.col("q_rk")) & (F.col("id") == F.col("q_id"))).select("id", "rk", "t", "open")
+    texts = scratch(_block_texts(holders), "texts")
+    release(rows, index)
+    crowded = parted.where(F.col("blocks") > crowd).select("anchor")
+    if crowded.count() <= HEAVY_SHARE:
+        crowded = F.broadcast(crowded)
+    single = scratch(_parsed(texts.join(crowded, "anchor", "left_anti"), window), "parsed")
+    windows = scratch(_window_hashes(texts.join(crowded, "anchor", "left_semi"), window), "windows")
+    firsts = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("holders")).where("last > first")
+    again = spread_join(windows, scratch(firsts, "firsts"), ["h1", "h2"], "holders").where("id > first").select("id", "rk", F.col("at").alias("start"), F.lit(window).cast("long").alias("n"))
+    return copied.unionByName(single).unionByName(again)
 
 
 def with_factors(docs: DataFrame, factors: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,5 +274,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """A row for each document: its words, how many go, and the SHA-256 of what stays; see ``dedup_substrings``."""
     out = dedup_substrings(docs, id_col, text_col, window)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256")
