@@ -6,97 +6,113 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import scratch
 
-#: Vectors of a packed block, and queries of one.
-BLOCK, QUERIES = 4096, 512
-#: Standard errors that the bounds allow; the estimate lies outside with a probability below 1e-4.
-ERRORS = 4.0
+#: Vectors whose codes are a row; vectors and queries that meet in one cell, at most about.
+BLOCK, CELL, QUERIES = 4096, 1 << 17, 1024
+#: Bits of a code for each component; standard errors that the bounds allow (outside lies less than one in a hundred).
+RATIO, ERRORS = 8, 2.5
 
 
-def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix; every task makes the same one."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def rotation(dim: int, width: int, seed: int) -> np.ndarray:
+    """``dim`` random orthonormal rows of ``width`` components; every task makes the same ones."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, width)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
-class Codes:
-    """One-bit codes of vectors: signs of the rotated unit residual to a centre, and correction scalars.
+def width_of(dim: int) -> int:
+    """Bits of a code: RATIO for each component, in whole bytes."""
+    return -(-dim * RATIO // 8) * 8
+
+
+def turned(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotated unit residuals to the centre, and the residuals' lengths."""
+    residual = vectors - centre
+    norm = np.sqrt((residual**2).sum(axis=1))
+    return residual / np.maximum(norm, 1e-300)[:, None] @ turn, norm
+
+
+def encoded(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One-bit codes: packed signs of the rotated unit residuals, and the correction scalars norm and fit.
 
     ``fit`` is the inner product of a residual's unit vector with its own code, by which an estimate is divided;
     its distance from 1 gives the estimate's error.
     """
+    unit, norm = turned(vectors, centre, turn)
+    return np.packbits(unit > 0, axis=1), norm, np.maximum(np.abs(unit).sum(axis=1) / np.sqrt(unit.shape[1]), 1e-9)
+
+
+def bounds(bits: np.ndarray, norm: np.ndarray, fit: np.ndarray, units: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the squared distances of coded vectors (rows) to queries (columns).
 
-    def __init__(self, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> None:
-        residual = vectors - centre
-        self.norm = np.sqrt((residual**2).sum(axis=1))
-        unit = residual / np.maximum(self.norm, 1e-300)[:, None] @ turn
-        signs = unit > 0
-        self.bits = np.packbits(signs, axis=1)
-        self.fit = np.maximum(np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1]), 1e-9)
-        self.error = np.sqrt(np.maximum(0.0, 1 - self.fit**2)) / self.fit / np.sqrt(max(1, vectors.shape[1] - 1))
-
-    def lower_bounds(self, query: np.ndarray, query_norm: float) -> np.ndarray:
-        """Lower bounds of the squared distances to a query, given as its rotated unit residual and its norm."""
-        dim = len(query)
-        # a table for each byte of the code: the sum over its eight signs of the query's components
-        padded = np.zeros(-(-dim // 8) * 8)
-        padded[:dim] = query
-        table = padded.reshape(-1, 8) @ (2.0 * _BITS.T - 1.0)
-        product = table[np.arange(len(table))[None, :], self.bits].sum(axis=1) / np.sqrt(dim) / self.fit
-        most = np.minimum(1.0, product + ERRORS * self.error)
-        return self.norm**2 + query_norm**2 - 2 * self.norm * query_norm * most
-
-
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(float)
-
-
-def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> tuple[list[np.ndarray], ...]:
-    """Each query's k nearest of a block: bounds choose which vectors are measured exactly, nearest bounds first."""
-    codes = Codes(vectors, centre, turn)
-    out: tuple[list[np.ndarray], ...] = ([], [], [])
-    for query_id, query in zip(query_ids, queries, strict=True):
-        residual = query - centre
-        norm = float(np.sqrt((residual**2).sum()))
-        bounds = codes.lower_bounds(residual / max(norm, 1e-300) @ turn, norm)
-        bounds[ids == query_id] = np.inf
-        order = np.argsort(bounds, kind="stable")
-        order = order[: int(np.isfinite(bounds).sum())]
-        got, far, at = np.empty(0), np.empty(0, np.int64), 0
-        step = 4 * k
-        while at < len(order):
-            if len(got) >= k and bounds[order[at]] > got[k - 1]:
-                break
-            part = order[at : at + step]
-            exact = ((vectors[part] - query) ** 2).sum(axis=1)
-            got, far = np.append(got, exact), np.append(far, ids[part])
-            best = np.lexsort((far, got))[:k]
-            got, far = got[best], far[best]
-            at += step
-            step *= 2
-        out[0].append(np.full(len(got), query_id))
-        out[1].append(far)
-        out[2].append(np.sqrt(got))
-    return out
-
-
-def _packed(vectors: DataFrame, dim: int, at_once: int) -> DataFrame:
-    """Blocks of at most ``at_once`` vectors in a row each: their ids and double components as bytes."""
+    ``units`` are the queries' rotated unit residuals, ``norms`` their lengths.
+    """
+    width = units.shape[1]
+    signs = np.unpackbits(bits, axis=1, count=width).astype(np.float32) * 2 - 1
+    product = (signs @ units.T.astype(np.float32)).astype(np.float64) / (np.sqrt(width) * fit)[:, None]
+    error = ERRORS * (np.sqrt(np.maximum(0.0, 1 - fit**2)) / fit / np.sqrt(max(1, width - 1)))[:, None]
+    near, far, both = np.minimum(1.0, product + error), np.maximum(-1.0, product - error), (norm**2)[:, None] + norms**2
+    scale = 2 * norm[:, None] * norms
+    return both - scale * near, both - scale * far
+
+
+class Nearest:
+    """Candidates of a cell's queries among code blocks that pass by; memory is that of the candidates' bounds."""
+
+    def __init__(self, ids: np.ndarray, units: np.ndarray, norms: np.ndarray, k: int) -> None:
+        self.ids, self.units, self.norms, self.k = ids, units, norms, k
+        self.best = np.full((k, len(ids)), np.inf)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def meet(self, ids: np.ndarray, bits: np.ndarray, norm: np.ndarray, fit: np.ndarray) -> None:
+        """A vector may be among the nearest if its lower bound is not above the k-th smallest upper bound."""
+        low, high = bounds(bits, norm, fit, self.units, self.norms)
+        own = ids[:, None] == self.ids
+        low[own], high[own] = np.inf, np.inf
+        self.best = np.partition(np.concatenate([self.best, high]), self.k - 1, axis=0)[: self.k]
+        x, q = np.nonzero((low <= self.best.max(axis=0)) & np.isfinite(low))
+        self.held.append((q, ids[x], low[x, q], high[x, q]))
+        self.waiting += len(x)
+        if self.waiting > 4_000_000:
+            self._sift()
+
+    def _sift(self) -> None:
+        if self.held:
+            q, ids, low, high = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            keep = low <= self.best.max(axis=0)[q]
+            self.held = [(q[keep], ids[keep], low[keep], high[keep])]
+            self.waiting = int(keep.sum())
+
+    def candidates(self) -> tuple[np.ndarray, ...]:
+        self._sift()
+        q, ids, low, high = self.held[0] if self.held else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))
+        return self.ids[q], ids, low, high
+
+
+def _packed(vectors: DataFrame, dim: int, centre: np.ndarray, seed: int, at_once: int, code: bool) -> DataFrame:
+    """Blocks of at most ``at_once`` vectors in a row each, as bytes: ids and norms, and codes with fits or rotated units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        turn = rotation(dim, width_of(dim), seed)
         ids, rows, number = [], [], TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
             nonlocal ids, rows, number
             number += 1
-            made = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(rows).tobytes()], pa.binary())], names=["block", "ids", "vectors"])
+            all_ids, all_rows = np.concatenate(ids), np.concatenate(rows)
+            if code:
+                body, norm, fit = encoded(all_rows, centre, turn)
+            else:
+                (body, norm), fit = turned(all_rows, centre, turn), np.empty(0)
+                body = body.astype(np.float32)
             ids, rows = [], []
-            return made
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (all_ids, body, norm, fit)]], names=["block", "ids", "body", "norm", "fit"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, at_once):
@@ -108,52 +124,94 @@ def _packed(vectors: DataFrame, dim: int, at_once: int) -> DataFrame:
         if ids:
             yield out()
 
-    return vectors.mapInArrow(run, "block bigint, ids binary, vectors binary")
+    return vectors.mapInArrow(run, "block bigint, ids binary, body binary, norm binary, fit binary")
 
 
 def sound_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): vectors without null or non-finite components and not all zero, once for each distinct row."""
     v = F.col(vector_col)
     good = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return table.where(good).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+    return table.where(good).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+
+
+def _candidates(rows: DataFrame, asked: DataFrame, dim: int, centre: np.ndarray, seed: int, k: int, sides: tuple[int, int]) -> DataFrame:
+    """(query_id, id, low, high): per cell of the grid vectors x queries, what the codes can't rule out.
+
+    Only codes travel to the cells, and each cell holds its own queries and no others.
+    """
+    width, (v, q) = width_of(dim), sides
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    slot = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("long")
+    codes = _packed(rows, dim, centre, seed, BLOCK, True).withColumn("row", slot(v)).withColumn("column", spread(q)).withColumn("kind", F.lit(1))
+    wanted = _packed(asked, dim, centre, seed, QUERIES, False).withColumn("row", spread(v)).withColumn("column", slot(q)).withColumn("kind", F.lit(0))
+    cells = wanted.unionByName(codes).repartition(v * q, "row", "column").sortWithinPartitions("row", "column", "kind", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, queries, nearest = None, [], None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if nearest is not None:
+                found = nearest.candidates()
+                for at in range(0, len(found[0]), 100_000):
+                    part = [c[at : at + 100_000] for c in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.float64()), pa.array(part[3], pa.float64())], names=["query_id", "id", "low", "high"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["row"], r["column"]) != cell:
+                    yield from out()
+                    cell, queries, nearest = (r["row"], r["column"]), [], None
+                ids, norm = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["norm"])
+                if r["kind"] == 0:
+                    queries.append((ids, np.frombuffer(r["body"], np.float32).reshape(-1, width), norm))
+                elif queries:
+                    if nearest is None:
+                        nearest = Nearest(*(np.concatenate(c) for c in zip(*queries, strict=True)), k)
+                    nearest.meet(ids, np.frombuffer(r["body"], np.uint8).reshape(len(ids), -1), norm, np.frombuffer(r["fit"]))
+        yield from out()
+
+    return cells.select("row", "column", "kind", "ids", "body", "norm", "fit").mapInArrow(run, "query_id bigint, id bigint, low double, high double")
+
 
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean distance in double precision."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
-def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, seed: int = 7) -> DataFrame:
+
+def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, seed: int = 7, cell: int = CELL, at_once: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows of ``table`` by Euclidean distance.
 
-    All rows are coded against the mean of all.  Queries go in blocks of 512 to as many slots as there are
-    shuffle partitions, blocks of vectors to one slot each; there the codes' bounds choose what is measured on
-    the original vectors.  Ties go to the smaller id.  A query doesn't find its own id; rows of unlike length
-    from the most frequent one, and vectors that are null, zero or not finite, take no part; equal rows count
-    once.  With few rows a query has fewer than k; an empty table gives an empty result.
+    All rows are coded once, against the mean of all.  Codes and queries meet in cells of about ``cell`` vectors and
+    ``at_once`` queries.  What the bounds leave there is cut once more by each query's k-th smallest upper bound
+    over all cells; only for what is left are the original vectors fetched and measured.
+
+    Ties go to the smaller id.  A query doesn't find its own id; rows of unlike length from the most frequent one,
+    and vectors that are null, zero or not finite, take no part; equal rows count once.  With few rows a query has
+    fewer than k; an empty table gives an empty result; other columns are not read.
     """
     spark = table.sparkSession
     sound = sound_vectors(table, id_col, vector_col)
     stats = sound.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("dim").desc()).limit(1).collect()
     if not stats:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim = stats[0]["dim"]
+    dim, n = stats[0]["dim"], stats[0]["n"]
     rows = scratch(sound.where(F.size("v") == dim).distinct(), "vectors")
-    centre = np.array(rows.select([F.avg(F.col("v")[i]) for i in range(dim)]).first(), float)
-    asked = sound_vectors(queries, id_col, vector_col).where(F.size("v") == dim).distinct()
-    slots = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    vectors = _packed(rows, dim, BLOCK).withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
-    wanted = _packed(asked, dim, QUERIES).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
-    met = vectors.join(wanted.hint("shuffle_hash"), "slot").select("ids", "vectors", "q_ids", "q_vectors")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim, seed)
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = _search(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, dim), np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"]).reshape(-1, dim), centre, turn, k)
-                q, i, d = (np.concatenate(x) for x in found)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    near = met.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    centre = np.array(rows.select([F.avg(F.col("v")[i].cast("double")) for i in range(dim)]).first(), float)
+    asked = scratch(sound_vectors(queries, id_col, vector_col).where(F.size("v") == dim).distinct(), "queries")
+    sides = -(-n // cell), max(1, -(-asked.count() // at_once))
+    found = scratch(_candidates(rows, asked, dim, centre, seed, k, sides), "candidates")
+    by_bound = Window.partitionBy("query_id").orderBy("high")
+    edge = found.select("query_id", "high", F.row_number().over(by_bound).alias("n")).where(F.col("n") <= k).groupBy("query_id").agg(F.max("high").alias("edge"), F.count(F.lit(1)).alias("n"))
+    left = found.join(edge, "query_id").where((F.col("low") <= F.col("edge")) | (F.col("n") < k)).select("query_id", "id")
+    measured = (
+        left.join(rows.hint("shuffle_hash"), "id")
+        .join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")).hint("shuffle_hash"), "query_id")
+        .select("query_id", F.col("id").alias("vec_id"), distance(F.col("v"), F.col("q")).alias("score"))
+    )
     by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return measured.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def digest(table: DataFrame) -> DataFrame:
-    """The stated query set: rows whose id is divisible by 100, against all rows."""
+    """The stated query set: rows whose id is divisible by 100, against all rows; see ``search``."""
     return search(table, table.where(F.col("vec_id") % 100 == 0))
