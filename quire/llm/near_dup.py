@@ -8,10 +8,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Words, chunks, mixed, release, scratch
+from quire.llm.common import Words, chunks, mixed, own_columns, own_rows, release, scratch, spread_join
 from quire.llm.graph import components
 
 #: Coordinates of a signature, and the probability with which a pair at the threshold may agree in too few of them.
@@ -97,26 +97,38 @@ def _postings(classes: DataFrame, match: int) -> DataFrame:
     common order.  Values that nobody shares come first in that order and need no posting, so a class with s
     shared values has s - match + 1 postings, and none if s is less than ``match``.
     """
-    values = classes.select("id", F.posexplode("sig").alias("k", "value")).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("held > 1")
+    values = classes.select("id", F.posexplode("sig").alias("k", "value"))
+    counts = scratch(values.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
+    values = spread_join(values, counts, ["value"], "held")
     prefix = values.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "value", "k"))).alias("shared")).where(F.size("shared") >= match)
     prefix = prefix.select("id", F.slice("shared", F.lit(1), F.size("shared") - (match - 1)).alias("first"))
     prefix = prefix.withColumn("bits", F.expr("aggregate(first, 0L, (s, x) -> s | shiftleft(1L, x.k))"))
     return prefix.join(classes.select("id", "n", "small"), "id").select(F.explode("first").alias("first"), "bits", "id", "n", "small").select("first.value", "first.held", "bits", "id", "n", "small")
 
 
-def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the 64 short values agree, for each row of ``a`` and of ``b``."""
-    out = np.empty((len(a), len(b)), np.uint8)
-    for i in range(0, len(a), 64):
-        out[i : i + 64] = (a[i : i + 64, None, :] == b[None, :, :]).sum(axis=2, dtype=np.uint8)
-    return out
-
-
 def _agree(a: dict, b: dict, match: int, similarity: int) -> np.ndarray:
-    """The match counts of the pairs that may be similar enough: enough matches and sizes near enough; else 0."""
-    found = _matches(a["small"], b["small"])
+    """How many coordinates the pairs of two groups collide in, if at least ``match``, and sizes are near enough; else 0.
+
+    The coordinates' postings inside the groups are merged one after another.  After 64 - match + 1 of them, the
+    prefix, a pair without a collision has no chance; from there on a pair is skipped as soon as the postings that
+    are left can't bring it to ``match``, and only pairs that are still open are looked up in the next ones.
+    """
+    left, right = a["small"], b["small"]
     small, large = np.minimum(a["n"][:, None], b["n"][None, :]), np.maximum(a["n"][:, None], b["n"][None, :])
-    found[(found < match) | (100 * small < similarity * large)] = 0
+    found = np.zeros((len(left), len(right)), np.uint8)
+    prefix = COORDINATES - match + 1
+    for mine, theirs in zip(np.ascontiguousarray(left.T[:prefix]), np.ascontiguousarray(right.T[:prefix]), strict=True):
+        found += mine[:, None] == theirs[None, :]
+    x, y = np.nonzero((found >= match - (COORDINATES - prefix)) & (100 * small >= similarity * large))
+    counts = found[x, y]
+    found[:] = 0
+    for at in range(prefix, COORDINATES, 8):
+        to = min(at + 8, COORDINATES)
+        counts = counts + (left[x, at:to] == right[y, at:to]).sum(axis=1, dtype=np.uint8)
+        keep = counts + (COORDINATES - to) >= match
+        x, y, counts = x[keep], y[keep], counts[keep]
+    keep = counts >= match
+    found[x[keep], y[keep]] = counts[keep]
     return found
 
 
@@ -381,6 +393,11 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 
 
 def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, **limits: int) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; rows that share that id are one document and stay."""
-    kept = digest(docs, id_col, text_col, similarity, **limits).where("kept").select(F.col(id_col).alias("q_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("q_id")), "left_semi")
+    """The rows of ``docs`` whose id is the smallest of its group, with all their columns, whatever their names.
+
+    Rows that share that id are one document and stay together; rows without id, and null and blank texts, are in no
+    group and stay.  An empty table stays empty.
+    """
+    kept = digest(docs.select(id_col, text_col), id_col, text_col, similarity, **limits).where("kept").select(F.col(id_col).alias("q_id")).distinct()
+    rows = own_rows(docs, q_key=F.col(id_col)).join(kept.hint("shuffle_hash"), F.col("q_key").eqNullSafe(F.col("q_id")), "left_semi")
+    return own_columns(rows, docs.columns)
