@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import amounts, ideographic_small, iso_date, key_name, squeezed
+from quire.functions.text import amounts, ideographic_small, iso_date, key_name, let, squeezed
 
 # What must be recognised, in the order in which it is tried.
 DEADLINES = (
@@ -59,9 +59,7 @@ def relative_deadline(text: Column) -> Column:
 def numbered_items(text: Column) -> Column:
     """The text cut before numbered lines, or else before numbers anywhere; null and blank give an empty array."""
     clean = lambda parts: F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
-    whole = squeezed(text)
-    by_line = clean(F.split(whole, ITEM_LINES))
-    return F.when(F.size(by_line) > 1, by_line).otherwise(clean(F.split(whole, ITEMS)))
+    return let(squeezed(text), lambda whole: let(clean(F.split(whole, ITEM_LINES)), lambda by_line: F.when(F.size(by_line) > 1, by_line).otherwise(clean(F.split(whole, ITEMS)))))
 
 
 def claimed_sum(text: Column) -> Column:
@@ -69,6 +67,5 @@ def claimed_sum(text: Column) -> Column:
 
     Running interest, alternatives and provisional figures make a plain sum unsure.
     """
-    found = amounts(text)
-    total = F.aggregate(found, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(found) > 0, F.struct(total.alias("total"), F.size(found).alias("count"), text.rlike(UNSURE).alias("requires_review")))
+    total = lambda found: F.aggregate(found, F.lit(0.0), lambda s, x: s + x)
+    return let(amounts(text), lambda found: F.when(F.size(found) > 0, F.struct(total(found).alias("total"), F.size(found).alias("count"), text.rlike(UNSURE).alias("requires_review"))))

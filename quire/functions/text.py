@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column
@@ -20,17 +21,27 @@ def half_width(text: Column) -> Column:
     return F.translate(text, _FULL, _HALF)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once and named, where an expression would repeat it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# The marks that a comparison of texts passes over.
+PASSED_OVER = "：:，,。；;（）()[]〖〗<>《》‘’“”\"'-_/|"
+HAN = "[\u4e00-\u9fff]"
+
+
 def match_key(text: Column) -> Column:
-    """Lower case without white space and punctuation: what two spellings of a name have in common."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ANY_SPACE, ""), r"[\p{Punct}、-】—‘-”…！-／：-＠［-｀｛-･]", "")
+    """Lower case without white space and the listed marks: what two spellings of a name have in common."""
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ANY_SPACE, ""), PASSED_OVER, "")
 
 
 def squeezed(text: Column) -> Column:
-    """Unix line ends, single spaces, no space between ideographs, at most one blank line, trimmed."""
+    """Unix line ends, ASCII brackets, colons and semicolons, single spaces, none between ideographs, at most one blank line, trimmed."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    out = F.regexp_replace(F.translate(out, "\u00a0\u3000", "  "), r"(?<=\p{IsHan})[ \t]+(?=\p{IsHan})", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" *\n *", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\n+|\n+\z", ""))
+    out = F.translate(out, "（）：；\u00a0\u3000", "():;  ")
+    out = F.regexp_replace(F.regexp_replace(out, f"(?<={HAN})[ \\t]+(?={HAN})", ""), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
 
 
 def compact(text: Column) -> Column:
@@ -38,9 +49,23 @@ def compact(text: Column) -> Column:
 
 
 def clean_value(text: Column) -> Column:
-    """Without punctuation at the edges; null when nothing is left."""
-    edges = r"[\s:：,，;；.。、]"
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, f"^{edges}+|{edges}+\\z", ""), r"\s+", " "), "^ | $", ""), F.lit(""))
+    """Without colons, commas and semicolons at the edges, spaces single; null when nothing is left."""
+    edges = r"[\s\x{3000}\x{A0}:：,，;；]"
+    return F.nullif(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, f"\\A{edges}+|{edges}+\\z", ""), r"[ \t]+", " "), r"\A\s+|\s+\z", ""), F.lit(""))
+
+
+def first_match(text: Column, patterns: list[str], group: int = 1) -> Column:
+    """The cleaned group of the first pattern, in their order, that is found."""
+    found = F.lit(None).cast("string")
+    for pattern in reversed(patterns):
+        found = F.when(text.rlike(pattern), clean_value(F.regexp_extract(text, pattern, group))).otherwise(found)
+    return found
+
+
+def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
+    """The cleaned groups of all matches, once each, in order."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), clean_value)
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
 def key_name(text: Column) -> Column:
@@ -114,32 +139,40 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def ideographic_year(text: Column) -> Column:
-    """Four digits, ASCII or ideographic, as an integer; else null."""
-    digits = F.translate(text, *_DIGITS)
-    return F.when(digits.rlike(r"\A[0-9]{4}\z"), digits.cast("int"))
+    """The four digits, ASCII or ideographic, that a text holds, as an integer; null if there are more or fewer."""
+    digits = F.regexp_replace(F.translate(text, *_DIGITS), "[^0-9]", "")
+    return F.when(F.length(digits) == 4, digits.cast("int"))
 
 
 def ideographic_small(text: Column) -> Column:
-    """Numerals up to 99 written with tens; digits as they are; else null."""
-    ones = lambda c: F.when(c == "", F.lit(None)).otherwise(F.translate(c, *_DIGITS).cast("int"))
-    left, right = F.split_part(text, F.lit("十"), F.lit(1)), F.split_part(text, F.lit("十"), F.lit(2))
-    one = "[一二三四五六七八九]"
-    return (
-        F.when(text.rlike(r"\A[0-9]{1,4}\z"), F.when(text.rlike(r"\A[0-9]{1,4}\z"), text).cast("int"))
-        .when(text.rlike(f"\\A[〇零一二三四五六七八九]\\z"), F.when(text.rlike("\\A[〇零一二三四五六七八九]\\z"), F.translate(text, *_DIGITS)).cast("int"))
-        .when(text.rlike(f"\\A{one}?十{one}?\\z"), F.coalesce(F.when(left.rlike(f"\\A{one}\\z"), ones(left)), F.lit(1)) * 10 + F.coalesce(F.when(right.rlike(f"\\A{one}\\z"), ones(right)), F.lit(0)))
-    )
+    """Digits as they are; numerals with a ten, whose parts that are no single digit count as 1 before it and 0 behind; digit by digit; else null."""
+    text = F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    digit = lambda c, other: F.when(c.rlike(r"\A[〇零一二三四五六七八九]\z"), F.translate(c, *_DIGITS)).otherwise(F.lit(other)).cast("long")
+    at = F.instr(text, "十")
+    ten = digit(F.substring(text, F.lit(1), at - 1), "1") * 10 + digit(F.substring(text, at + 1, F.length(text)), "0")
+    return F.when(text.rlike(r"\A[0-9]+\z"), text.try_cast("long")).when(at > 0, ten).when(text.rlike(r"\A[〇零一二三四五六七八九]+\z"), F.translate(text, *_DIGITS).try_cast("long"))
 
 
 def iso_date(text: Column) -> Column:
-    """``Y年M月D日`` in either numerals, ``Y-M-D`` or ``Y/M/D`` as ISO; null for what is no date."""
-    found = r"([0-9〇零一二三四五六七八九]{4})\s*[年/-]\s*([0-9]{1,2}|[一二三四五六七八九十]{1,3})\s*[月/-]\s*([0-9]{1,2}|[一二三四五六七八九十]{1,3})"
-    year, month, day = (F.nullif(F.regexp_extract(text, found, k), F.lit("")) for k in (1, 2, 3))
-    iso = F.format_string("%04d-%02d-%02d", ideographic_year(year), ideographic_small(month), ideographic_small(day))
-    return F.when(year.isNotNull(), F.date_format(F.try_to_date(iso, "yyyy-MM-dd"), "yyyy-MM-dd"))
+    """The first date in digits (with 年, ``.``, ``-`` or ``/``) as ISO, else the first in ideographs; null for what is no date."""
+    plain = r"(\d{4})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})\s*日?"
+    written = r"([〇零一二三四五六七八九\d]{4})年([零一二三四五六七八九十\d]{1,3})月([零一二三四五六七八九十\d]{1,3})日"
+    part = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    iso = lambda y, m, d: F.date_format(F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd"), "yyyy-MM-dd")
+    digits = iso(*(part(plain, k).cast("int") for k in (1, 2, 3)))
+    return F.when(text.rlike(plain), digits).when(text.rlike(written), iso(ideographic_year(part(written, 1)), ideographic_small(part(written, 2)), ideographic_small(part(written, 3))))
+
+
+# What stands for an amount of money.
+MONEY = r"(?:(人民币)\s*)?(?:￥|¥)?\s*([0-9]{1,3}(?:[,，][0-9]{3})*(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)\s*元"
+
+
+def money(text: Column) -> Column:
+    """array<struct<raw,amount>> of the amounts before the unit."""
+    raw, figures = (F.regexp_extract_all(text, F.lit(MONEY), F.lit(k)) for k in (0, 2))
+    return F.zip_with(raw, figures, lambda r, n: F.struct(r.alias("raw"), F.translate(n, ",，", "").cast("double").alias("amount")))
 
 
 def amounts(text: Column) -> Column:
     """All money amounts before the unit, as doubles."""
-    found = F.regexp_extract_all(text, F.lit(r"([0-9]{1,3}(?:[,，][0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)\s*元"), F.lit(1))
-    return F.transform(found, lambda x: F.regexp_replace(x, "[,，]", "").cast("double"))
+    return F.transform(money(text), lambda m: m["amount"])

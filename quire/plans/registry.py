@@ -37,3 +37,20 @@ class Registry:
             return df
 
         return run
+
+
+def registered() -> tuple[dict, dict, Callable]:
+    """Queries and their SQL by name, and the decorator that puts them there."""
+    queries: dict[str, Callable] = {}
+    sql: dict[str, str] = {}
+
+    def query(name: str, says: str | None = None) -> Callable:
+        def put(f: Callable) -> Callable:
+            queries[name] = f
+            if says:
+                sql[name] = says
+            return f
+
+        return put
+
+    return queries, sql, query
