@@ -70,7 +70,7 @@ def line_texts(lines: DataFrame, text_col: str, char_width: int = 10, page: str
 def suppress(boxes: DataFrame, overlap: float = 0.5, page: str = "page_id", key: str = "box_id", score: str = "score", most: int = 200) -> DataFrame:
     """(page, box): greedy suppression by score, within the ``most`` best of a page; ties to the smaller key.
 
-    A fold over each page's sorted boxes in generated code: a box stays if no box that stays overlaps it by more.
+    A fold over each page's sorted boxes: a box stays if no box that stays overlaps it by more.
     """
     entry = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), *[F.col(c).cast("double").alias(c) for c in _CORNERS])
     ranked = boxes.groupBy(page).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, most).alias("found"))

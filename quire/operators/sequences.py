@@ -70,16 +70,29 @@ def _dealt(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
+def ranked(rows: DataFrame, source: str, key: str, seed: int) -> DataFrame:
+    """``rows`` with ``q_nth`` (from 1) and ``q_n``: a row's place in its source's seeded order, and the source's rows.
+
+    The order's first 12 bits cut each source into 4096 cells; places are counted inside a cell and cells are added
+    up, so a source of any size is spread over as many tasks.
+    """
+    keyed = rows.withColumn("q_cell", F.conv(F.substring(_dealt(key, seed), 1, 3), 16, 10).cast("int"))
+    by = Window.partitionBy("q_source")
+    counts = keyed.groupBy(F.col(source).alias("q_source"), F.col("q_cell").alias("q_cell2")).agg(F.count(F.lit(1)).alias("q_rows"))
+    before = F.coalesce(F.sum("q_rows").over(by.orderBy("q_cell2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = counts.withColumn("q_before", before).withColumn("q_n", F.sum("q_rows").over(by))
+    met = keyed.join(cells, F.col(source).eqNullSafe(F.col("q_source")) & (F.col("q_cell") == F.col("q_cell2")))
+    inside = F.row_number().over(Window.partitionBy(source, "q_cell").orderBy(_dealt(key, seed), key))
+    return met.withColumn("q_nth", F.col("q_before") + inside).drop("q_cell", "q_cell2", "q_source", "q_rows", "q_before")
+
+
 def sampled(rows: DataFrame, source: str, key: str, ratio: float, seed: int) -> DataFrame:
     """round(n * ratio) rows of each source, the first in a seeded order that no partitioning changes."""
-    by = Window.partitionBy(source)
-    ranked = rows.withColumn("q_nth", F.row_number().over(by.orderBy(_dealt(key, seed), key))).withColumn("q_n", F.count(F.lit(1)).over(by))
-    return ranked.where(F.col("q_nth") <= F.round(F.col("q_n") * ratio)).drop("q_nth", "q_n")
+    return ranked(rows, source, key, seed).where(F.col("q_nth") <= F.round(F.col("q_n") * ratio)).drop("q_nth", "q_n")
 
 
 def split(rows: DataFrame, source: str, key: str, parts: tuple[int, int, int], seed: int) -> DataFrame:
     """``rows`` with ``part``: train, val or test by a row's place in its source's seeded order against cumulated shares."""
-    by = Window.partitionBy(source)
-    share = (F.row_number().over(by.orderBy(_dealt(key, seed), key)) - 1) / F.count(F.lit(1)).over(by)
-    total = sum(parts)
-    return rows.withColumn("part", F.when(share < parts[0] / total, "train").when(share < (parts[0] + parts[1]) / total, "val").otherwise("test"))
+    share, total = (F.col("q_nth") - 1) / F.col("q_n"), sum(parts)
+    part = F.when(share < parts[0] / total, "train").when(share < (parts[0] + parts[1]) / total, "val").otherwise("test")
+    return ranked(rows, source, key, seed).withColumn("part", part).drop("q_nth", "q_n")

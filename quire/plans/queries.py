@@ -32,11 +32,11 @@ def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BOXES = """boxes AS (
+_BOXES = """boxes AS MATERIALIZED (
   SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) AS box_id,
     x1, y1, x1 + 40 + CAST(l_quantity AS INT) * 4 AS x2, y1 + 20 + l_linenumber * 2 AS y2, l_discount * 10 AS score, l_returnflag AS label, l_linestatus AS kind
   FROM (SELECT l_orderkey // 4 AS page_id, (l_partkey * 7) % 600 AS x1, (l_suppkey * 13 + l_linenumber * 37) % 400 AS y1, * FROM lineitem)
-), f AS (SELECT * FROM boxes WHERE kind = 'F'), o AS (SELECT * FROM boxes WHERE kind = 'O')"""
+), f AS MATERIALIZED (SELECT * FROM boxes WHERE kind = 'F'), o AS MATERIALIZED (SELECT * FROM boxes WHERE kind = 'O')"""
 _PAIRS = """pairs AS (
   SELECT f.page_id, f.box_id AS box_id, o.box_id AS other,
     greatest(least(f.x2, o.x2) - greatest(f.x1, o.x1), 0) * greatest(least(f.y2, o.y2) - greatest(f.y1, o.y1), 0) AS inter,
@@ -56,11 +56,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").withColumn("id", ids)
 
 
-def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_replace(F.substring("text", 1, 64), r"[^\x20-\x7E]", "").alias("t"))
-    return docs.withColumn("next", F.lead("t").over(Window.partitionBy("source").orderBy("doc_id"))).where("next is not null")
-
-
 def whole_text_pairs(docs: DataFrame, chunk: int = 1024) -> DataFrame:
     """(source, t, next): each document's whole text and that of its source's next document.
 
@@ -74,9 +69,19 @@ def whole_text_pairs(docs: DataFrame, chunk: int = 1024) -> DataFrame:
     return inside.select("source", "t", "next").unionByName(across).where("next is not null")
 
 
-_TEXT_PAIRS = r"""pairs AS (SELECT * FROM (
-  SELECT doc_id, source, t, lead(t) OVER (PARTITION BY source ORDER BY doc_id) AS next
-  FROM (SELECT doc_id, source, regexp_replace(substr(text, 1, 64), '[^\x20-\x7E]', '', 'g') AS t FROM documents)) WHERE next IS NOT NULL)"""
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """(source, t, next): the lines of each document and those in the same places of its source's next one, whole.
+
+    Characters outside ASCII count as ``?``, one for each.
+    """
+    ascii_of = lambda c: F.split(F.regexp_replace(c, r"[^\n\x20-\x7E]", "?"), "\n")
+    both = whole_text_pairs(docs).select("source", ascii_of(F.col("t")).alias("a"), ascii_of(F.col("next")).alias("b"))
+    places = F.sequence(F.lit(1), F.least(F.size("a"), F.size("b")))
+    return both.select("source", "a", "b", F.explode(places).alias("i")).select("source", F.expr("a[i - 1]").alias("t"), F.expr("b[i - 1]").alias("next"))
+
+
+_LINE_PAIRS = r"""docs AS (SELECT doc_id, source, string_split(regexp_replace(coalesce(text, ''), '[^\n\x20-\x7E]', '?', 'g'), chr(10)) AS a FROM documents),
+two AS (SELECT source, a, lead(a) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM docs), pairs AS (SELECT source, unnest(a[1:len(b)]) AS t, unnest(b[1:len(a)]) AS next FROM two WHERE b IS NOT NULL)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,7 +105,7 @@ def match_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("unmatched_boxes", f"""WITH {_BOXES}, {_PAIRS}
-SELECT page_id, box_id FROM f WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.page_id = f.page_id AND p.box_id = f.box_id AND CAST(inter AS DOUBLE) / fa >= 0.5)""")
+SELECT f.page_id, f.box_id FROM f ANTI JOIN (SELECT page_id, box_id FROM pairs WHERE CAST(inter AS DOUBLE) / fa >= 0.5) p ON p.page_id = f.page_id AND p.box_id = f.box_id""")
 def unmatched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, regions = _sides(spark, sf_dir)
     return boxes.unmatched(found, boxes.match_regions(found, regions)).select("page_id", "box_id")
@@ -141,16 +146,6 @@ def page_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.envelope(page_boxes(spark, sf_dir), "page_id", "label")
 
 
-@_query("suppressed_boxes")
-def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.suppress(page_boxes(spark, sf_dir))
-
-
-@_query("outermost_regions")
-def outermost_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.outermost(page_boxes(spark, sf_dir))
-
-
 @_query("scaled_boxes", f"""WITH {_BOXES} SELECT page_id, box_id, x1 * 1000 // 900 AS x1, y1 * 1000 // 500 AS y1, x2 * 1000 // 900 AS x2, y2 * 1000 // 500 AS y2 FROM boxes""")
 def scaled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = Box.of().scaled(F.lit(900), F.lit(500))
@@ -162,16 +157,6 @@ def polygon_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_boxes(spark, sf_dir).select("page_id", "box_id", F.abs(geometry.polygon_area(F.transform(Box.of().corners(), lambda p: F.transform(p, lambda v: v.cast("double"))))).alias("area"))
 
 
-@_query("detection_counts")
-def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.greedy_matches(page_boxes(spark, sf_dir), F.col("kind") == "O")
-
-
-@_query("detection_scores")
-def detection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.detection(detection_counts(spark, sf_dir))
-
-
 @_query("collapsed_sequences", f"""WITH s AS (SELECT user_id, ts, {_EVENTS_SQL} AS id, value, lag({_EVENTS_SQL}) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)
 SELECT user_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY ts) AS ids, round(avg(value), 6) AS confidence FROM s WHERE (before IS NULL OR before <> id) AND id <> 0 GROUP BY user_id""")
 def collapsed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,16 +183,16 @@ def majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.majority(_events(spark, sf_dir), ["user_id"], "id")
 
 
-@_query("recognition_scores", f"""WITH {_TEXT_PAIRS}
+@_query("recognition_scores", f"""WITH {_LINE_PAIRS}
 SELECT source, count(*) AS n, count(*) FILTER (WHERE t = next) AS correct, count(*) FILTER (WHERE t = next) / (count(*) + 1e-5) AS acc,
   round(1 - sum(CASE WHEN greatest(length(t), length(next)) = 0 THEN 0.0 ELSE levenshtein(t, next) / CAST(greatest(length(t), length(next)) AS DOUBLE) END) / (count(*) + 1e-5), 6) AS similarity FROM pairs GROUP BY source""")
 def recognition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.recognition(_text_pairs(spark, sf_dir), "t", "next", "source").withColumn("similarity", F.round("similarity", 6))
+    return metrics.whole_text_recognition(line_pairs(_read(spark, sf_dir, "documents")), "t", "next", "source").withColumn("similarity", F.round("similarity", 6))
 
 
 @_query("whole_text_scores")
 def whole_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recognition_scores on whole texts as they are; that query's SQL binds it to 64 characters."""
+    """recognition_scores on whole texts as they are, in one piece each."""
     pairs = whole_text_pairs(_read(spark, sf_dir, "documents"))
     return metrics.whole_text_recognition(pairs, "t", "next", "source").withColumn("similarity", F.round("similarity", 6))
 
@@ -343,9 +328,9 @@ def linked_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.linked_groups(met.select("page_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b")))
 
 
-@_query("pair_geometry", f"""WITH {_BOXES}, s AS (SELECT *, x2 - x1 + 1 AS w, greatest(y2 - y1 + 1, 1) AS h FROM boxes)
-SELECT page_id, a.box_id AS a_box_id, b.box_id AS b_box_id, round((b.x1 - a.x1) / 10.0::DOUBLE, 6) AS dx, round((b.y1 - a.y1) / 10.0::DOUBLE, 6) AS dy, round(a.w / a.h::DOUBLE, 6) AS aspect, round(b.h / a.h::DOUBLE, 6) AS height_ratio, round(b.w / a.h::DOUBLE, 6) AS width_ratio
-FROM s a JOIN s b USING (page_id)""")
+@_query("pair_geometry", f"""WITH {_BOXES}, s AS MATERIALIZED (SELECT *, x2 - x1 + 1 AS w, greatest(y2 - y1 + 1, 1) AS h FROM boxes)
+SELECT a.page_id, a.box_id AS a_box_id, b.box_id AS b_box_id, round((b.x1 - a.x1) / 10.0::DOUBLE, 6) AS dx, round((b.y1 - a.y1) / 10.0::DOUBLE, 6) AS dy, round(a.w / a.h::DOUBLE, 6) AS aspect, round(b.h / a.h::DOUBLE, 6) AS height_ratio, round(b.w / a.h::DOUBLE, 6) AS width_ratio
+FROM s a JOIN s b ON a.page_id = b.page_id""")
 def pair_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = layout.pair_geometry(page_boxes(spark, sf_dir))
     return out.select("page_id", "a_box_id", "b_box_id", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "aspect", "height_ratio", "width_ratio")])

@@ -34,13 +34,16 @@ def _one(spark, expression):
 
 def test_text_functions(spark):
     assert _one(spark, text.half_width(F.lit("ＡＢ１２　！"))) == "AB12 !"
-    assert _one(spark, text.clean_value(F.lit("：甲 公司。"))) == "甲 公司"
+    assert _one(spark, text.clean_value(F.lit("：甲  公司。 ,"))) == "甲 公司。"
     assert _one(spark, text.key_name(F.lit("地址：; "))) == "地址"
     assert _one(spark, text.spaced_words_joined(F.lit("a b   c d"))) == "ab cd"
     assert _one(spark, text.display_width(F.lit("中文ab1"))) == 4
     assert _one(spark, text.iso_date(F.lit("二〇二四年三月十五日"))) == "2024-03-15"
     assert _one(spark, text.iso_date(F.lit("2024年2月30日"))) is None
-    assert [_one(spark, text.ideographic_small(F.lit(x))) for x in ("十", "十五", "二十", "百", "7")] == [10, 15, 20, None, 7]
+    assert [_one(spark, text.iso_date(F.lit(x))) for x in ("2024.3.5", "于 2024 年3月 5 日", "2024-3/5", "", "二〇二四年十三月一日")] == ["2024-03-05"] * 3 + [None] * 2
+    assert _one(spark, text.match_key(F.lit(" V1.5！（甲）-Ｂ "))) == "v1.5！甲ｂ"
+    assert _one(spark, text.compact(F.lit("（1）：甲\u3000乙；\nc"))) == "(1):甲乙;c"
+    assert [_one(spark, text.ideographic_small(F.lit(x))) for x in ("十", "十五", "二十", "百", "7", "二三", "12345", "", "二三十", "十五六")] == [10, 15, 20, None, 7, 23, 12345, None, 10, 10]
     assert _one(spark, text.amounts(F.lit("共1,200.50元及30元"))) == [1200.5, 30.0]
     assert _one(spark, text.squeezed(F.lit("甲 乙  a  b\r\n\r\n\r\n\nc "))) == "甲乙 a b\n\nc"
 
