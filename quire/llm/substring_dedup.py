@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import HEAVY_SHARE, Words, mixed, release, row_key, scratch, spread_join
 
 #: Words of the anchors that index blocks, and distinct blocks of an anchor up to which one task parses them.
-ANCHOR, CROWD = 10, 2048
+ANCHOR, CROWD = 10, 512
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
