@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from quire.functions import geometry, text
 from quire.operators import boxes, metrics, records, sequences
 from quire.plans import queries
@@ -17,14 +18,14 @@ def _plain(rows):
     return sorted(str([round(v, 9) if isinstance(v, float) else str(v) for v in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
-def test_matches_sql(spark, sf_dir, name):
-    found = queries.QUERIES[name](spark, sf_dir)
+@pytest.mark.parametrize("plan, name", [(p, n) for p in __spark_entry__.PLANS for n in sorted(p.SQL)], ids=lambda x: x if isinstance(x, str) else "")
+def test_matches_sql(spark, sf_dir, plan, name):
+    found = plan.QUERIES[name](spark, sf_dir)
     names = sorted(found.columns)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
-    got = con.execute(f"SELECT {', '.join(names)} FROM ({queries.SQL[name]})").fetchall()
+    got = con.execute(f"SELECT {', '.join(names)} FROM ({plan.SQL[name]})").fetchall()
     assert _plain(found.select(*names).collect()) == _plain(got)
 
 
