@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import phrases
 from quire.functions.geometry import Box, bounds, centre_to_corners, corners_to_centre
-from quire.operators import boxes, matching, metrics
+from quire.operators import boxes, matching, metrics, polygons
 from quire.plans.notices import FIXTURE, normal
 from quire.plans.queries import _BOXES, _PAIRS, page_boxes
 from quire.plans.registry import registered
@@ -169,3 +169,43 @@ def first_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = normal(spark, sf_dir).select("doc_id", F.regexp_replace(F.replace("asked", F.lit("（2）、"), F.lit("2、")), r"\A\s+|\s+\z", "").alias("t"))
     found = phrases.first_numbered(F.replace("t", F.lit("；"), F.lit(";")))
     return rows.select("doc_id", found["number"].alias("number"), F.replace(found["item"], F.lit(";"), F.lit("；")).alias("item"), F.replace(found["rest"], F.lit(";"), F.lit("；")).alias("rest"))
+
+
+def page_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes as four corners, with scores that are distinct on a page."""
+    found = page_boxes(spark, sf_dir)
+    return found.select("page_id", "box_id", F.array("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2").cast("array<double>").alias("polygon"), (F.col("score") + F.col("box_id") / 1000).alias("score"))
+
+
+_ENTRY = "STRUCT(s DOUBLE, k BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)"
+_LAPS = f"{_INTER} > {{0}} * ({_SIZE.format('a')} + {_SIZE.format('b[1]')} - {_INTER})"
+
+
+def _list_of(fields: str, order: str) -> str:
+    return f"list(CAST(ROW({fields}) AS {_ENTRY}) ORDER BY {order})"
+
+
+@query("suppressed_polygons", f"""WITH {_BOXES}, r AS (SELECT page_id, {_list_of('score + box_id / 1000.0, box_id, x1, y1, x2, y2', 'score + box_id / 1000.0 DESC, box_id')} AS found FROM boxes GROUP BY 1),
+folded AS (SELECT page_id, unnest({_FOLD.format(clash=f"len(list_filter(kept, lambda a: {_LAPS.format(0.3)})) > 0", fields='s DOUBLE, k BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE')}) AS b FROM r) SELECT page_id, b.k AS box_id, round(b.s, 6) AS score FROM folded""")
+def suppressed_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polygons.suppressed(page_polygons(spark, sf_dir), 0.3).select("page_id", "box_id", F.round("score", 6).alias("score"))
+
+
+_LAST = "kept[len(kept)]"
+_MET = _LAPS.format(0.1).replace("a.", f"{_LAST}.")
+_MIX = "((b[1].s * b[1].{0} + " + _LAST + ".s * " + _LAST + ".{0}) / (b[1].s + " + _LAST + ".s))"
+
+
+@query("merged_polygons", f"""WITH {_BOXES}, r AS (SELECT page_id, {_list_of('score + box_id / 1000.0, box_id, x1, y1, x2, y2', 'box_id')} AS found FROM boxes GROUP BY 1),
+m AS (SELECT page_id, list_reduce(list_transform(found, lambda x: [x]), lambda kept, b: CASE WHEN {_MET} THEN kept[1:len(kept) - 1] || [CAST(ROW(b[1].s + {_LAST}.s, {_LAST}.k, {', '.join(_MIX.format(c) for c in ('x1', 'y1', 'x2', 'y2'))}) AS {_ENTRY})] ELSE kept || b END) AS merged FROM r),
+mo AS (SELECT page_id, list_reverse_sort(list_transform(range(1, len(merged) + 1), lambda i: CAST(ROW(merged[i].s, i, merged[i].x1, merged[i].y1, merged[i].x2, merged[i].y2) AS {_ENTRY}))) AS found FROM m),
+folded AS (SELECT page_id, unnest({_FOLD.format(clash=f"len(list_filter(kept, lambda a: {_LAPS.format(0.1)})) > 0", fields='s DOUBLE, k BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE')}) AS b FROM mo) SELECT page_id, b.k AS box_id, round(b.s, 6) AS score, round(b.x1, 4) AS x1, round(b.y2, 4) AS y2 FROM folded""")
+def merged_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = polygons.merged_and_suppressed(page_polygons(spark, sf_dir), 0.1)
+    return found.select("page_id", "box_id", F.round("score", 6).alias("score"), F.round(F.col("polygon")[0], 4).alias("x1"), F.round(F.col("polygon")[5], 4).alias("y2"))
+
+
+@query("softened_polygons")
+def softened_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores decay by what the better ones overlap; tests hold it against a plain version."""
+    return polygons.softened(page_polygons(spark, sf_dir), 0.2)

@@ -1,13 +1,15 @@
 """Fields of court documents, small rules, heads and samples: nulls, blanks, ties and the rules' corners."""
 
+import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import alphabets, forms, notices, phrases
 from quire.functions.text import squeezed
-from quire.operators import matching, sequences
+from quire.operators import matching, polygons, sequences
 
 
 def _of(spark, value, use):
@@ -111,3 +113,26 @@ def test_box_rules(spark):
     assert sorted(map(tuple, matching.distance_rule(found, cells).collect())) == [(1, 7, 1, 0.0), (1, 8, 1, 0.0)]
     assert sorted(map(tuple, matching.virtual_cells(found.select("page_id", "box_id"), cells).collect())) == [(1, 1, 2), (1, 2, 3), (2, 1, 0)]
     assert matching.overlap_rule(found.limit(0), cells).count() == 0
+
+
+def test_polygons(spark):
+    square, turned = np.array([(0, 0), (2, 0), (2, 2), (0, 2)], float), np.array([(1, -1), (3, 1), (1, 3), (-1, 1)], float)
+    assert polygons.common_area(square, turned) == pytest.approx(4.0) and polygons.common_area(square, square[::-1]) == pytest.approx(4.0)
+    assert polygons.common_area(square, square + 1) == pytest.approx(1.0) and polygons.overlap(square, square + 5) == 0.0 and polygons.overlap(square, square + 2) == 0.0
+    shapes = [square, square + 0.5, square + 1.5, square + 9]
+    places, scores = polygons.soft(shapes, np.array([0.9, 0.8, 0.7, 0.6]), 0.1)
+    left, plain = {i: s for i, s in enumerate((0.9, 0.8, 0.7, 0.6))}, []
+    while left:
+        best = max(left, key=left.get)
+        plain.append((best, left.pop(best)))
+        for i in list(left):
+            left[i] *= math.exp(-(polygons.overlap(shapes[best], shapes[i]) ** 2) / 0.5)
+            if left[i] < 0.1:
+                del left[i]
+    assert list(zip(places, scores, strict=True)) == [(i, pytest.approx(s)) for i, s in plain]
+    rows = [(1, i, s.reshape(-1).tolist(), 0.9 - i / 10) for i, s in enumerate(shapes)]
+    table = spark.createDataFrame(rows, "page_id long, box_id long, polygon array<double>, score double")
+    assert sorted(r.box_id for r in polygons.suppressed(table, 0.3).collect()) == [0, 2, 3]
+    assert polygons.softened(table.limit(0)).count() == 0 and polygons.merged_and_suppressed(table.limit(0)).count() == 0
+    whole, weight = polygons.merged(shapes, np.array([1.0, 1.0, 1.0, 1.0]), 0.3)
+    assert len(whole) == 3 and weight.tolist() == [2.0, 1.0, 1.0] and whole[0][0].tolist() == [0.25, 0.25]
