@@ -277,7 +277,14 @@ def html_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", F.explode(records.html_tokens(F.col("html"))).alias("token")).groupBy("page_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("html_texts")
+_BLOCK_TAGS = r"(?i)</?(p|div|br|li|tr|h[1-6]|ul|ol|table)\b[^>]*>"
+_PLAIN_HTML = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '{_BLOCK_TAGS}', chr(10), 'g'), '(?i)</t[dh]>', chr(9), 'g'), '<[^>]+>', ' ', 'g')"
+for _entity, _plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PLAIN_HTML = f"replace({_PLAIN_HTML}, '{_entity}', '{_plain}')"
+
+
+@_query("html_texts", f"""WITH l AS (SELECT page_id, list_filter(list_transform(string_split({_PLAIN_HTML}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> '') AS kept FROM pages)
+SELECT page_id, coalesce(array_to_string(list_filter(kept, lambda x, i: i = 1 OR kept[i - 1] <> x), chr(10)), '') AS text FROM l""")
 def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", records.html_text(F.col("html")).alias("text"))
 
@@ -336,7 +343,9 @@ def pair_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "a_box_id", "b_box_id", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "aspect", "height_ratio", "width_ratio")])
 
 
-@_query("reading_order")
+@_query("reading_order", f"""WITH {_BOXES}, r AS (SELECT page_id, list_sort(list(CAST(ROW(y1, x1, box_id) AS STRUCT(y BIGINT, x BIGINT, k BIGINT)))) AS found FROM boxes GROUP BY page_id),
+placed AS (SELECT page_id, list_reduce(list_transform(found, lambda v: [v]), lambda s, b: s[1:coalesce(list_max(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN abs(b[1].y - s[i].y) < 10 AND b[1].x < s[i].x THEN 0 ELSE i END)), 0)] || b || s[coalesce(list_max(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN abs(b[1].y - s[i].y) < 10 AND b[1].x < s[i].x THEN 0 ELSE i END)), 0) + 1:]) AS ordered FROM r)
+SELECT page_id, unnest(ordered).k AS box_id, CAST(unnest(range(0, len(ordered))) AS INT) AS nth FROM placed""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_order(page_boxes(spark, sf_dir))
 
