@@ -150,7 +150,9 @@ def _similarity(predicted: str | None, truth: str | None, texts: bool) -> float:
     (a, n), (b, m) = _read(predicted), _read(truth)
     if a is None or b is None:
         return 0.0
-    return 1.0 - tree_distance(a, b, texts) / max(n, m) if max(n, m) else 1.0
+    if predicted == truth or not max(n, m):
+        return 1.0
+    return 1.0 - tree_distance(a, b, texts) / max(n, m)
 
 
 def table_similarity(predicted: Column, truth: Column, texts: bool = True) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import alphabets, forms, notices, phrases
 from quire.functions.text import squeezed
 from quire.operators import matching, polygons, sequences
+from quire.streaming.scores import running_accuracy
 
 
 def _of(spark, value, use):
@@ -136,3 +137,15 @@ def test_polygons(spark):
     assert polygons.softened(table.limit(0)).count() == 0 and polygons.merged_and_suppressed(table.limit(0)).count() == 0
     whole, weight = polygons.merged(shapes, np.array([1.0, 1.0, 1.0, 1.0]), 0.3)
     assert len(whole) == 3 and weight.tolist() == [2.0, 1.0, 1.0] and whole[0][0].tolist() == [0.25, 0.25]
+
+
+def test_running_accuracy(spark, tmp_path):
+    """Files of a stream add up, epoch by epoch."""
+    schema = "epoch long, p int, t int"
+    for k, rows in enumerate(([(1, 1, 1), (1, 0, 1)], [(1, 1, 1), (2, 0, 0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    running = running_accuracy(stream, "p", "t", "epoch", "accuracy_so_far", f"{tmp_path}/state")
+    running.processAllAvailable()
+    running.stop()
+    assert sorted((r.epoch, r.correct, r.n) for r in spark.table("accuracy_so_far").collect()) == [(1, 2, 3), (2, 1, 1)]
