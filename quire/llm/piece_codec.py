@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import chunks, column_bytes, own_columns, own_rows
 
 #: Bytes of text whose words are told apart at once; words that a worker remembers, and their greatest length in bytes.
-CHUNK, REMEMBERED, SHORT = 1 << 23, 1 << 18, 64
+CHUNK, REMEMBERED, SHORT = 1 << 20, 1 << 17, 64
 #: The white space marker, as a character and in UTF-8.
 MARKER = "▁"
 _MARKER_BYTES = MARKER.encode()
@@ -49,19 +49,19 @@ class Codec:
         used = set().union(*map(set, pieces)) | {" "}
         self.alone = np.zeros(256, bool)
         self.alone[[b for b in range(128) if chr(b) not in used]] = True
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array([self.begin, *self.library.encode(text.decode()), self.end], np.uint32)
 
-    def _segmented(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of marked words; each begins with a space, or with a character that stands alone."""
+    def _segmented(self, words: list[bytes]) -> list[bytes]:
+        """The ids of marked words, as bytes; each word begins with a space, or with a character that stands alone."""
         if len(self.known) > REMEMBERED:
             self.known = {}
         new = [w for w in words if w not in self.known]
         # the library puts a marker in front of what it is given: a word's own, or one to be dropped again
         given = self.library.encode([(w[1:] if w[0] == 32 else w).decode() for w in new], num_threads=1)
-        made = {w: np.array([self.marker] if w == b" " else ids if w[0] == 32 else ids[1:], np.uint32) for w, ids in zip(new, given, strict=True)}
+        made = {w: np.array([self.marker] if w == b" " else ids if w[0] == 32 else ids[1:], np.uint32).tobytes() for w, ids in zip(new, given, strict=True)}
         found = [made[w] if w in made else self.known[w] for w in words]
         self.known.update((w, ids) for w, ids in made.items() if len(w) <= SHORT)
         return found
@@ -92,10 +92,10 @@ class Codec:
         which = words.indices.to_numpy().astype(np.int64)
         ids = self._segmented(words.dictionary.to_pylist())
         # begin and end are two more words, around each text's
-        n = np.array([*map(len, ids), 1, 1], np.int64)
+        n = np.array([*[len(x) // 4 for x in ids], 1, 1], np.int64)
         which = np.insert(which, np.repeat(first, 2)[1:-1], np.tile([len(ids), len(ids) + 1], len(texts))) if len(texts) else which
         first = first + 2 * np.arange(len(first))
-        found, begin = np.concatenate([*ids, np.array([self.begin, self.end], np.uint32)]), np.cumsum(n) - n
+        found, begin = np.frombuffer(b"".join([*ids, np.array([self.begin, self.end], np.uint32).tobytes()]), np.uint32), np.cumsum(n) - n
         count = n[which]
         upto = np.append(0, np.cumsum(count))
         out, at = found[np.arange(upto[-1]) + np.repeat(begin[which] - upto[:-1], count)], upto[first]
