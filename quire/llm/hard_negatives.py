@@ -98,9 +98,17 @@ class Space:
     def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T))
 
-    def to_pivots(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """Distances to all pivots; a query has nothing in the component that is added."""
-        return self._apart(np.column_stack([x, np.zeros(len(x))]) if query else self.raised(x), self.pivots)
+    def to_pivots(self, x: np.ndarray) -> np.ndarray:
+        """Distances of vectors to all pivots."""
+        return self._apart(self.raised(x), self.pivots)
+
+    def asked_from(self, x: np.ndarray) -> np.ndarray:
+        """Distances of queries to all pivots; a query has nothing in the component that is added.
+
+        Each round works these out again and goes on where the last one stopped, so they are summed row by row: a
+        matrix product's last bits depend on which rows it holds.
+        """
+        return np.sqrt(((x[:, None, :] - self.pivots[:, :-1]) ** 2).sum(axis=2) + self.pivots[:, -1] ** 2)
 
     def radius(self, length: float, score: int) -> float:
         """The distance at which vectors have this score with a query of that squared length."""
@@ -115,7 +123,7 @@ def _keyed(classes: DataFrame, space: Space) -> DataFrame:
             odd = batch.column(2).to_numpy(zero_copy_only=False)
             pivot, dist = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
             if not odd.all():
-                far = space.to_pivots(np.frombuffer(b"".join(z for z, o in zip(batch.column(3).to_pylist(), odd, strict=True) if not o), np.int32).reshape(-1, space.dim).astype(float), False)
+                far = space.to_pivots(np.frombuffer(b"".join(z for z, o in zip(batch.column(3).to_pylist(), odd, strict=True) if not o), np.int32).reshape(-1, space.dim).astype(float))
                 pivot[~odd] = far.argmin(axis=1)
                 dist[~odd] = far.min(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(dist)], names=["key", "label", "odd", "z", "ids", "pivot", "dist"])
@@ -174,7 +182,7 @@ def _plan(queries: DataFrame, space: Space, directory: tuple[np.ndarray, ...], r
                 lower, upper, lengths = np.zeros((len(rows), len(number))), np.full((len(rows), len(number)), np.inf), np.zeros(len(rows))
             else:
                 x = np.frombuffer(b"".join(r["z"] for r in rows), np.int32).reshape(-1, space.dim).astype(float)
-                lengths, to = (x**2).sum(axis=1), space.to_pivots(x, True)[:, at]
+                lengths, to = (x**2).sum(axis=1), space.asked_from(x)[:, at]
                 lower = np.where(known, np.maximum(0, np.maximum(to - far, near - to)), 0)
                 upper = np.where(known, to + far, np.inf)
             for i, r in enumerate(rows):
