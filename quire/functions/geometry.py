@@ -39,6 +39,18 @@ class Box:
         union = self.area() + other.area() - inter
         return F.when(union > 0, inter.cast("double") / union.cast("double")).otherwise(F.lit(0.0))
 
+    def hull_area(self, other: Box) -> Column:
+        """Area of the convex hull of both boxes: their common bounds without the corners that neither reaches."""
+        wide = F.greatest(self.x2, other.x2) - F.least(self.x1, other.x1)
+        high = F.greatest(self.y2, other.y2) - F.least(self.y1, other.y1)
+        cut = lambda x, y, side: F.greatest(side * (getattr(self, x) - getattr(other, x)) * (getattr(self, y) - getattr(other, y)), F.lit(0))
+        return (wide * high).cast("double") - (cut("x1", "y1", -1) + cut("x2", "y1", 1) + cut("x1", "y2", 1) + cut("x2", "y2", -1)).cast("double") / 2
+
+    def hull_iou(self, other: Box) -> Column:
+        """Intersection over the hull of both; zero for an empty hull."""
+        hull = self.hull_area(other)
+        return F.when(hull > 0, self.intersection(other).cast("double") / hull).otherwise(F.lit(0.0))
+
     def corner_distance(self, other: Box) -> Column:
         """L1 distance of all corners, plus the smaller of the two corners' own."""
         first = F.abs(self.x1 - other.x1) + F.abs(self.y1 - other.y1)

@@ -10,11 +10,14 @@ from quire.functions.phrases import shared_bold
 from quire.operators.boxes import _sides
 
 
-def overlap_rule(boxes: DataFrame, cells: DataFrame, page: str = "page_id", key: str = "box_id") -> DataFrame:
-    """(page, box, cell, iou): each box's cell of largest IoU, the first of equals; boxes that meet none have no row."""
+def overlap_rule(boxes: DataFrame, cells: DataFrame, page: str = "page_id", key: str = "box_id", hull: bool = False) -> DataFrame:
+    """(page, box, cell, iou): each box's cell of largest IoU, the first of equals; boxes that meet none have no row.
+
+    ``hull`` measures the intersection against the convex hull of both instead of their union.
+    """
     a, b = _sides(boxes, cells, page, key)
     one, two = Box.of("a_"), Box.of("b_")
-    met = a.join(b, page).where(one.overlaps(two)).withColumn("x", F.struct(one.iou(two).alias("iou"), (-F.col("b_id")).alias("cell")))
+    met = a.join(b, page).where(one.overlaps(two)).withColumn("x", F.struct((one.hull_iou(two) if hull else one.iou(two)).alias("iou"), (-F.col("b_id")).alias("cell")))
     return met.groupBy(page, "a_id").agg(F.max("x").alias("x")).select(page, F.col("a_id").alias("box_id"), (-F.col("x.cell")).alias("cell_id"), F.col("x.iou").alias("iou"))
 
 
