@@ -1,6 +1,7 @@
-"""Suppression and merging of scored convex polygons, a page at a time: the choice depends on what was chosen before.
+"""Areas of polygons, and suppression and merging of scored ones, a page at a time: the choice depends on what was chosen before.
 
-A page's polygons are few, however many pages there are.  Polygons are flat arrays of coordinates, at least three points.
+A page's polygons are few, however many pages there are.  Polygons are flat arrays of coordinates, at least three points;
+they may be concave.  What a polygon that crosses itself encloses twice is outside.
 """
 
 from __future__ import annotations
@@ -20,38 +21,172 @@ def area(points: np.ndarray) -> float:
 
 def common_area(a: np.ndarray, b: np.ndarray) -> float:
     """Of two convex polygons in any direction: one is cut along each side of the other."""
-    if area(b) < 0:
-        b = b[::-1]
-    cut = [tuple(p) for p in (a if area(a) >= 0 else a[::-1])]
-    for (x1, y1), (x2, y2) in zip(b, np.roll(b, -1, axis=0), strict=True):
-        side = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x, y in cut]
-        made = []
-        for k, p in enumerate(cut):
-            q, s, t = cut[k - 1], side[k], side[k - 1]
-            if (s >= 0) != (t >= 0):
-                made.append((q[0] + (p[0] - q[0]) * t / (t - s), q[1] + (p[1] - q[1]) * t / (t - s)))
-            if s >= 0:
-                made.append(p)
-        cut = made
-        if len(cut) < 3:
-            return 0.0
-    return abs(area(np.array(cut)))
+    return _cut_area((a if area(a) >= 0 else a[::-1]).tolist(), (b if area(b) >= 0 else b[::-1]).tolist())
+
+
+def _cut_area(cut: list, sides: list) -> float:
+    """Shared area of two convex polygons, both to the left of their sides."""
+    x1, y1 = sides[-1]
+    for x2, y2 in sides:
+        dx, dy = x2 - x1, y2 - y1
+        side = [dx * (y - y1) - dy * (x - x1) for x, y in cut]
+        if min(side) < 0:
+            made = []
+            q, t = cut[-1], side[-1]
+            for p, s in zip(cut, side, strict=True):
+                if (s >= 0) != (t >= 0):
+                    made.append((q[0] + (p[0] - q[0]) * t / (t - s), q[1] + (p[1] - q[1]) * t / (t - s)))
+                if s >= 0:
+                    made.append(p)
+                q, t = p, s
+            cut = made
+            if len(cut) < 3:
+                return 0.0
+        x1, y1 = x2, y2
+    return 0.5 * abs(sum(q[0] * p[1] - p[0] * q[1] for q, p in zip(cut, cut[1:] + cut[:1], strict=True)))
+
+
+def convex(p: np.ndarray) -> bool:
+    """Whether a polygon turns one way only and once around."""
+    d = np.roll(p, -1, axis=0) - p
+    d = d[(d != 0).any(axis=1)]
+    if len(d) < 3:
+        return True
+    n = np.roll(d, -1, axis=0)
+    turn = d[:, 0] * n[:, 1] - d[:, 1] * n[:, 0]
+    if (turn > 0).any() and (turn < 0).any():
+        return False
+    around = np.arctan2(turn, (d * n).sum(axis=1)).sum()
+    return bool(abs(around) < 3 * np.pi)
+
+
+def _crossings(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which sides of ``p`` and of ``q`` share a point, and the heights of such points; parallel ones have none."""
+    r, s = np.roll(p, -1, axis=0) - p, np.roll(q, -1, axis=0) - q
+    det = r[:, None, 0] * s[None, :, 1] - r[:, None, 1] * s[None, :, 0]
+    gap = q[None] - p[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gap[..., 0] * s[None, :, 1] - gap[..., 1] * s[None, :, 0]) / det
+        u = (gap[..., 0] * r[:, None, 1] - gap[..., 1] * r[:, None, 0]) / det
+    i, j = np.nonzero((det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1))
+    return i, j, p[i, 1] + t[i, j] * r[i, 1]
+
+
+def simple(p: np.ndarray) -> bool:
+    """Whether no two sides meet but neighbours at their corner, and there is an area."""
+    n, nxt = len(p), np.roll(p, -1, axis=0)
+    if n < 3 or area(p) == 0 or (p == nxt).all(axis=1).any():
+        return False
+    i, j, _ = _crossings(p, p)
+    if ((i != j) & ((i + 1) % n != j) & ((j + 1) % n != i)).any():
+        return False
+    # sides on one line that overlap
+    d = nxt - p
+    for a in range(n):
+        side = d[a, 0] * (p[:, 1] - p[a, 1]) - d[a, 1] * (p[:, 0] - p[a, 0])
+        for b in range(a + 1, n):
+            if side[b] == 0 and side[(b + 1) % n] == 0:
+                at = [(float((x - p[a]) @ d[a])) for x in (p[b], nxt[b])]
+                if max(at) > 0 and min(at) < float(d[a] @ d[a]):
+                    return False
+    return True
+
+
+def _spans(p: np.ndarray, y: float) -> list[tuple[float, float]]:
+    """What a horizontal line that meets no corner has inside a polygon."""
+    q = np.roll(p, -1, axis=0)
+    hit = (p[:, 1] < y) != (q[:, 1] < y)
+    a, b = p[hit], q[hit]
+    xs = np.sort(a[:, 0] + (y - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0]))
+    return list(zip(xs[::2].tolist(), xs[1::2].tolist(), strict=True))
+
+
+def _swept(shapes: list[np.ndarray]) -> float:
+    """Area that all shapes share.  Between the heights of corners and crossings the shared width is linear, so its middle says all."""
+    heights = [s[:, 1] for s in shapes] + [_crossings(a, b)[2] for k, a in enumerate(shapes) for b in shapes[k:]]
+    ys = np.unique(np.concatenate(heights))
+    total = 0.0
+    for low, high in zip(ys[:-1], ys[1:], strict=True):
+        middle = (low + high) / 2
+        if low < middle < high:
+            shared = _spans(shapes[0], middle)
+            for s in shapes[1:]:
+                shared = [(max(a, c), min(b, d)) for a, b in shared for c, d in _spans(s, middle) if min(b, d) > max(a, c)]
+            total += (high - low) * sum(b - a for a, b in shared)
+    return float(total)
+
+
+class Shape:
+    """A polygon with what every comparison asks of it: its bounds, its area, and its corners to the left of its sides if it is convex."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.points = points
+        self.low, self.high = points.min(axis=0), points.max(axis=0)
+        signed = area(points)
+        self.corners = (points if signed >= 0 else points[::-1]).tolist() if convex(points) else None
+        self.area = abs(signed) if self.corners is not None else _swept([points])
+
+    def shared(self, other: Shape) -> float:
+        """The area of both, in any direction."""
+        if self.corners is not None and other.corners is not None:
+            return _cut_area(self.corners, other.corners)
+        return _swept([self.points, other.points])
+
+
+def shared_areas(a: list[Shape], b: list[Shape]) -> np.ndarray:
+    """The areas that each of ``a`` (rows) shares with each of ``b`` (columns); only shapes whose bounds meet are cut."""
+    out = np.zeros((len(a), len(b)))
+    if a and b:
+        low_a, high_a, low_b, high_b = (np.array([getattr(s, c) for s in side]) for side in (a, b) for c in ("low", "high"))
+        meet = (low_a[:, None] < high_b[None]).all(axis=2) & (low_b[None] < high_a[:, None]).all(axis=2)
+        for i, j in zip(*np.nonzero(meet), strict=True):
+            out[i, j] = a[i].shared(b[j])
+    return out
+
+
+def overlaps(a: list[Shape], b: list[Shape]) -> np.ndarray:
+    """Intersection over union of each with each; zero for an empty union."""
+    both = shared_areas(a, b)
+    union = np.array([s.area for s in a]).reshape(-1, 1) + np.array([s.area for s in b]).reshape(1, -1) - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
+def enclosed_area(p: np.ndarray) -> float:
+    return Shape(p).area
+
+
+def shared_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Of any two polygons, in any direction."""
+    return float(shared_areas([Shape(a)], [Shape(b)])[0, 0])
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull in order; fewer than three points where there is no area."""
+    ordered = sorted(map(tuple, points.tolist()))
+
+    def chain(ps: list) -> list:
+        out: list = []
+        for p in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(chain(ordered) + chain(ordered[::-1]), float).reshape(-1, 2)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """Intersection over union; zero for an empty union."""
-    if (a.max(axis=0) <= b.min(axis=0)).any() or (b.max(axis=0) <= a.min(axis=0)).any():
-        return 0.0
-    both = common_area(a, b)
-    union = abs(area(a)) + abs(area(b)) - both
-    return both / union if union > 0 else 0.0
+    return float(overlaps([Shape(a)], [Shape(b)])[0, 0])
 
 
 def standard(polygons: list[np.ndarray], scores: np.ndarray, most: float) -> list[int]:
     """Places that stay, best score first (the later of equals): none overlaps one before it by more than ``most``."""
     kept: list[int] = []
+    shapes = [Shape(p) for p in polygons]
+    met = overlaps(shapes, shapes)
     for i in np.lexsort((np.arange(len(scores)), scores))[::-1].tolist():
-        if all(overlap(polygons[i], polygons[k]) <= most for k in kept):
+        if (met[i, kept] <= most).all():
             kept.append(i)
     return kept
 
@@ -63,13 +198,15 @@ def soft(polygons: list[np.ndarray], scores: np.ndarray, least: float, sigma: fl
     """
     left, now = list(range(len(scores))), scores.astype(float).copy()
     kept: list[int] = []
+    shapes = [Shape(p) for p in polygons]
+    overlapped = overlaps(shapes, shapes)
     while left:
         best = max(left, key=lambda i: (now[i], -i))
         left.remove(best)
         kept.append(best)
         stays = []
         for i in left:
-            met = overlap(polygons[best], polygons[i])
+            met = overlapped[best, i]
             if met > 0:
                 now[i] *= np.exp(-(met**2) / sigma)
                 if now[i] < least:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.geometry import Box
 from quire.functions.phrases import shared_bold
 from quire.functions.structures import spans_merged
 from quire.functions.table_tokens import bold_heads, closed, filled, with_new_rows
-from quire.operators.boxes import centres_inside, unmatched
-from quire.operators.matching import distance_rule, overlap_rule
 
 #: Boxes whose centres lie less than this apart in height share a row.
 ROW_HEIGHT = 3
@@ -34,30 +33,50 @@ def _rows(found: Column) -> Column:
     return F.transform(by_y, lambda r: F.transform(r["r"], lambda b: b["box"]))
 
 
+def _found(boxes: DataFrame, cells: DataFrame, page: str, text: Column) -> DataFrame:
+    """(page, box_id, cell_id, rule, row_cells, text); see ``matches``.
+
+    Both sides are dealt by page once: all that follows, windows over a page's boxes and cells, stays where it is.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+    real = cells.where(F.col("x1") + F.col("y1") + F.col("x2") + F.col("y2") != 0)
+    nth = F.row_number().over(Window.partitionBy(page).orderBy("box_id")) - 1
+    b = real.select(page, nth.cast("long").alias("cell"), F.count(F.lit(1)).over(Window.partitionBy(page)).alias("cells"), *[F.col(c).alias(f"b_{c}") for c in corners])
+    a = boxes.select(page, F.col("box_id").cast("long").alias("box"), text.alias("text"), *[F.col(c).alias(f"a_{c}") for c in corners])
+    one, two = Box.of("a_"), Box.of("b_")
+    (x, y), (bx, by) = one.centre(), two.centre()
+    none = F.lit(False)
+    pairs = a.join(b, page, "left").select(
+        page, "box", "text", "cell", "cells", x.cast("double").alias("x"), y.cast("double").alias("y"), F.coalesce(two.holds(x, y), none).alias("inside"),
+        F.when(one.overlaps(two), one.hull_iou(two)).alias("iou"), F.sqrt(((x - bx) * (x - bx) + (y - by) * (y - by)).cast("double")).alias("far"),
+    )
+    of_box, of_cell = Window.partitionBy(page, "box"), Window.partitionBy(page, "cell")
+    best = pairs.withColumn("any", F.max("inside").over(of_box)).withColumn("nth", F.row_number().over(of_box.orderBy(F.desc_nulls_last("iou"), "cell")))
+    second = best.withColumn("second", ~F.col("any") & (F.col("iou") > 0) & (F.col("nth") == 1)).withColumn("second", F.coalesce("second", none)).withColumn("box_taken", F.col("any") | F.max("second").over(of_box))
+    free = second.withColumn("open", ~F.col("box_taken") & ~F.max(F.col("inside") | F.col("second")).over(of_cell) & F.col("cell").isNotNull())
+    third = free.withColumn("third", F.col("open") & (F.row_number().over(of_cell.orderBy(F.desc("open"), "far", "box")) == 1))
+    ruled = third.withColumn("over", ~F.col("box_taken") & ~F.max("third").over(of_box) & (F.col("nth") == 1))
+    rule = F.when(F.col("inside"), 1).when(F.col("second"), 2).when(F.col("third"), 3)
+    by_page = ruled.where(rule.isNotNull() | F.col("over")).groupBy(page).agg(
+        F.collect_list(F.when(rule.isNotNull(), F.struct("box", "cell", rule.alias("rule"), F.lit(None).cast("int").alias("row_cells"), "text"))).alias("met"),
+        F.array_sort(F.collect_list(F.when(F.col("over"), F.struct("box", "x", "y")))).alias("over"), F.map_from_entries(F.collect_list(F.when(F.col("over"), F.struct("box", "text")))).alias("texts"), F.coalesce(F.max("cells"), F.lit(0)).alias("cells"),
+    )
+    rows = by_page.select(page, "met", "texts", "cells", _rows(F.col("over")).alias("rows"))
+    heads = F.transform("rows", lambda r: F.transform(r, lambda b, i: F.struct(b.alias("box"), F.when(i == 0, F.size(r)).alias("row_cells"))))
+    new = F.transform(F.flatten(heads), lambda h, i: F.struct(h["box"].alias("box"), (F.col("cells") + i).cast("long").alias("cell"), F.lit(4).alias("rule"), h["row_cells"].alias("row_cells"), F.try_element_at("texts", h["box"]).alias("text")))
+    return rows.select(page, F.inline(F.concat("met", new))).select(page, F.col("box").alias("box_id"), F.col("cell").alias("cell_id"), "rule", "row_cells", "text")
+
+
 def matches(boxes: DataFrame, cells: DataFrame, page: str = "page_id") -> DataFrame:
-    """(page, box, cell, rule): which cells take which boxes.
+    """(page, box, cell, rule, row_cells): which cells take which boxes.
 
     1: the box's centre is in the cell.  2: of the boxes left, each goes to the cell of largest overlap (of both hulls'
     common one).  3: each cell left takes the nearest box left.  4: boxes left over are dealt in rows to new cells,
-    numbered behind the table's own.  Cells are numbered from 0 by their key; cells whose corners add up to zero don't
-    count.  ``boxes`` and ``cells`` have page, box_id and corners.
+    numbered behind the table's own; a row's first box says how many cells it has.  Cells are numbered from 0 by their
+    key; cells whose corners add up to zero don't count.  ``boxes`` and ``cells`` have page, box_id and corners, keys
+    are distinct within a page, and pages are not null.
     """
-    real = cells.where(F.col("x1") + F.col("y1") + F.col("x2") + F.col("y2") != 0)
-    numbered = real.withColumn("box_id", (F.row_number().over(Window.partitionBy(page).orderBy("box_id")) - 1).cast("long"))
-    first = centres_inside(boxes, numbered, page)
-    left = unmatched(boxes, first.select(page, "box_id").distinct(), page)
-    second = overlap_rule(left, numbered, page, hull=True).select(page, "box_id", "cell_id")
-    still = unmatched(left, second, page)
-    taken = first.unionByName(second).select(page, F.col("cell_id").alias("box_id")).distinct()
-    third = distance_rule(still, unmatched(numbered, taken, page), page).select(page, "box_id", "cell_id")
-    over = unmatched(still, third.select(page, "box_id").distinct(), page)
-    centre = lambda a, b: ((F.col(a) + F.col(b)) / 2).cast("double")
-    rows = over.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(F.col("box_id").cast("long").alias("box"), centre("x1", "x2").alias("x"), centre("y1", "y2").alias("y")))).alias("found")).select(page, _rows(F.col("found")).alias("rows"))
-    counts = numbered.groupBy(page).agg(F.count(F.lit(1)).alias("cells"))
-    fourth = rows.select(page, F.posexplode(F.flatten("rows")).alias("n", "box_id")).join(counts, page, "left").select(page, "box_id", (F.coalesce("cells", F.lit(0)) + F.col("n")).cast("long").alias("cell_id"))
-    row_of = rows.select(page, F.explode(F.transform("rows", lambda r: F.struct(r[0].alias("box_id"), F.size(r).alias("row_cells")))).alias("r")).select(page, "r.*")
-    found = first.withColumn("rule", F.lit(1)).unionByName(second.withColumn("rule", F.lit(2))).unionByName(third.withColumn("rule", F.lit(3))).unionByName(fourth.withColumn("rule", F.lit(4)))
-    return found.join(row_of.withColumn("rule", F.lit(4)), [page, "rule", "box_id"], "left").select(page, "box_id", "cell_id", "rule", "row_cells")
+    return _found(boxes, cells, page, F.lit(None).cast("string")).drop("text")
 
 
 def tables(boxes: DataFrame, cells: DataFrame, tokens: DataFrame, page: str = "page_id") -> DataFrame:
@@ -66,7 +85,7 @@ def tables(boxes: DataFrame, cells: DataFrame, tokens: DataFrame, page: str = "p
     ``boxes`` have a text besides, ``tokens`` are (page, tokens).  A cell's texts stand in the order of the rules, then
     of the boxes.  Pages without tokens give nothing; pages without boxes an empty frame of their tokens.
     """
-    met = matches(boxes, cells, page).join(boxes.select(page, "box_id", F.coalesce("text", F.lit("")).alias("text")), [page, "box_id"])
+    met = _found(boxes, cells, page, F.coalesce("text", F.lit("")))
     texts = met.groupBy(page, "cell_id").agg(
         F.array_sort(F.collect_list(F.struct("rule", "box_id", "text"))).alias("x"), F.max("row_cells").alias("row_cells")
     ).select(page, "cell_id", "row_cells", shared_bold(F.transform("x", lambda v: v["text"])).alias("text"))
