@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,15 +18,24 @@ from pyspark.sql import functions as F
 LONGEST = 50.0
 
 
+@functools.cache
+def _own_folder() -> str:
+    made = tempfile.mkdtemp(prefix="quire-graphs-")
+    atexit.register(shutil.rmtree, made, True)
+    return f"file://{made}"
+
+
 def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir``, which ends its lineage; on one machine a temporary folder does."""
+    """``df`` written to the folder in ``spark.checkpoint.dir`` and read back, which ends its lineage; on one machine a temporary folder does."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='quire-graphs-')}")
-    return df.checkpoint()
+        folder = _own_folder()
+    path = f"{folder.rstrip('/')}/quire-graphs-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def link_scores(links: DataFrame, centres: DataFrame, longest: float = LONGEST, page: str = "page_id", order: str = "nth") -> DataFrame:
@@ -51,7 +64,7 @@ def components(links: DataFrame, nodes: DataFrame, page: str = "page_id", most_r
     labels = nodes.select(page, "node").unionByName(both.select(page, F.col("u").alias("node"))).distinct().withColumn("root", F.col("node"))
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("node", "v"), [page, "v"]).groupBy(page, F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        met = _kept(labels.join(near, [page, "node"], "left").select(page, "node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")))
+        met = labels.join(near, [page, "node"], "left").select(page, "node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
         up = met.select(page, F.col("node").alias("root"), F.col("root").alias("up"))
         jumped = _kept(met.join(up, [page, "root"], "left").select(page, "node", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
         labels = jumped.drop("old")
@@ -66,7 +79,8 @@ def split_components(links: DataFrame, nodes: DataFrame, most: int, least: float
     Each time the links inside what is too large must score ``step`` more; beyond ``top`` it stays as it is.  ``level``
     is the score that made the node's component.
     """
-    done, left, level = None, nodes.select(page, "node"), least
+    links, left = _kept(links.select(page, "a", "b", "score")), _kept(nodes.select(page, "node"))
+    done, level = None, least
     while True:
         inside = links.where(F.col("score") >= level)
         found = components(inside.join(left.withColumnRenamed("node", "a"), [page, "a"], "left_semi").join(left.withColumnRenamed("node", "b"), [page, "b"], "left_semi"), left, page)
