@@ -126,3 +126,10 @@ def test_registry(spark):
     assert steps.plan([{"keep": {"least": 2}}])(spark.range(4)).count() == 2
     with pytest.raises(KeyError):
         steps.plan([{"other": None}])
+
+
+def test_lines_are_scored_as_they_are(spark):
+    """Letters with accents and of other scripts count as themselves."""
+    docs = spark.createDataFrame([(1, "a", "é\nЖж\nsame"), (2, "a", "e\nЖш\nsame")], "doc_id long, source string, text string")
+    got = metrics.whole_text_recognition(queries.line_pairs(docs), "t", "next", "source").first()
+    assert (got.n, got.correct) == (3, 1) and abs(got.similarity - 0.5) < 1e-4
