@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -20,8 +21,11 @@ _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
-_ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{78,}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----(.*?)-----END \1PRIVATE KEY-----", re.DOTALL)
+# A DER sequence in hex whose first item is a version; bytes may stand apart by colons, white space or escaped line ends.
+_GAP = r"(?::|\s|\\[nrt]){0,8}"
+_ANY_HEX = re.compile(rf"(?<![0-9A-Fa-f])30(?={_GAP}(?:[0-7][0-9A-Fa-f]|8[1-4](?:{_GAP}[0-9A-Fa-f]{{2}}){{1,4}}){_GAP}02{_GAP}01{_GAP}0[01])")
+_BYTE = re.compile(rf"{_GAP}([0-9A-Fa-f]{{2}})")
+_BEGIN, _END = (re.compile(rf"-----{w} ([A-Z0-9 ]*)PRIVATE KEY(?=-----)") for w in ("BEGIN", "END"))
 # What base64 of a DER sequence, of an OpenSSH key and of a PEM block starts with; an escaped line end may stand before it.
 _BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|b3BlbnNzaC1r|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{8,}")
 _BREAKS = r"(?:\s|\\[nrt])*"
@@ -29,7 +33,8 @@ _LETTER = re.compile(rf"{_BREAKS}((?:[A-Za-z0-9+_-]|\\?/)+)")
 _PADDING = re.compile(rf"{_BREAKS}=(?:{_BREAKS}=)?")
 _HEADERS = re.compile(r"\A(?:\s*[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+[^\n]*\n)*)+")
 _CIPHER = re.compile(r"^DEK-Info:\s*[A-Z0-9-]+,\s*((?:[0-9A-Fa-f]{2}){8,})\s*$", re.MULTILINE)
-_SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-]))")
+_MAGIC = b"openssh-key-v1\x00"
 #: Least lengths of what a pattern without white space matches.
 _SHORTEST = 20
 
@@ -75,10 +80,9 @@ def der_private_key(data: bytes) -> bool:
 
 def ssh_private_key(data: bytes) -> bool:
     """Whether ``data`` is an OpenSSH private key: its magic and length-prefixed fields, nested ones too."""
-    magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
+    if not data.startswith(_MAGIC):
         return False
-    at, fields = len(magic), []
+    at, fields = len(_MAGIC), []
 
     def take() -> bytes | None:
         nonlocal at
@@ -125,7 +129,68 @@ def armoured_key(label: str, body: str) -> bool:
     return bool(cipher and len(data) >= 32 and len(data) % (len(cipher[1]) // 2) == 0)
 
 
-def _wrapped(text: str, at: int) -> tuple[int, bytes] | None:
+def armoured_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body) of the blocks from a key's beginning to the next end of that label, leftmost, without overlap.
+
+    Ends are found once and looked up, so a text of many beginnings costs no more than its length.
+    """
+    ends: dict[str, list[int]] = {}
+    for m in _END.finditer(text):
+        ends.setdefault(m[1], []).append(m.start())
+    upto = 0
+    for m in _BEGIN.finditer(text) if ends else ():
+        known, after = ends.get(m[1], []), m.end() + 5
+        k = bisect.bisect_left(known, after)
+        if m.start() >= upto and k < len(known):
+            upto = known[k] + len("-----END PRIVATE KEY-----") + len(m[1])
+            yield m.start(), upto, m[1], text[after : known[k]]
+
+
+def _hex_key(text: str, at: int) -> int | None:
+    """Where the key in hex that starts at ``at`` ends, None if there is none; its own length says how far it goes."""
+    head = bytes.fromhex("".join(_bytes_from(text, at, 6)[0]))
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+    if size < 40 or 2 * size > len(text) - at:
+        return None
+    found, end = _bytes_from(text, at, size)
+    if len(found) < size or text[end : end + 1] and text[end] in "0123456789abcdefABCDEF":
+        return None
+    return end if private_key(bytes.fromhex("".join(found))) else None
+
+
+def _bytes_from(text: str, at: int, n: int) -> tuple[list[str], int]:
+    """Up to ``n`` bytes in hex from a place on, and where they end."""
+    out: list[str] = []
+    while len(out) < n and (m := _BYTE.match(text, at)):
+        out.append(m[1])
+        at = m.end()
+    return out, at
+
+
+class _Runs:
+    """Long runs of wrapped letters that were walked in vain: starts that would decode the same bytes again are passed over."""
+
+    def __init__(self) -> None:
+        self.end, self.starts, self.before, self.dead = -1, [], [], set()
+
+    def spent(self, at: int) -> bool:
+        """Whether a start reads what an earlier one of the same run has read, with its letters in the same fours."""
+        return at < self.end and self._letters(at) % 4 in self.dead
+
+    def walked(self, at: int, end: int, parts: list[tuple[int, int]]) -> None:
+        """``parts`` are the places of the run's pieces and how many letters stand before them."""
+        if at >= self.end:
+            self.end, self.dead = end, set()
+            self.starts, self.before = [p for p, _ in parts], [n for _, n in parts]
+        self.dead.add(self._letters(at) % 4)
+
+    def _letters(self, at: int) -> int:
+        k = max(0, bisect.bisect_right(self.starts, at) - 1)
+        return self.before[k] + at - self.starts[k]
+
+
+def _wrapped(text: str, at: int, runs: _Runs) -> tuple[int, bytes] | None:
     """The key in base64 that starts at ``at``: where it ends, and its bytes; lines may be wrapped, ends escaped.
 
     How far it goes is written in it: the length of the DER sequence.  OpenSSH keys and PEM blocks go as far as
@@ -140,20 +205,29 @@ def _wrapped(text: str, at: int) -> tuple[int, bytes] | None:
             return None
         size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
         wanted = -(-size * 4 // 3)  # letters, without padding
-        if wanted > len(text) - at:
+        # what a private key's sequence begins with; anything else isn't read any further
+        if wanted > len(text) - at or (len(head) >= 5 + width and (head[2 + width : 4 + width] != b"\x02\x01" or head[4 + width] > 1)):
             return None
-    letters, n, end = [], 0, at
+    elif runs.spent(at):
+        return None
+    letters, n, end, parts = [], 0, at, []
     while not der or n < wanted:
         part = _LETTER.match(text, end)
         if part is None or not der and part.start(1) > end and len(part[1]) < 16:
             break
         got = part[1].replace("\\/", "/")
+        if not der:
+            parts.append((part.start(1), n))
+            if "\\/" in part[1]:  # a letter of two characters: from here on places say less than letters
+                parts += [(part.start(1) + m.end(), n + m.end() - i - 1) for i, m in enumerate(re.finditer(r"\\/", part[1]))]
         if der and n + len(got) > wanted:
             return None  # the letters run on behind what the length says
         letters.append(got)
         n, end = n + len(got), part.end()
     if der and n < wanted:
         return None
+    if not der:
+        runs.walked(at, end, parts)
     padding = _PADDING.match(text, end) if n % 4 else None
     return (padding.end() if padding else end), _decoded("".join(letters))
 
@@ -193,19 +267,29 @@ def confirmed_spans(text: str, long_words: bool = True) -> list[tuple[str, int,
     """Candidates whose decoded bytes have the structure of a private key or of a signed token."""
     found = []
     if "PRIVATE KEY-----" in text:
-        found = [("key", *m.span()) for m in _ARMOUR.finditer(text) if armoured_key(m[1], m[2])]
-    upto, inside = 0, list(found)
+        found = [("key", a, b) for a, b, label, body in armoured_blocks(text) if armoured_key(label, body)]
+    upto, inside, k, runs = 0, list(found), 0, _Runs()
     for m in _BASE64.finditer(text):
         at = m.start()
-        if at < upto or any(a <= at < b for _, a, b in inside):
+        while k < len(inside) and inside[k][2] <= at:
+            k += 1
+        if at < upto or k < len(inside) and inside[k][1] <= at:
             continue
-        got = _wrapped(text, at)
-        if got and (private_key(got[1]) or any(armoured_key(x[1], x[2]) for x in _ARMOUR.finditer(got[1].decode("latin-1")))):
+        got = _wrapped(text, at, runs)
+        if got and (private_key(got[1]) or any(armoured_key(label, body) for _, _, label, body in armoured_blocks(got[1].decode("latin-1")))):
             upto = got[0]
             found.append(("key", at, upto))
+    upto = 0
+    for m in _ANY_HEX.finditer(text):
+        if m.start() >= upto and (end := _hex_key(text, m.start())):
+            upto = end
+            found.append(("key", m.start(), end))
     if long_words:
-        found += [("key", *m.span()) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and private_key(bytes.fromhex(m[0]))]
-        found += [("token", *m.span()) for m in _SIGNED.finditer(text) if signed_token(m[1], m[2])]
+        upto = 0
+        for m in _SIGNED.finditer(text):
+            if m.start() >= upto and signed_token(m[1], m[2]):
+                upto = m.end(3)
+                found.append(("token", m.start(), upto))
     return found
 
 
