@@ -15,6 +15,8 @@ from quire.llm.common import scratch
 BLOCK, CELL, QUERIES = 4096, 1 << 17, 1024
 #: Bits of a code for each component; standard errors that the bounds allow (outside lies less than one in a hundred).
 RATIO, ERRORS = 8, 2.5
+#: Vectors with components over so many times the median one's largest have no part in the centre.
+USUAL = 8
 
 
 def rotation(dim: int, width: int, seed: int) -> np.ndarray:
@@ -31,8 +33,12 @@ def width_of(dim: int) -> int:
 def turned(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rotated unit residuals to the centre, and the residuals' lengths."""
     residual = vectors - centre
-    norm = np.sqrt((residual**2).sum(axis=1))
-    return residual / np.maximum(norm, 1e-300)[:, None] @ turn, norm
+    # a component may be too large to be squared
+    most = np.maximum(np.abs(residual).max(axis=1, initial=0), 1e-300)[:, None]
+    scaled = residual / most
+    length = np.sqrt((scaled**2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        return scaled / np.maximum(length, 1e-300)[:, None] @ turn, length * most[:, 0]
 
 
 def encoded(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,14 +55,17 @@ def bounds(bits: np.ndarray, norm: np.ndarray, fit: np.ndarray, units: np.ndarra
     """Lower and upper bounds of the squared distances of coded vectors (rows) to queries (columns).
 
     ``units`` are the queries' rotated unit residuals, ``norms`` their lengths.
+    Where a length is beyond what can be squared, nothing is known: the bounds are infinite.
     """
     width = units.shape[1]
     signs = np.unpackbits(bits, axis=1, count=width).astype(np.float32) * 2 - 1
     product = (signs @ units.T.astype(np.float32)).astype(np.float64) / (np.sqrt(width) * fit)[:, None]
     error = ERRORS * (np.sqrt(np.maximum(0.0, 1 - fit**2)) / fit / np.sqrt(max(1, width - 1)))[:, None]
-    near, far, both = np.minimum(1.0, product + error), np.maximum(-1.0, product - error), (norm**2)[:, None] + norms**2
-    scale = 2 * norm[:, None] * norms
-    return both - scale * near, both - scale * far
+    near, far = np.minimum(1.0, product + error), np.maximum(-1.0, product - error)
+    with np.errstate(over="ignore", invalid="ignore"):
+        both, scale = (norm**2)[:, None] + norms**2, 2 * norm[:, None] * norms
+        low, high = both - scale * near, both - scale * far
+    return np.where(np.isfinite(low), low, -np.inf), np.where(np.isfinite(high), high, np.inf)
 
 
 class Nearest:
@@ -74,7 +83,7 @@ class Nearest:
         own = ids[:, None] == self.ids
         low[own], high[own] = np.inf, np.inf
         self.best = np.partition(np.concatenate([self.best, high]), self.k - 1, axis=0)[: self.k]
-        x, q = np.nonzero((low <= self.best.max(axis=0)) & np.isfinite(low))
+        x, q = np.nonzero((low <= self.best.max(axis=0)) & (low < np.inf))
         self.held.append((q, ids[x], low[x, q], high[x, q]))
         self.waiting += len(x)
         if self.waiting > 4_000_000:
@@ -181,7 +190,7 @@ def distance(a: Column, b: Column) -> Column:
 def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, seed: int = 7, cell: int = CELL, at_once: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows of ``table`` by Euclidean distance.
 
-    All rows are coded once, against the mean of all.  Codes and queries meet in cells of about ``cell`` vectors and
+    All rows are coded once, against the mean of all but a few far larger ones.  Codes and queries meet in cells of about ``cell`` vectors and
     ``at_once`` queries.  What the bounds leave there is cut once more by each query's k-th smallest upper bound
     over all cells; only for what is left are the original vectors fetched and measured.
 
@@ -196,7 +205,11 @@ def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim, n = stats[0]["dim"], stats[0]["n"]
     rows = scratch(sound.where(F.size("v") == dim).distinct(), "vectors")
-    centre = np.array(rows.select([F.avg(F.col("v")[i].cast("double")) for i in range(dim)]).first(), float)
+    # the mean of what isn't far larger than half of all: a few huge vectors would draw it away from the rest
+    sized = rows.withColumn("most", F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    usual = sized.agg(F.percentile_approx("most", 0.5)).first()[0]
+    centre = np.array(sized.where(F.col("most") <= min(USUAL * usual, 1e150)).select([F.avg(F.col("v")[i].cast("double")) for i in range(dim)]).first(), float)
+    centre = np.nan_to_num(centre)
     asked = scratch(sound_vectors(queries, id_col, vector_col).where(F.size("v") == dim).distinct(), "queries")
     sides = -(-n // cell), max(1, -(-asked.count() // at_once))
     found = scratch(_candidates(rows, asked, dim, centre, seed, k, sides), "candidates")

@@ -158,6 +158,27 @@ def test_nearest(spark):
     assert ann.digest(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("huge", [1e12, 1e200, 1.7e308])
+def test_nearest_beside_huge_vectors(spark, huge):
+    """One huge vector takes nothing from the others; it is the farthest of all, and its own distances are what doubles say."""
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((600, 16))
+    vectors[77, 3] = vectors[500, 2] = huge
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.digest(table).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(got) == [0, 100, 200, 300, 400, 500]
+    hit = 0
+    with np.errstate(over="ignore"):
+        for q, found in got.items():
+            far = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+            far[q] = np.nan
+            hit += len(set(found) & set(np.lexsort((np.arange(600), np.nan_to_num(far, nan=np.inf, posinf=1e300)))[:10].tolist())) if q != 500 else 10
+            assert len(found) == 10
+    assert hit >= 55
+
+
 def test_empty_tables(docs, labels):
     none, no_labels = docs.limit(0), labels.limit(0)
     for out in (near_dup.digest(none), substring_dedup.digest(none), quality.digest(none, no_labels), secrets.find_secrets(none), packing.pack(none), line_dedup.digest(none), mixing.shares(none), mixing.mix(none), toxicity.digest(none, no_labels)):
