@@ -102,11 +102,15 @@ def cause(text: Column) -> Column:
 
 
 def heading_at(text: Column, heading: str) -> tuple[Column, Column]:
-    """Where a heading starts (from 1) and how long it is: as a line of its own, else anywhere; null for none."""
+    """Where a heading starts (from 1) and how long it is: as a line of its own, else anywhere; null for none.
+
+    Texts are asked for the bare heading first: few hold it, and patterns cost far more.
+    """
     line = rf"(?m)^\s*(?:[一二三四五六七八九十0-9]+[、.．]\s*)?{re.escape(heading)}\s*(?:[:：])?\s*$"
     loose = rf"{re.escape(heading)}\s*(?:[:：])?"
-    own, other = (F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0)) for p in (line, loose))
-    return F.coalesce(own, other), F.length(F.when(own.isNotNull(), F.regexp_extract(text, line, 0)).otherwise(F.regexp_extract(text, loose, 0)))
+    there = text.contains(heading)
+    own, other = (F.when(there, F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0))) for p in (line, loose))
+    return F.coalesce(own, other), F.when(there, F.length(F.when(own.isNotNull(), F.regexp_extract(text, line, 0)).otherwise(F.regexp_extract(text, loose, 0))))
 
 
 def section(text: Column, headings: list[str], stops: list[str] | None = None) -> Column:
@@ -163,8 +167,9 @@ def parties(text: Column) -> Column:
     """array of party structs, one for each role and name: of several the first that has most fields."""
     roles = "|".join(sorted(map(re.escape, ROLES), key=len, reverse=True))
     pattern = rf"(?ms)^\s*((?:{roles})(?:\s*[（(][^）)]{{1,30}}[）)])?)\s*[:：]\s*(.*?)(?=^\s*(?:{roles})\s*(?:[（(][^）)]{{1,30}}[）)])?\s*[:：]|^\s*(?:{PARTY_ENDS})\s*$|\z)"
-    role, body = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
-    pairs = F.filter(F.arrays_zip(role.alias("r"), body.alias("b")), lambda x: F.trim(x["b"]) != "")
+    head = rf"(?s)\A\s*((?:{roles})(?:\s*[（(][^）)]{{1,30}}[）)])?)\s*[:：]\s*(.*)\z"
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.filter(F.transform(whole, lambda w: F.struct(F.regexp_extract(w, head, 1).alias("r"), F.regexp_extract(w, head, 2).alias("b"))), lambda x: F.trim(x["b"]) != "")
     optional = ("current_role_detail", "address", "phone", "gender", "nationality", "birth_date", "id_type", "id_number", "legal_representative", "representative_title", "agent")
     held = lambda p: F.size(F.array_compact(F.array(*[p[f] for f in optional])))
     same = lambda a, b: (a["p"]["role"] == b["p"]["role"]) & (a["p"]["name"] == b["p"]["name"])

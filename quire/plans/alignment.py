@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import form_alignment
-from quire.plans.registry import registered
+from quire.plans.registry import registered, spread
 
 QUERIES, SQL, query = registered()
 
@@ -19,7 +19,7 @@ FIXTURE = f"SELECT c AS form, i AS nth, {_RAW} AS raw, {_VALUE} AS value FROM (S
 
 def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A form for each customer: (form, nth, raw, value)."""
-    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("quire_customers")
+    spread(spark.read.parquet(f"{sf_dir}/customer.parquet")).createOrReplaceTempView("quire_customers")
     return spark.sql(FIXTURE.format(explode="explode(sequence(0, 10))").replace("FROM customer", "FROM quire_customers"))
 
 

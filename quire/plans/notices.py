@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import forms, notices, text
 from quire.functions.text import squeezed
-from quire.plans.registry import registered
+from quire.plans.registry import registered, spread
 
 QUERIES, SQL, query = registered()
 
@@ -42,7 +42,7 @@ FIXTURE = f"SELECT k AS doc_id, {_TEXT} AS text, {_DAY} AS day, due, {_ASKED} AS
 
 def written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A notice for each order: (doc_id, text, day, due, asked, court, kind, c)."""
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("quire_orders")
+    spread(spark.read.parquet(f"{sf_dir}/orders.parquet")).createOrReplaceTempView("quire_orders")
     return spark.sql(FIXTURE.replace("FROM orders", "FROM quire_orders"))
 
 

@@ -39,6 +39,12 @@ class Registry:
         return run
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in at least as many partitions as there are cores: a small file is one task, however dear its rows are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def registered() -> tuple[dict, dict, Callable]:
     """Queries and their SQL by name, and the decorator that puts them there."""
     queries: dict[str, Callable] = {}
