@@ -97,7 +97,7 @@ def test_link_scores(spark):
     assert {(r.a, r.b): round(r.score, 9) for r in graphs.link_scores(links, centres).collect()} == {(3, 7): 0.4, (3, 9): 0.0}
 
 
-@pytest.mark.parametrize("points, want", [([(0, 0)], [0]), ([(0, 0), (10, 0), (1, 0)], [1, 2, 0]), ([(5, 0), (0, 0), (11, 0), (6, 0)], [2, 3, 0, 1]), ([(0, 0), (1, 0), (-1, 0)], [1, 2, 0])])
+@pytest.mark.parametrize("points, want", [([(0, 0)], [0]), ([(0, 0), (10, 0), (1, 0)], [1, 2, 0]), ([(5, 0), (0, 0), (11, 0), (6, 0)], [2, 3, 0, 1]), ([(0, 0), (1, 0), (-1, 0)], [2, 0, 1])])
 def test_paths(points, want):
     assert graphs.path(np.array(points, float)) == want
 
