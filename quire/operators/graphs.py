@@ -11,12 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Links between centres farther apart than this count for nothing.
 LONGEST = 50.0
 
+#: Links and nodes of a page that is cut in one piece.
+PAGE_ROWS = 1 << 18
+
+#: Points of a path that is looked for without arrays.
+SMALL = 16
+
 
 @functools.cache
 def _own_folder() -> str:
@@ -53,6 +60,94 @@ def link_scores(links: DataFrame, centres: DataFrame, longest: float = LONGEST,
     return listed.select(page, "a", "b", F.expr("aggregate(slice(s, 2, size(s)), s[0].score, (m, x) -> (m + x.score) / 2)").alias("score"))
 
 
+def _numbers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Each value's place among the distinct ones in their order, and those; nulls have place -1."""
+    coded = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    places = np.empty(len(order) + 1, np.int64)
+    places[order], places[-1] = np.arange(len(order)), -1
+    return places[pc.fill_null(coded.indices.cast(pa.int64()), len(order)).to_numpy(zero_copy_only=False)], coded.dictionary.take(pa.array(order))
+
+
+def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of ``n`` numbered nodes that links ``a``-``b`` join each to."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _cut(table: pa.Table, page: str, levels: list[float], most: int) -> pa.RecordBatch:
+    """(page, node, root, level) of whole pages: rows with ``b`` are links, the others nodes."""
+    at, pages = _numbers(table.column(page))
+    ends, names = _numbers(pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks], table.schema.field("a").type))
+    size, a, b = max(len(names), 1), ends[: len(at)], ends[len(at) :]
+    node = (b < 0) & (a >= 0)
+    keys = np.unique(at[node] * size + a[node])
+    root, level = np.arange(len(keys)), np.full(len(keys), levels[0])
+    left = np.ones(len(keys), bool)
+    score = table.column("score").combine_chunks().fill_null(float("-inf")).to_numpy(zero_copy_only=False)
+    link = (a >= 0) & (b >= 0) & (a != b)
+    u, v, score = at[link] * size + a[link], at[link] * size + b[link], score[link]
+    i, j = np.searchsorted(keys, u), np.searchsorted(keys, v)
+    known = (i < len(keys)) & (j < len(keys))
+    known[known] = (keys[i[known]] == u[known]) & (keys[j[known]] == v[known])
+    i, j, score = i[known], j[known], score[known]
+    for now in levels:
+        good = (score >= now) & left[i] & left[j]
+        found = _least_reached(len(keys), i[good], j[good])
+        root[left], level[left] = found[left], now
+        left &= np.bincount(found[left], minlength=len(keys))[root] > most
+        if not left.any():
+            break
+    made = [pages.take(pa.array(keys // size)), names.take(pa.array(keys % size)), names.take(pa.array(keys[root] % size)), pa.array(level)]
+    return pa.RecordBatch.from_arrays(made, names=[page, "node", "root", "level"])
+
+
+def _by_pages(links: DataFrame, nodes: DataFrame, levels: list[float], most: int, page: str, page_rows: int) -> DataFrame:
+    """(page, node, root, level) by one pass over rows dealt and sorted by page; a page of more than ``page_rows`` is one row without a node."""
+    kinds = {f: nodes.schema[f].dataType.simpleString() for f in (page, "node")}
+    ends = [F.col(c).cast(kinds["node"]).alias(c) for c in ("a", "b")]
+    rows = links.select(page, *ends, F.col("score").cast("double").alias("score")).where("a is not null and b is not null").unionByName(
+        nodes.select(page, F.col("node").alias("a"), F.lit(None).cast(kinds["node"]).alias("b"), F.lit(None).cast("double").alias("score")).where("a is not null")
+    )
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.where(F.col(page).isNotNull()).repartition(tasks, page).sortWithinPartitions(page)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        large = None
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            if large is not None:
+                whole = whole.filter(pc.not_equal(whole.column(page), large))
+            if not len(whole):
+                continue
+            large = None
+            last = whole.column(page)[-1]
+            cut = pc.index(whole.column(page), last).as_py()
+            if cut:
+                yield _cut(pa.concat_tables([*held, whole.slice(0, cut)]), page, levels, most)
+                held = []
+            elif held and held[-1].column(page)[-1] != last:
+                yield _cut(pa.concat_tables(held), page, levels, most)
+                held = []
+            held.append(whole.slice(cut))
+            if sum(map(len, held)) > page_rows:
+                large, kind = last, whole.schema.field("a").type
+                yield pa.RecordBatch.from_arrays([pa.array([large.as_py()], whole.schema.field(page).type), pa.nulls(1, kind), pa.nulls(1, kind), pa.nulls(1, pa.float64())], names=[page, "node", "root", "level"])
+                held = []
+        if held:
+            yield _cut(pa.concat_tables(held), page, levels, most)
+
+    return dealt.mapInArrow(run, f"`{page}` {kinds[page]}, node {kinds['node']}, root {kinds['node']}, level double")
+
+
 def components(links: DataFrame, nodes: DataFrame, page: str = "page_id", most_rounds: int = 64) -> DataFrame:
     """(page, node, root): what links (page, a, b) join, directly or not, under its smallest node; nodes without links are their own.
 
@@ -73,27 +168,42 @@ def components(links: DataFrame, nodes: DataFrame, page: str = "page_id", most_r
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def split_components(links: DataFrame, nodes: DataFrame, most: int, least: float, step: float, top: float = 1.0, page: str = "page_id") -> DataFrame:
+def split_components(links: DataFrame, nodes: DataFrame, most: int, least: float, step: float, top: float = 1.0, page: str = "page_id", page_rows: int = PAGE_ROWS) -> DataFrame:
     """(page, node, root, level): components of links that score ``least`` or more, cut again until none has over ``most`` nodes.
 
     Each time the links inside what is too large must score ``step`` more; beyond ``top`` it stays as it is.  ``level``
-    is the score that made the node's component.
+    is the score that made the node's component.  Pages are cut whole in one pass; those of more than ``page_rows``
+    links and nodes are cut by joins, and nothing of them is gathered.
     """
+    levels = [least]
+    while round(levels[-1] + step, 9) <= top:
+        levels.append(round(levels[-1] + step, 9))
+    cut = _kept(_by_pages(links, nodes, levels, most, page, page_rows))
+    large = cut.where("node is null").select(page)
+    if large.isEmpty():
+        return cut
+    whole = lambda rows: rows.join(large, page, "left_semi")
+    return cut.where("node is not null").unionByName(_split_by_joins(whole(links), whole(nodes), most, levels, page))
+
+
+def _split_by_joins(links: DataFrame, nodes: DataFrame, most: int, levels: list[float], page: str) -> DataFrame:
+    """``split_components`` of pages of any size."""
     links, left = _kept(links.select(page, "a", "b", "score")), _kept(nodes.select(page, "node"))
-    done, level = None, least
-    while True:
+    done = None
+    for level in levels:
         inside = links.where(F.col("score") >= level)
         found = components(inside.join(left.withColumnRenamed("node", "a"), [page, "a"], "left_semi").join(left.withColumnRenamed("node", "b"), [page, "b"], "left_semi"), left, page)
         sizes = found.groupBy(page, "root").agg(F.count(F.lit(1)).alias("q_n"))
         sized = _kept(found.join(sizes, [page, "root"]).select(page, "node", "root", F.lit(level).alias("level"), "q_n"))
         over = sized.where(F.col("q_n") > most)
-        last = round(level + step, 9) > top or over.isEmpty()
+        last = level == levels[-1] or over.isEmpty()
         small = (sized if last else sized.where(F.col("q_n") <= most)).drop("q_n")
         done = small if done is None else done.unionByName(small)
         if last:
-            return done
+            break
         # what was cut is compared within its old component only: links between components are below the old level
-        left, level = over.select(page, "node"), round(level + step, 9)
+        left = over.select(page, "node")
+    return done
 
 
 def numbered(groups: DataFrame, page: str = "page_id") -> DataFrame:
@@ -108,11 +218,28 @@ def without_singles(groups: DataFrame, page: str = "page_id") -> DataFrame:
     return groups.join(several, [page, "root"], "left_semi")
 
 
-def path(points: np.ndarray) -> list[int]:
+def path(points: np.ndarray | list) -> list[int]:
     """Places of points along a path: from the first point on, the one nearest to either end comes next, at that end.
 
     The front counts where both are as near; of points that are as near the last comes.
     """
+    if len(points) > SMALL:
+        return _long_path(np.asarray(points, float))
+    left = list(range(1, len(points)))
+    out = list(range(len(points)))[:1]
+    while left:
+        near = []
+        for end in (out[0], out[-1]):
+            x, y = points[end]
+            near.append(min(((points[i][0] - x) ** 2 + (points[i][1] - y) ** 2, -i) for i in left))
+        front = near[0][0] <= near[1][0]
+        at = -near[0 if front else 1][1]
+        left.remove(at)
+        out.insert(0 if front else len(out), at)
+    return out
+
+
+def _long_path(points: np.ndarray) -> list[int]:
     left = list(range(1, len(points)))
     out = list(range(len(points)))[:1]
     while left:
@@ -135,8 +262,14 @@ def paths(groups: DataFrame, centres: DataFrame, page: str = "page_id") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [[p[i]["node"] for i in path(np.array([(q["x"], q["y"]) for q in p]))] for p in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], names=[page, "root", "nodes"])
+            starts, rows = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            nodes = rows.field("node").to_numpy()
+            points = list(zip(rows.field("x").to_pylist(), rows.field("y").to_pylist(), strict=True))
+            places = np.arange(len(nodes))
+            for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if high - low > 1:
+                    places[low:high] = [low + i for i in path(points[low:high])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(nodes[places]))], names=[page, "root", "nodes"])
 
     found = listed.mapInArrow(run, f"`{page}` {kinds[0]}, root {kinds[1]}, nodes array<bigint>")
     return found.select(page, "root", F.posexplode("nodes").alias("nth", "node"))

@@ -130,3 +130,25 @@ def test_outlines(spark):
         points = [sum(complex(a[i], b[i]) * np.exp(2j * math.pi * (i - k) * t / 20) for i in range(2 * k + 1)) for t in range(20)]
         assert outline == [int(v) for p in points for v in (p.real, p.imag)]
     assert spark.createDataFrame([([], [])], "a array<double>, b array<double>").select(contours.fourier_outline(F.col("a"), F.col("b")).alias("o")).first().o is None
+
+
+@pytest.mark.parametrize("page_rows", [1 << 18, 40])
+def test_pages_are_cut_in_one_pass(spark, monkeypatch, page_rows):
+    """Small pages start no rounds of joins, however many levels there are; large ones give the same groups by joins."""
+    rng = random.Random(11)
+    links = {(p, *sorted(rng.sample(range(20), 2))): round(rng.random(), 2) for p in range(12) for _ in range(3 + 3 * p)}
+    table = spark.createDataFrame([(p, a, b, s) for (p, a, b), s in links.items()] + [(0, None, 1, 1.0), (1, 3, 99, 1.0), (2, 4, 4, None)], "page_id int, a int, b int, score double")
+    nodes = spark.createDataFrame([(p, n) for p in range(12) for n in range(20)], "page_id int, node int").repartition(3)
+    if page_rows > 40:
+        monkeypatch.setattr(graphs, "components", None)
+    got = {(r.page_id, r.node): (r.root, round(r.level, 9)) for r in graphs.split_components(table, nodes, 3, 0.2, 0.2, 0.9, page_rows=page_rows).collect()}
+    for p in range(12):
+        left, level = set(range(20)), 0.2
+        while left:
+            found = plain_components([(a, b) for (q, a, b), s in links.items() if q == p and s >= level and {a, b} <= left], left)
+            for n in sorted(left):
+                if list(found.values()).count(found[n]) <= 3 or round(level + 0.2, 9) > 0.9:
+                    assert got.pop((p, n)) == (found[n], level)
+                    left.discard(n)
+            level = round(level + 0.2, 9)
+    assert not got
