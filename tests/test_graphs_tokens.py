@@ -152,3 +152,12 @@ def test_pages_are_cut_in_one_pass(spark, monkeypatch, page_rows):
                     left.discard(n)
             level = round(level + 0.2, 9)
     assert not got
+
+
+def test_short_paths_need_no_arrays(monkeypatch):
+    """Small groups go the same way as with arrays, ties included."""
+    rng = random.Random(12)
+    shapes = [[(rng.randint(0, 3) / 2, rng.randint(0, 3) / 2) for _ in range(n)] for n in (1, 2, 3, 4, 9, 16) for _ in range(20)]
+    want = [graphs._long_path(np.array(s)) for s in shapes]
+    monkeypatch.setattr(graphs, "_long_path", None)
+    assert [graphs.path(s) for s in shapes] == want
