@@ -10,7 +10,7 @@ from quire.functions.geometry import Box, bounds, centre_to_corners, corners_to_
 from quire.operators import boxes, matching, metrics, polygons
 from quire.plans.notices import FIXTURE, normal
 from quire.plans.queries import _BOXES, _PAIRS, page_boxes
-from quire.plans.registry import registered
+from quire.plans.registry import registered, rounded
 
 QUERIES, SQL, query = registered()
 
@@ -202,7 +202,7 @@ mo AS (SELECT page_id, list_reverse_sort(list_transform(range(1, len(merged) + 1
 folded AS (SELECT page_id, unnest({_FOLD.format(clash=f"len(list_filter(kept, lambda a: {_LAPS.format(0.1)})) > 0", fields='s DOUBLE, k BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE')}) AS b FROM mo) SELECT page_id, b.k AS box_id, round(b.s, 6) AS score, round(b.x1, 4) AS x1, round(b.y2, 4) AS y2 FROM folded""")
 def merged_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = polygons.merged_and_suppressed(page_polygons(spark, sf_dir), 0.1)
-    return found.select("page_id", "box_id", F.round("score", 6).alias("score"), F.round(F.col("polygon")[0], 4).alias("x1"), F.round(F.col("polygon")[5], 4).alias("y2"))
+    return found.select("page_id", "box_id", rounded(F.col("score"), 6).alias("score"), rounded(F.col("polygon")[0], 4).alias("x1"), rounded(F.col("polygon")[5], 4).alias("y2"))
 
 
 @query("softened_polygons")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Step = Callable[..., DataFrame]
 
@@ -45,6 +46,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A double rounded as SQL engines do that round it times a power of ten; ``round`` goes by its decimal digits, and they differ next to halves."""
+    return F.round(value * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 def registered() -> tuple[dict, dict, Callable]:
     """Queries and their SQL by name, and the decorator that puts them there."""
     queries: dict[str, Callable] = {}
