@@ -6,6 +6,7 @@ in one pass after one shuffle; totals add them up and take ratios last.  A page'
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import edit_distance, half_width
 from quire.operators.metrics import harmonic, ratio
-from quire.operators.polygons import Shape, hull, overlaps, shared_areas, simple
+from quire.operators.polygons import Shapes, list_column, meeting
 
 # What counts as covered, as precise, and what a split or merged match is worth.
 COVERED, PRECISE, PARTLY, AT_LEAST = 0.7, 0.6, 0.8, 2
@@ -23,8 +24,33 @@ NO_LABEL = ("O", "OTHERS", "OTHER")
 EPS = 1e-9
 
 
-def _counted(truth: DataFrame, found: DataFrame, page: str, key: str, polygon: str, columns: dict[str, tuple[Column, Column]], use: Callable, counters: dict[str, str]) -> DataFrame:
-    """A row of ``counters`` for each page of either side; ``use`` takes the two lists of rows (k, p and ``columns``)."""
+class Side:
+    """One side's rows of several pages, in the order of their keys: where pages begin, polygons, and columns by name."""
+
+    def __init__(self, values: pa.Array) -> None:
+        self.pages, self.rows = list_column(values)
+        self.n = len(self.rows)
+        starts, coordinates = list_column(self.rows.field("p"))
+        self.polygons = (coordinates.to_numpy(zero_copy_only=False), starts)
+        self.page = np.repeat(np.arange(len(values)), np.diff(self.pages))
+
+    def shapes(self, hulls: bool = False, whole: bool = False) -> Shapes:
+        coordinates, starts = self.polygons
+        return Shapes(np.trunc(coordinates) if whole else coordinates, starts, hulls)
+
+    def column(self, name: str) -> list:
+        return self.rows.field(name).to_pylist()
+
+    def flags(self, name: str) -> np.ndarray:
+        return np.array(self.column(name), bool)
+
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        """Sums by page of one number for each row."""
+        return np.bincount(self.page, values, len(self.pages) - 1).astype(np.int64)
+
+
+def _counted(truth: DataFrame, found: DataFrame, page: str, key: str, polygon: str, columns: dict[str, tuple[Column, Column]], use: Callable, counters: dict[str, str], of_truth: bool = False) -> DataFrame:
+    """A row of ``counters`` for each page of either side (``of_truth``: of the true one); ``use`` takes both sides of several pages (k, p and ``columns``) and gives each counter's values."""
 
     def side(rows: DataFrame, name: str, which: int) -> DataFrame:
         fields = [F.col(key).alias("k"), F.col(polygon).cast("array<double>").alias("p"), *[c[which].alias(n) for n, c in columns.items()]]
@@ -33,17 +59,14 @@ def _counted(truth: DataFrame, found: DataFrame, page: str, key: str, polygon: s
     # pages are small and costly: they keep to as many tasks as the session deals out
     tasks = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = side(truth, "t", 0).unionByName(side(found, "f", 1), allowMissingColumns=True).repartition(tasks, page).groupBy(page).agg(F.array_sort(F.collect_list("t")).alias("t"), F.array_sort(F.collect_list("f")).alias("f"))
+    both = both.where(F.size("t") > 0) if of_truth else both
     kind = both.schema[page].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"bigint": pa.int64(), "double": pa.float64()}
         for batch in batches:
-            made = []
-            for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for x in (*t, *f):
-                    x["p"] = np.array(x["p"], float).reshape(-1, 2)
-                made.append(use(t, f))
-            types = {"bigint": pa.int64(), "double": pa.float64()}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[i] for m in made], types[t]) for i, t in enumerate(counters.values())]], names=[page, *counters])
+            made = use(Side(batch.column(1)), Side(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(m, types[t]) for m, t in zip(made, counters.values(), strict=True)]], names=[page, *counters])
 
     return both.mapInArrow(run, f"`{page}` {kind}, " + ", ".join(f"{n} {t}" for n, t in counters.items()))
 
@@ -55,17 +78,21 @@ def polygon_counts(truth: DataFrame, found: DataFrame, least: float = 0.5, cover
     doesn't count either, nor do ignored ones.  ``truth`` has a boolean ``ignored`` (null: false) besides.
     """
 
-    def use(t: list[dict], f: list[dict]) -> tuple[int, int, int]:
-        true, out = ([Shape(x["p"]) for x in t if bool(x["i"]) is wanted and simple(x["p"])] for wanted in (False, True))
-        got = [Shape(x["p"]) for x in f if simple(x["p"])]
-        hidden = (shared_areas(out, got) > covered * np.array([g.area for g in got])).any(axis=0)
-        got = [g for g, h in zip(got, hidden, strict=True) if not h]
-        good = overlaps(true, got) > least
-        free = np.ones(len(got), bool)
-        for row in good:
-            hits = np.flatnonzero(row & free)
-            free[hits[:1]] = False
-        return int((~free).sum()), len(true), len(got)
+    def use(t: Side, f: Side) -> tuple:
+        a, b = t.shapes(), f.shapes()
+        fit, got, out = a.simple(), b.simple(), t.flags("i")
+        i, j, both = meeting(a, t.pages, b, f.pages)
+        got[j[fit[i] & out[i] & (both > covered * b.area[j])]] = False
+        true = fit & ~out
+        good = true[i] & got[j] & (both / (a.area[i] + b.area[j] - both) > least)
+        taken, matched = set(), {}
+        for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+            if x not in matched and y not in taken:
+                matched[x] = y
+                taken.add(y)
+        hits = np.zeros(t.n)
+        hits[list(matched)] = 1
+        return t.totals(hits), t.totals(true), f.totals(got)
 
     columns = {"i": (F.coalesce(F.col(ignored), F.lit(False)), F.lit(False))}
     return _counted(truth, found, page, key, polygon, columns, use, {"matched": "bigint", "truths": "bigint", "detections": "bigint"})
@@ -79,37 +106,50 @@ def split_and_merged(covered: np.ndarray, precise: np.ndarray) -> tuple[float, f
     share; then a found one that holds several true ones.  A match of several is worth 0.8 for each.
     """
     n, m = covered.shape
-    left_t, left_f = np.ones(n, bool), np.ones(m, bool)
+    t, f = np.nonzero((covered > 0) | (precise > 0))
+    return _split_and_merged(n, m, list(zip(t.tolist(), f.tolist(), covered[t, f].tolist(), precise[t, f].tolist(), strict=True)))
+
+
+def _split_and_merged(n: int, m: int, cells: list[tuple[int, int, float, float]]) -> tuple[float, float, list[tuple[list[int], list[int]]]]:
+    """``split_and_merged`` of the cells (true, found, covered, precise) that aren't zero, in their order."""
+    rows: list[list[tuple[int, float, float]]] = [[] for _ in range(n)]
+    lines: list[list[tuple[int, float, float]]] = [[] for _ in range(m)]
+    for t, f, c, p in cells:
+        rows[t].append((f, c, p))
+        lines[f].append((t, c, p))
+    left_t, left_f = [True] * n, [True] * m
     recall = precision = 0.0
     matched: list[tuple[list[int], list[int]]] = []
 
-    def take(t: list[int], f: list[int], worth: float) -> None:
+    def take(ts: list[int], fs: list[int], worth: float) -> None:
         nonlocal recall, precision
-        left_t[t], left_f[f] = False, False
-        recall, precision = recall + len(t) * worth, precision + len(f) * worth
-        matched.append((t, f))
-
-    good_c, good_p = covered > COVERED, precise > PRECISE
-    for t in np.flatnonzero((good_c.sum(axis=1) == 1) & (good_p.sum(axis=1) == 1)).tolist() if m else ():
-        c, p = int(good_c[t].argmax()), int(good_p[t].argmax())
-        if good_c[:, c].sum() == 1 and good_p[:, p].sum() == 1:
-            take([t], [c], 1.0)
-    for t in range(n):
-        if left_t[t] and (covered[t] > 0).sum() >= AT_LEAST:
-            parts = np.flatnonzero((precise[t] >= PRECISE) & left_f).tolist()
+        for t in ts:
+            left_t[t] = False
+        for f in fs:
+            left_f[f] = False
+        recall, precision = recall + len(ts) * worth, precision + len(fs) * worth
+        matched.append((ts, fs))
+
+    for t, row in enumerate(rows):
+        c, p = [x[0] for x in row if x[1] > COVERED], [x[0] for x in row if x[2] > PRECISE]
+        if len(c) == 1 and len(p) == 1 and sum(x[1] > COVERED for x in lines[c[0]]) == 1 and sum(x[2] > PRECISE for x in lines[p[0]]) == 1:
+            take([t], c, 1.0)
+    for t, row in enumerate(rows):
+        if left_t[t] and sum(x[1] > 0 for x in row) >= AT_LEAST:
+            parts = [x for x in row if x[2] >= PRECISE and left_f[x[0]]]
             if len(parts) == 1:
-                if covered[t, parts[0]] >= COVERED:
-                    take([t], parts, 1.0)
-            elif covered[t, parts].sum() >= COVERED:
-                take([t], parts, PARTLY)
-    for f in range(m):
-        if left_f[f] and (precise[:, f] > 0).sum() >= AT_LEAST:
-            parts = np.flatnonzero((covered[:, f] >= PRECISE) & left_t).tolist()
+                if parts[0][1] >= COVERED:
+                    take([t], [parts[0][0]], 1.0)
+            elif functools.reduce(lambda s, x: s + x[1], parts, 0.0) >= COVERED:
+                take([t], [x[0] for x in parts], PARTLY)
+    for f, line in enumerate(lines):
+        if left_f[f] and sum(x[2] > 0 for x in line) >= AT_LEAST:
+            parts = [x for x in line if x[1] >= PRECISE and left_t[x[0]]]
             if len(parts) == 1:
-                if precise[parts[0], f] >= PRECISE and covered[parts[0], f] >= COVERED:
-                    take(parts, [f], 1.0)
-            elif precise[parts, f].sum() >= PRECISE:
-                take(parts, [f], PARTLY)
+                if parts[0][2] >= PRECISE and parts[0][1] >= COVERED:
+                    take([parts[0][0]], [f], 1.0)
+            elif functools.reduce(lambda s, x: s + x[2], parts, 0.0) >= PRECISE:
+                take([x[0] for x in parts], [f], PARTLY)
     return recall, precision, matched
 
 
@@ -124,21 +164,35 @@ def deteval_counts(truth: DataFrame, found: DataFrame, whole: bool = True, page:
     """
     more = 1.0 if whole else 0.0
 
-    def use(t: list[dict], f: list[dict]) -> tuple[int, int, float, float, int]:
-        shape = lambda x: Shape(np.trunc(x["p"]) if whole else x["p"])
-        out, true, got = [shape(x) for x in t if not x["t"]], [x for x in t if x["t"]], [shape(x) for x in f]
-        over = np.array([g.area + more for g in got])
-        hidden = (np.divide(shared_areas(out, got), over, out=np.zeros((len(out), len(got))), where=over > 0) > 0.5).any(axis=0)
-        got, said = ([x for x, h in zip(xs, hidden, strict=True) if not h] for xs in (got, f))
-        real = [shape(x) for x in true]
-        shared = shared_areas(real, got)
-        of = lambda sizes: np.divide(shared, sizes, out=np.zeros_like(shared), where=(sizes > 0) & (shared >= 0))
-        covered, precise = of(np.array([g.area for g in real]).reshape(-1, 1)), of(np.array([d.area for d in got]).reshape(1, -1))
+    def use(t: Side, f: Side) -> tuple:
+        a, b = t.shapes(whole=whole), f.shapes(whole=whole)
+        said_t, said_f = t.column("t"), f.column("t")
+        true, got = np.array([x != "" for x in said_t], bool), np.ones(f.n, bool)
+        i, j, both = meeting(a, t.pages, b, f.pages)
+        over = b.area[j] + more
+        hides = ~true[i] & (np.divide(both, over, out=np.zeros_like(both), where=over > 0) > 0.5)
+        got[j[hides]] = False
+        kept = true[i] & got[j]
+        i, j, both = i[kept], j[kept], both[kept]
+        of = lambda sizes: np.divide(both, sizes, out=np.zeros_like(both), where=sizes > 0)
+        covered, precise = of(a.area[i]), of(b.area[j])
         if whole:
             covered, precise = np.round(covered, 2), np.round(precise, 2)
-        recall, precision, matched = split_and_merged(covered, precise)
-        same = lambda a, b: true[a]["t"].lower() == said[b]["t"].lower()
-        return len(true), len(got), recall, precision, sum(any(same(a, fs[0]) for a in ts) for ts, fs in matched) if whole else 0
+        truths, detections = t.totals(true), f.totals(got)
+        # places among a page's true and found ones that count
+        nth = lambda side, on: np.cumsum(on) - 1 - np.concatenate([[0], np.cumsum(on)])[side.pages[:-1]][side.page] if side.n else np.empty(0, np.int64)
+        cells = list(zip(nth(t, true)[i].tolist(), nth(f, got)[j].tolist(), covered.tolist(), precise.tolist(), strict=True))
+        upto = np.searchsorted(t.page[i], np.arange(len(truths) + 1)).tolist()
+        texts_t, texts_f = [x for x in said_t if x], [x for x, on in zip(said_f, got.tolist(), strict=True) if on]
+        from_t, from_f = np.concatenate([[0], np.cumsum(truths)]).tolist(), np.concatenate([[0], np.cumsum(detections)]).tolist()
+        recalled, exact, hits = [], [], []
+        for k, (n, m) in enumerate(zip(truths.tolist(), detections.tolist(), strict=True)):
+            recall, precision, matched = _split_and_merged(n, m, cells[upto[k] : upto[k + 1]])
+            same = lambda x, y, k=k: texts_t[from_t[k] + x].lower() == texts_f[from_f[k] + y].lower()
+            recalled.append(recall)
+            exact.append(precision)
+            hits.append(sum(any(same(x, fs[0]) for x in ts) for ts, fs in matched) if whole else 0)
+        return truths, detections, recalled, exact, hits
 
     words = F.coalesce(F.col(text), F.lit(""))
     columns = {"t": (words, F.regexp_replace(words, r"\A\s+|\s+\z", ""))}
@@ -157,19 +211,38 @@ def deteval_scores(counts: DataFrame, *by: str) -> DataFrame:
 _COUNTERS = {"hits": "bigint", "truths": "bigint", "detections": "bigint", "edits": "bigint", "letters": "bigint"}
 
 
-def _pairs(t: list[dict], f: list[dict], least: float) -> list[tuple[int, int]]:
-    """One-to-one pairs of convex hulls of IoU ``least`` or more, the best first; of equals the first."""
-    a, b = ([Shape(h if len(h := hull(x["p"])) > 2 else x["p"]) for x in side] for side in (t, f))
-    near = overlaps(a, b)
-    met = [(-float(near[i, j]), int(i), int(j)) for i, j in zip(*np.nonzero(near >= least), strict=True)]
-    out: list[tuple[int, int]] = []
+def _pairs(t: Side, f: Side, least: float) -> tuple[list[int], list[int]]:
+    """One-to-one pairs of convex hulls of IoU ``least`` or more on each page, the best first; of equals the first."""
+    a, b = t.shapes(hulls=True), f.shapes(hulls=True)
+    i, j, both = meeting(a, t.pages, b, f.pages)
+    near = both / (a.area[i] + b.area[j] - both)
+    good = near >= least
+    i, j, near = i[good], j[good], near[good]
+    order = np.lexsort((j, i, -near))
+    one, two = [], []
     seen_t, seen_f = set(), set()
-    for _, i, j in sorted(m for m in met if m[0] < 0):
-        if i not in seen_t and j not in seen_f:
-            seen_t.add(i)
-            seen_f.add(j)
-            out.append((i, j))
-    return out
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if x not in seen_t and y not in seen_f:
+            seen_t.add(x)
+            seen_f.add(y)
+            one.append(x)
+            two.append(y)
+    return one, two
+
+
+#: Letters of two texts together whose distance is remembered.
+SHORT = 64
+_short_distance = functools.lru_cache(1 << 16)(edit_distance)
+
+
+def _distances(a: list[str], b: list[str]) -> np.ndarray:
+    return np.array([_short_distance(x, y) if len(x) + len(y) <= SHORT else edit_distance(x, y) for x, y in zip(a, b, strict=True)], np.int64)
+
+
+def _unmatched(side: Side, places: list[int]) -> np.ndarray:
+    free = np.ones(side.n, bool)
+    free[places] = False
+    return free
 
 
 def end_to_end_counts(truth: DataFrame, found: DataFrame, least: float = 0.5, blanks: bool = True, page: str = "page_id", key: str = "box_id", polygon: str = "polygon", text: str = "text", ignored: str = "ignored") -> DataFrame:
@@ -180,23 +253,24 @@ def end_to_end_counts(truth: DataFrame, found: DataFrame, least: float = 0.5, bl
     empty.
     """
 
-    def use(t: list[dict], f: list[dict]) -> tuple[int, ...] | None:
-        hits = truths = edits = letters = 0
-        pairs = _pairs(t, f, least)
-        detections = len(f) - sum(t[i]["i"] for i, _ in pairs)
-        for i, j in pairs:
-            if not t[i]["i"]:
-                a, b = t[i]["t"], f[j]["t"]
-                hits, truths, edits, letters = hits + (a == b), truths + 1, edits + edit_distance(a, b), letters + len(a)
-        left = [x["n"] for i, x in enumerate(t) if i not in {p[0] for p in pairs} and not x["i"]]
-        spare = [x["n"] for j, x in enumerate(f) if j not in {p[1] for p in pairs}]
-        return hits, truths + len(left), detections, edits + sum(left) + sum(spare), letters + sum(left)
+    def use(t: Side, f: Side) -> tuple:
+        one, two = _pairs(t, f, least)
+        said_t, said_f, out = t.column("t"), f.column("t"), t.flags("i")
+        counts = [(x, y) for x, y in zip(one, two, strict=True) if not out[x]]
+        places = [x for x, _ in counts]
+        a, b = [said_t[x] for x in places], [said_f[y] for _, y in counts]
+        hits, edits, letters = (np.zeros(t.n, np.int64) for _ in range(3))
+        hits[places], edits[places], letters[places] = [x == y for x, y in zip(a, b, strict=True)], _distances(a, b), [len(x) for x in a]
+        left = _unmatched(t, one) & ~out
+        sizes, spare = np.array(t.column("n"), np.int64) * left, np.array(f.column("n"), np.int64) * _unmatched(f, two)
+        ignored_ = np.zeros(t.n, np.int64)
+        ignored_[one] = out[one]
+        return t.totals(hits), t.totals(left) + np.bincount(t.page[places], minlength=len(t.pages) - 1), f.totals(np.ones(f.n)) - t.totals(ignored_), t.totals(edits + sizes) + f.totals(spare), t.totals(letters + sizes)
 
     said = F.coalesce(F.col(text), F.lit(""))
     plain = half_width(said) if blanks else F.replace(half_width(said), F.lit(" "), F.lit(""))
     columns = {"t": (plain, plain), "n": (F.length(said), F.length(said)), "i": (F.coalesce(F.col(ignored), F.lit(False)), F.lit(False))}
-    known = found.join(truth.select(page).distinct(), page, "left_semi")
-    return _counted(truth, known, page, key, polygon, columns, use, _COUNTERS)
+    return _counted(truth, found.where(F.col(page).isNotNull()), page, key, polygon, columns, use, _COUNTERS, of_truth=True)
 
 
 def labelled_counts(truth: DataFrame, found: DataFrame, least: float = 0.5, labels: bool = True, background: bool = False, spaces: bool = True, case: bool = True, page: str = "page_id", key: str = "box_id", polygon: str = "polygon", text: str = "text", label: str = "label") -> DataFrame:
@@ -206,12 +280,15 @@ def labelled_counts(truth: DataFrame, found: DataFrame, least: float = 0.5, labe
     without ``spaces`` or ``case`` on request.  What is labelled as none counts only with ``background``.
     """
 
-    def use(t: list[dict], f: list[dict]) -> tuple[int, ...]:
-        pairs = _pairs(t, f, least)
-        hits = sum(t[i]["t"] == f[j]["t"] and (not labels or t[i]["l"] == f[j]["l"]) for i, j in pairs)
-        seen_t, seen_f = {p[0] for p in pairs}, {p[1] for p in pairs}
-        edits = sum(edit_distance(t[i]["e"], f[j]["e"]) for i, j in pairs) + sum(len(x["e"]) for i, x in enumerate(t) if i not in seen_t) + sum(len(x["e"]) for j, x in enumerate(f) if j not in seen_f)
-        return hits, len(t), len(f), edits, sum(len(x["t"]) for x in t)
+    def use(t: Side, f: Side) -> tuple:
+        one, two = _pairs(t, f, least)
+        said_t, said_f, name_t, name_f, bare_t, bare_f = (side.column(c) for c in ("t", "l", "e") for side in (t, f))
+        hits, edits = np.zeros(t.n, np.int64), np.zeros(t.n, np.int64)
+        hits[one] = [said_t[x] == said_f[y] and (not labels or name_t[x] == name_f[y]) for x, y in zip(one, two, strict=True)]
+        edits[one] = _distances([bare_t[x] for x in one], [bare_f[y] for y in two])
+        sizes = lambda texts: np.array([len(x) for x in texts], np.int64)
+        left, spare = sizes(bare_t) * _unmatched(t, one), sizes(bare_f) * _unmatched(f, two)
+        return t.totals(hits), t.totals(np.ones(t.n)), f.totals(np.ones(f.n)), t.totals(edits + left) + f.totals(spare), t.totals(sizes(said_t))
 
     said, named = F.coalesce(F.col(text), F.lit("")), F.upper(F.coalesce(F.col(label), F.lit("")))
     bare = said if spaces else F.replace(said, F.lit(" "), F.lit(""))

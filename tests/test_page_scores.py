@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.operators import page_scores, polygons
@@ -189,3 +190,14 @@ def test_polygon_counts(spark):
     truth = spark.createDataFrame([(1, 0, hook, None), (1, 1, bow, False), (1, 2, square(0), True), (1, 3, square(40), False)], schema)
     found = spark.createDataFrame([(1, 0, hook, None), (1, 1, bow, None), (1, 2, square(1), None), (1, 3, square(41), None), (1, 4, square(42), None)], schema)
     assert tuple(page_scores.polygon_counts(truth, found).first()) == (1, 2, 2, 3)
+
+
+def test_pages_are_scored_together(monkeypatch):
+    """Several pages are one batch, and upright rectangles are measured in flat arrays, without a shape for each."""
+    monkeypatch.setattr(polygons, "Shape", None)
+    box = lambda x: [float(v) for v in (x, 0, x + 10, 0, x + 10, 10, x, 10)]
+    kind = pa.list_(pa.struct([("k", pa.int64()), ("p", pa.list_(pa.float64()))]))
+    side = lambda pages: page_scores.Side(pa.array([[{"k": k, "p": box(x)} for k, x in enumerate(p)] for p in pages], kind))
+    one, two = page_scores._pairs(side([[0, 20], [], [0, 3]]), side([[20, 1], [5], [2]]), 0.5)
+    assert set(zip(one, two, strict=True)) == {(1, 0), (0, 1), (3, 3)}
+    assert page_scores._split_and_merged(2, 1, [(0, 0, 1.0, 0.5), (1, 0, 1.0, 0.5)]) == (1.6, 0.8, [([0, 1], [0])])
