@@ -28,10 +28,23 @@ def key_value(left: Column, right: Column) -> Column:
     Where the right cell is empty, the left one is cut at its first colon or semicolon unless that ends it.
     """
     one, two = F.trim(F.coalesce(left, F.lit(""))), F.trim(F.coalesce(right, F.lit("")))
-    head, tail = (F.regexp_extract(one, r"(?s)\A([^:：;；]*)[:：;；](.+)\z", k) for k in (1, 2))
-    cut = (two == "") & (tail != "")
-    key, value = key_name(F.when(cut, head).otherwise(one)), F.when(cut, F.trim(tail)).otherwise(two)
-    return F.when(key != "", F.struct(key.alias("key"), value.alias("value")))
+
+    def parts(row: Column) -> Column:
+        at = row["at"]
+        cut = (row["two"] == "") & (at > 0) & (at < F.length(row["one"]))
+        key = F.when(cut, F.substring(row["one"], F.lit(1), at - 1)).otherwise(row["one"])
+        value = F.when(cut, F.trim(F.substring(row["one"], at + 1, F.length(row["one"])))).otherwise(row["two"])
+        return F.struct(_trailing(key).alias("key"), value.alias("value"))
+
+    # the first colon or semicolon is looked up in a copy where all are one character
+    at = F.instr(F.translate(one, ":：;；", "::::"), ":")
+    made = let(F.struct(one.alias("one"), two.alias("two"), at.alias("at")), parts)
+    return let(made, lambda f: F.when(f["key"] != "", f))
+
+
+def _trailing(text: Column) -> Column:
+    """``key_name``; the pattern is tried only where something trails."""
+    return let(F.trim(text), lambda t: F.when(F.substring(t, -1, 1).rlike(r"[:：;；\s]"), key_name(t)).otherwise(t))
 
 
 def iso_datetime(text: Column) -> Column:

@@ -254,7 +254,7 @@ def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("ratio_batches", f"""WITH {_BOXES}, b AS (SELECT page_id, box_id, label, (x2 - x1) / CAST(y2 - y1 AS DOUBLE) AS ratio, (row_number() OVER (PARTITION BY label ORDER BY (x2 - x1) / CAST(y2 - y1 AS DOUBLE), page_id, box_id) - 1) // 6 AS batch FROM boxes)
 SELECT page_id, box_id, label, batch, round(avg(ratio) OVER (PARTITION BY label, batch), 6) AS mean_ratio FROM b""")
 def ratio_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = page_boxes(spark, sf_dir).withColumn("ratio", (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")).cast("double"))
+    sized = page_boxes(spark, sf_dir).withColumn("ratio", (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")).cast("double")).select("page_id", "box_id", "label", "ratio")
     return sequences.batched(sized, ["ratio", "page_id", "box_id"], 6, "ratio", "label").select("page_id", "box_id", "label", "batch", F.round("mean_ratio", 6).alias("mean_ratio"))
 
 
@@ -355,4 +355,6 @@ p AS (SELECT doc_id, nth, regexp_replace(trim(CASE WHEN f.v <> '' THEN f.k ELSE
 SELECT doc_id, CAST(nth AS INTEGER) AS nth, key, value FROM p WHERE key <> ''""")
 def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records.lines(_read(spark, sf_dir, "documents"), "doc_id", "text")
-    return rows.select("doc_id", "nth", forms.key_value(F.col("line"), F.lit("")).alias("f")).where("f is not null").select("doc_id", "nth", "f.key", "f.value")
+    # exploding has each line read once, where a filter and two fields would read it three times
+    found = F.filter(F.array(forms.key_value(F.col("line"), F.lit(""))), lambda f: f.isNotNull())
+    return rows.select("doc_id", "nth", F.explode(found).alias("f")).select("doc_id", "nth", "f.key", "f.value")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import forms
-from quire.operators import layout, tables
+from quire.operators import layout, sequences, tables
+from quire.plans import queries
 
 
 def _each(spark, expression, values):
@@ -78,3 +79,30 @@ def test_table_rows_and_size(spark):
     html = '<table><tr><th colspan="2">H</th></tr><tr><td>a</td><td> b <b>c</b></td><td></td></tr><tr><td> </td></tr></table>'
     assert _each(spark, tables.table_rows, [html, "none", None]) == [["H", "a | b c | "], [], None]
     assert [tuple(x) for x in _each(spark, tables.table_size, [html, "none"])] == [(3, 3), (0, 0)]
+
+
+def test_key_values_are_read_once(spark, sf_dir):
+    """The cut of a line stands once in the plan, and odd lines come out as the patterns had them."""
+    plan = queries.QUERIES["key_values"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") == 1
+    rows = [("a:b",), (":b",), ("a:",), ("a: ; ",), (" k：v；w ",), ("k\u00a0; ",), ("",), ("a\n:b\nc",), (";;",), ("a:\n",), ("😀:x",)]
+    head, tail = (F.regexp_extract(F.trim("t"), r"(?s)\A([^:：;；]*)[:：;；](.+)\z", k) for k in (1, 2))
+    key, value = F.when(tail != "", head).otherwise(F.trim("t")), F.when(tail != "", F.trim(tail)).otherwise("")
+    key = F.regexp_replace(F.trim(key), r"[:：;；\s]+\z", "")
+    table = spark.createDataFrame(rows, "t string").select("t", F.when(key != "", F.struct(key.alias("key"), value.alias("value"))).alias("want"), forms.key_value(F.col("t"), F.lit("")).alias("got"))
+    assert table.where("not want <=> got").collect() == []
+
+
+def test_batches_are_spread(spark):
+    """One label's rows are numbered in several ranges; a null label is one of its own."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 40) / 8) for i in range(700)]
+    made = sequences.batched(spark.createDataFrame(rows, "id int, label string, ratio double"), ["ratio", "id"], 6, "ratio", "label")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "q_range" in plan
+    got = {r.id: (r.batch, r.mean_ratio) for r in made.collect()}
+    for label in ("a", "b", None):
+        own = sorted((v, i) for i, kind, v in rows if kind == label)
+        for k, (_, i) in enumerate(own):
+            batch = [v for v, _ in own[k // 6 * 6 : k // 6 * 6 + 6]]
+            assert got[i] == (k // 6, pytest.approx(sum(batch) / len(batch)))
