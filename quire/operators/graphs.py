@@ -32,7 +32,7 @@ def _own_folder() -> str:
     return f"file://{made}"
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the folder in ``spark.checkpoint.dir`` and read back, which ends its lineage; on one machine a temporary folder does."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -155,13 +155,13 @@ def components(links: DataFrame, nodes: DataFrame, page: str = "page_id", most_r
     Neighbours' minima are aggregated before they are dealt; nothing of a page is gathered.
     """
     known = lambda n: F.col(n).isNotNull()
-    both = _kept(links.select(page, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(page, F.col("b").alias("u"), F.col("a").alias("v"))).where(known("u") & known("v") & (F.col("u") != F.col("v"))).distinct())
+    both = kept(links.select(page, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(page, F.col("b").alias("u"), F.col("a").alias("v"))).where(known("u") & known("v") & (F.col("u") != F.col("v"))).distinct())
     labels = nodes.select(page, "node").unionByName(both.select(page, F.col("u").alias("node"))).distinct().withColumn("root", F.col("node"))
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("node", "v"), [page, "v"]).groupBy(page, F.col("u").alias("node")).agg(F.min("root").alias("near"))
         met = labels.join(near, [page, "node"], "left").select(page, "node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
         up = met.select(page, F.col("node").alias("root"), F.col("root").alias("up"))
-        jumped = _kept(met.join(up, [page, "root"], "left").select(page, "node", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
+        jumped = kept(met.join(up, [page, "root"], "left").select(page, "node", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
         labels = jumped.drop("old")
         if jumped.where("old <> root").isEmpty():
             return labels
@@ -178,7 +178,7 @@ def split_components(links: DataFrame, nodes: DataFrame, most: int, least: float
     levels = [least]
     while round(levels[-1] + step, 9) <= top:
         levels.append(round(levels[-1] + step, 9))
-    cut = _kept(_by_pages(links, nodes, levels, most, page, page_rows))
+    cut = kept(_by_pages(links, nodes, levels, most, page, page_rows))
     large = cut.where("node is null").select(page)
     if large.isEmpty():
         return cut
@@ -188,13 +188,13 @@ def split_components(links: DataFrame, nodes: DataFrame, most: int, least: float
 
 def _split_by_joins(links: DataFrame, nodes: DataFrame, most: int, levels: list[float], page: str) -> DataFrame:
     """``split_components`` of pages of any size."""
-    links, left = _kept(links.select(page, "a", "b", "score")), _kept(nodes.select(page, "node"))
+    links, left = kept(links.select(page, "a", "b", "score")), kept(nodes.select(page, "node"))
     done = None
     for level in levels:
         inside = links.where(F.col("score") >= level)
         found = components(inside.join(left.withColumnRenamed("node", "a"), [page, "a"], "left_semi").join(left.withColumnRenamed("node", "b"), [page, "b"], "left_semi"), left, page)
         sizes = found.groupBy(page, "root").agg(F.count(F.lit(1)).alias("q_n"))
-        sized = _kept(found.join(sizes, [page, "root"]).select(page, "node", "root", F.lit(level).alias("level"), "q_n"))
+        sized = kept(found.join(sizes, [page, "root"]).select(page, "node", "root", F.lit(level).alias("level"), "q_n"))
         over = sized.where(F.col("q_n") > most)
         last = level == levels[-1] or over.isEmpty()
         small = (sized if last else sized.where(F.col("q_n") <= most)).drop("q_n")

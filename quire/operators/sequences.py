@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.graphs import kept
+
 
 def collapsed(ids: Column, scores: Column, ignored: tuple[int, ...] = (0,), merge: bool = True) -> Column:
     """Array form: struct(ids, score) of a sequence without repeats and ignored ids; score is the kept ones' mean, 0 for none."""
@@ -60,9 +62,19 @@ def decoded(ids: Column, alphabet: str, first: int = 1, stop: int | None = None)
 
 
 def batched(rows: DataFrame, order: list[str], size: int, ratio: str, by: str) -> DataFrame:
-    """``rows`` with ``batch`` (from 0, within ``by``) and the batch's mean ratio."""
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    numbered = rows.withColumn("batch", F.floor(nth / size).cast("long"))
+    """``rows`` with ``batch`` (from 0, within ``by``) and the batch's mean ratio.
+
+    Rows are dealt by ranges of their place and written with the range's number; they are counted inside a range and
+    ranges are added up, so that a value of ``by`` is spread over as many tasks.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = kept(rows.repartitionByRange(tasks, by, *order).withColumn("q_range", F.spark_partition_id()))
+    counts = placed.groupBy(F.col(by).alias("q_by"), F.col("q_range").alias("q_at")).agg(F.count(F.lit(1)).alias("q_rows"))
+    before = F.coalesce(F.sum("q_rows").over(Window.partitionBy("q_by").orderBy("q_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.select("q_by", "q_at", before.alias("q_before"))
+    nth = F.row_number().over(Window.partitionBy(by, "q_range").orderBy(*order)) - 1
+    numbered = placed.withColumn("q_nth", nth).join(F.broadcast(ranges), F.col(by).eqNullSafe(F.col("q_by")) & (F.col("q_range") == F.col("q_at")))
+    numbered = numbered.withColumn("batch", F.floor((F.col("q_before") + F.col("q_nth")) / size).cast("long")).drop("q_by", "q_at", "q_before", "q_nth", "q_range")
     return numbered.withColumn("mean_ratio", F.avg(ratio).over(Window.partitionBy(by, "batch")))
 
 
