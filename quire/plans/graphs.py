@@ -33,24 +33,23 @@ _SPLIT = f"{_LINKS}, " + ", ".join(_level(i) for i in range(len(LEVELS))) + ", g
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Scored links, and nodes with their centres."""
+    """Links with a score each, and nodes with their centres."""
     found = page_boxes(spark, sf_dir)
     steps = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d")) for n, d in ((0, 1), (1, 1), (2, 2), (3, 5))])
     raw = found.select("*", F.explode(steps).alias("s")).select("page_id", (F.col("box_id") * 4 + F.col("s.n")).alias("nth"), F.col("box_id").alias("b"), (F.col("box_id") + F.col("s.d")).alias("a"), (((F.col("x1") * 13 + F.col("y1") * 7 + F.col("s.n") * 31) % 100) / 100).alias("score"))
     centres = found.select("page_id", F.col("box_id").alias("node"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
-    return graphs.link_scores(raw, centres, _NEAR), centres
+    return raw, centres
 
 
 @query("link_scores", f"WITH {_LINKS} SELECT page_id, a, b, round(score, 9) AS score FROM links")
 def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir)[0].withColumn("score", F.round("score", 9))
+    return graphs.link_scores(*_tables(spark, sf_dir), _NEAR).withColumn("score", F.round("score", 9))
 
 
 @query("split_groups", f"WITH RECURSIVE {_SPLIT}, ranked AS (SELECT *, dense_rank() OVER (PARTITION BY page_id ORDER BY root) - 1 AS label, count(*) OVER (PARTITION BY page_id, root) AS m FROM groups) SELECT page_id, node, root, level, label::INTEGER AS label FROM ranked WHERE m > 1")
 def split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of at most four boxes where links allow, numbered by page, without single boxes."""
-    links, centres = _tables(spark, sf_dir)
-    groups = graphs.split_components(links, centres, MOST, LEVELS[0], 0.2, LEVELS[-1])
+    groups = graphs.kept(graphs.linked_groups(*_tables(spark, sf_dir), _NEAR, MOST, LEVELS[0], 0.2, LEVELS[-1]))
     return graphs.without_singles(graphs.numbered(groups)).select("page_id", "node", "root", "level", "label")
 
 
@@ -64,8 +63,7 @@ walk(page_id, root, done, rest) AS (
 ends AS (SELECT page_id, root, done FROM walk WHERE len(rest) = 0)
 SELECT e.page_id, e.root, ns[done[k]] AS node, (k - 1)::INTEGER AS nth FROM (SELECT *, unnest(range(1, len(done) + 1)) AS k FROM ends) e JOIN ps p ON p.page_id = e.page_id AND p.root = e.root""")
 def group_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links, centres = _tables(spark, sf_dir)
-    return graphs.paths(graphs.split_components(links, centres, MOST, LEVELS[0], 0.2, LEVELS[-1]), centres)
+    return graphs.linked_groups(*_tables(spark, sf_dir), _NEAR, MOST, LEVELS[0], 0.2, LEVELS[-1], walk=True)
 
 
 @query("nearest_quads", f"""WITH {_BOXES}, px AS (SELECT page_id, x1 AS x, y1 AS y, (box_id * 7) % 40 - 20 AS dx, (x1 * 3) % 30 - 15 AS dy FROM f WHERE score > 0.2), qs AS (SELECT page_id, box_id AS quad, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy FROM o WHERE box_id % 2 = 0)

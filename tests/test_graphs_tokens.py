@@ -161,3 +161,30 @@ def test_short_paths_need_no_arrays(monkeypatch):
     want = [graphs._long_path(np.array(s)) for s in shapes]
     monkeypatch.setattr(graphs, "_long_path", None)
     assert [graphs.path(s) for s in shapes] == want
+
+
+def test_linked_groups_need_no_rounds(spark, monkeypatch):
+    """Scores, groups and paths of whole pages: the same as step by step, by joins too, and pages dealt already stay whole."""
+    rng = random.Random(13)
+    raw = [(p, n, rng.randint(0, 19), rng.randint(0, 22), rng.choice([round(rng.random(), 2)] * 9 + [None])) for p in range(14) for n in range(9 * p)] + [(1, 500, None, None, 1.0), (2, None, 3, 4, 0.5), (None, 0, 1, 2, 1.0)]
+    spots = [(p, n, rng.randint(0, 9) * 20.0, rng.randint(0, 9) * 20.0) for p in range(14) for n in range(20)]
+    links = spark.createDataFrame(raw, "page_id int, nth int, a long, b int, score double").repartition(5, "page_id")
+    centres = spark.createDataFrame(spots, "page_id int, node int, x double, y double").repartition(3, "page_id")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    scores = graphs._scores_by_joins(links, centres, 90.0, "page_id", "nth")
+    cut = graphs.split_components(scores, centres, 3, 0.2, 0.2, 0.9)
+    want = [rows(df) for df in (scores, cut, graphs.paths(cut, centres))]
+    for page_rows in (60, 1 << 18):
+        if page_rows > 60:
+            monkeypatch.setattr(graphs, "_scores_by_joins", None)
+            monkeypatch.setattr(graphs, "kept", None)
+        assert rows(graphs.link_scores(links, centres, 90.0, page_rows=page_rows)) == want[0]
+        for walk in (False, True):
+            assert rows(graphs.linked_groups(links, centres, 90.0, 3, 0.2, 0.2, 0.9, walk, page_rows=page_rows)) == want[1 + walk]
+
+
+def test_paths_of_one_size_are_walked_together():
+    rng = np.random.default_rng(14)
+    for size in (2, 3, 4, 9):
+        x, y = rng.integers(0, 4, (2, 30, size)) / 2
+        assert graphs._orders(x, y).tolist() == [graphs.path(list(zip(a, b))) for a, b in zip(x.tolist(), y.tolist())]
