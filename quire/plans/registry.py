@@ -40,10 +40,14 @@ class Registry:
         return run
 
 
+#: Rows of a task where each is dear.
+TASK_ROWS = 1 << 16
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` in at least as many partitions as there are cores: a small file is one task, however dear its rows are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """``rows`` in as many partitions as there are cores, and as their number asks for: a file is a few tasks, however dear its rows are."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
 
 
 def rounded(value: Column, places: int) -> Column:

@@ -149,3 +149,14 @@ def test_running_accuracy(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert sorted((r.epoch, r.correct, r.n) for r in spark.table("accuracy_so_far").collect()) == [(1, 2, 3), (2, 1, 1)]
+
+
+def test_many_dear_rows_are_many_tasks(spark, tmp_path, monkeypatch):
+    """The number of tasks follows the rows, so that none grows with the table."""
+    from quire.plans import registry
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    monkeypatch.setattr(registry, "TASK_ROWS", 50, raising=False)
+    found = registry.spread(spark.read.parquet(str(tmp_path / "t.parquet")))
+    assert found.rdd.getNumPartitions() == 20
+    assert max(found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 100
