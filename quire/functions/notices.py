@@ -195,15 +195,17 @@ def first_fee(text: Column) -> Column:
 
 
 def request_types(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(_any(text, words), F.lit(name)) for name, words in REQUEST_WORDS]))
+    return let(text, lambda t: F.array_compact(F.array(*[F.when(_any(t, words), F.lit(name)) for name, words in REQUEST_WORDS])))
 
 
 def jurisdiction(text: Column) -> Column:
     """Which jurisdiction is disputed: named outright, else exclusive before level before territory; null for none."""
-    whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\x{3000}\x{A0}]+", "")
-    named = [F.when(_any(whole, [f"{k}错误", f"{k}异议"]), F.lit(k)) for k, _, _ in JURISDICTION]
-    shown = [F.when(_any(whole, words) | (whole.rlike("|".join(patterns)) if patterns else F.lit(False)), F.lit(k)) for k, words, patterns in JURISDICTION]
-    return F.coalesce(*named, *shown)
+    def said(whole: Column) -> Column:
+        named = [F.when(_any(whole, [f"{k}错误", f"{k}异议"]), F.lit(k)) for k, _, _ in JURISDICTION]
+        shown = [F.when(_any(whole, words) | (whole.rlike("|".join(patterns)) if patterns else F.lit(False)), F.lit(k)) for k, words, patterns in JURISDICTION]
+        return F.coalesce(*named, *shown)
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\x{3000}\x{A0}]+", ""), said)
 
 
 def guarantee(text: Column) -> Column:
@@ -286,9 +288,14 @@ def summons(text: Column) -> dict[str, Column]:
     }
 
 
-def complaint(text: Column) -> dict[str, Column]:
-    asked = section(text, ["诉讼请求"], ["事实与理由", "事实和理由", "证据清单"])
-    return {"requests": asked, "facts": section(text, ["事实与理由", "事实和理由"], ["证据清单"]), "claim_amount": claimed_sum(asked), "main_request_type": request_types(asked), "laws": section(text, ["证据清单"]), "document_date": signature_date(text)["date"]}
+def complaint_requests(text: Column) -> Column:
+    return section(text, ["诉讼请求"], ["事实与理由", "事实和理由", "证据清单"])
+
+
+def complaint(text: Column, asked: Column | None = None) -> dict[str, Column]:
+    """``asked``: ``complaint_requests``, best a column of its own."""
+    asked = complaint_requests(text) if asked is None else asked
+    return {"requests": asked, "facts": section(text, ["事实与理由", "事实和理由"], ["证据清单"]), "claim_amount": let(asked, claimed_sum), "main_request_type": request_types(asked), "laws": section(text, ["证据清单"]), "document_date": signature_date(text)["date"]}
 
 
 def evidence_notice(text: Column) -> dict[str, Column]:
@@ -300,17 +307,28 @@ def evidence_notice(text: Column) -> dict[str, Column]:
     }
 
 
-def objection(text: Column) -> dict[str, Column]:
-    asked, facts = section(text, ["申请事项", "申请请求"], ["事实与理由", "事实和理由"]), section(text, ["事实与理由", "事实和理由"])
-    found, basis = parties(text), F.nullif(F.concat_ws("\n", asked, facts), F.lit(""))
-    disputed = jurisdiction(F.coalesce(basis, text))
+def objection_parts(text: Column) -> dict[str, Column]:
+    """What several fields of an objection are read from."""
+    return {"asked": section(text, ["申请事项", "申请请求"], ["事实与理由", "事实和理由"]), "facts": section(text, ["事实与理由", "事实和理由"]), "found": parties(text)}
+
+
+def objection(text: Column, parts: dict[str, Column] | None = None, disputed: Column | None = None) -> dict[str, Column]:
+    """``parts``: ``objection_parts``, and ``disputed``: their ``objected_jurisdiction``, best columns of their own."""
+    parts = parts or objection_parts(text)
+    asked, found = parts["asked"], parts["found"]
+    disputed = objected_jurisdiction(text, parts) if disputed is None else disputed
+    transfer = let(F.coalesce(asked, text), lambda t: first_match(t, [rf"移送\s*{COURT}\s*审理", rf"移送至\s*{COURT}"]))
     return {
         "applicant": first_of_role(found, ["申请人"], "current_role_detail"), "respondent": first_of_role(found, ["被申请人"], "current_role_detail"), "objected_court": court(text, F.lit("jurisdiction_objection")),
-        "requested_transfer_court": first_match(F.coalesce(asked, text), [rf"移送\s*{COURT}\s*审理", rf"移送至\s*{COURT}"]), "objection_request": asked, "objection_facts": facts,
+        "requested_transfer_court": transfer, "objection_request": asked, "objection_facts": parts["facts"],
         "jurisdiction_error_type": F.concat(disputed, F.lit("错误")), "objection_type": F.concat(disputed, F.lit("异议")), "application_date": signature_date(text)["date"],
     }
 
 
+def objected_jurisdiction(text: Column, parts: dict[str, Column]) -> Column:
+    return jurisdiction(F.coalesce(F.nullif(F.concat_ws("\n", parts["asked"], parts["facts"]), F.lit("")), text))
+
+
 def receiving_court(text: Column) -> Column:
     """The court that a line of metadata at the head names."""
     ends = "(?:人民法院|海事法院|知识产权法院|互联网法院|金融法院|铁路运输法院)"

@@ -212,8 +212,9 @@ def summons_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, requests, {_section('text', '事实与理由', ['证据清单'])} AS facts, {_section('text', '证据清单')} AS laws, round(list_sum(list_transform(regexp_extract_all(requests, '{_MONEY_SQL}', 1), lambda v: CAST(replace(v, ',', '') AS DOUBLE))), 2) AS claimed,
   array_to_string(list_filter([CASE WHEN regexp_matches(requests, '支付|偿还|返还|赔偿|退还|承担|清偿') THEN '给付' END, CASE WHEN contains(requests, '撤销') THEN '撤销' END, CASE WHEN contains(requests, '解除') THEN '解除' END], lambda v: v IS NOT NULL), '|') AS types, coalesce({_date('signed')}, signed) AS signed FROM x""")
 def complaint_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = notices.complaint(F.col("text"))
-    return normal(spark, sf_dir).where("kind = 0").select("doc_id", found["requests"].alias("requests"), found["facts"].alias("facts"), found["laws"].alias("laws"), F.round(found["claim_amount"]["total"], 2).alias("claimed"), F.array_join(found["main_request_type"], "|").alias("types"), found["document_date"].alias("signed"))
+    rows = normal(spark, sf_dir).where("kind = 0").withColumn("requests", notices.complaint_requests(F.col("text")))
+    found = notices.complaint(F.col("text"), F.col("requests"))
+    return rows.select("doc_id", found["requests"].alias("requests"), found["facts"].alias("facts"), found["laws"].alias("laws"), F.round(found["claim_amount"]["total"], 2).alias("claimed"), F.array_join(found["main_request_type"], "|").alias("types"), found["document_date"].alias("signed"))
 
 
 @query("judgment_fields", rf"""{_WITH}, x AS (SELECT *, {_section('text', '判决如下')} AS result, {_LAST_DAY} AS signed, regexp_extract(text, '(?:案件受理费|受理费|保全费|上诉费|执行费)\s*([0-9,，.]+)\s*元', 1) AS fee FROM n WHERE kind = 2)
@@ -241,8 +242,10 @@ def preservation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("objection_fields", rf"""{_WITH}, x AS (SELECT *, {_LAST_DAY} AS signed, CASE c % 5 WHEN 0 THEN '地域管辖' WHEN 1 THEN '专属管辖' WHEN 2 THEN '级别管辖' WHEN 3 THEN '级别管辖' ELSE NULL END AS disputed FROM n WHERE kind = 4)
 SELECT doc_id, '一审被告' AS applicant, '一审原告' AS respondent, '北京市西城区人民法院' AS objected_court, court AS requested_transfer_court, '请求移送' || court || '审理' AS request, coalesce(disputed, '地域管辖') || '错误' AS error, coalesce(disputed, '地域管辖') || '异议' AS objection, coalesce({_date('signed')}, signed) AS application_date FROM x""")
 def objection_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = notices.objection(F.col("text"))
-    return normal(spark, sf_dir).where("kind = 4").select(
+    parts = {n: F.col(n) for n in ("asked", "facts", "found")}
+    rows = normal(spark, sf_dir).where("kind = 4").withColumns(notices.objection_parts(F.col("text"))).withColumn("disputed", notices.objected_jurisdiction(F.col("text"), parts))
+    found = notices.objection(F.col("text"), parts, F.col("disputed"))
+    return rows.select(
         "doc_id", found["applicant"].alias("applicant"), found["respondent"].alias("respondent"), found["objected_court"].alias("objected_court"), found["requested_transfer_court"].alias("requested_transfer_court"), found["objection_request"].alias("request"),
         found["jurisdiction_error_type"].alias("error"), found["objection_type"].alias("objection"), found["application_date"].alias("application_date"),
     )

@@ -160,3 +160,10 @@ def test_many_dear_rows_are_many_tasks(spark, tmp_path, monkeypatch):
     found = registry.spread(spark.read.parquet(str(tmp_path / "t.parquet")))
     assert found.rdd.getNumPartitions() == 20
     assert max(found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 100
+
+
+def test_values_read_often_are_computed_once():
+    """What stands in a text is asked of one value, not of its expression again and again."""
+    of = F.concat(F.col("a"), F.lit("only here"))
+    assert str(notices.jurisdiction(of)).count("only here") == 1
+    assert str(notices.request_types(of)).count("only here") == 1
