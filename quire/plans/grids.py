@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import grids
-from quire.plans.registry import registered
+from quire.plans.registry import registered, spread
 
 QUERIES, SQL, query = registered()
 
@@ -34,7 +34,7 @@ grid AS MATERIALIZED (SELECT s.id, i, j, p.t, p.r, p.c, p.rs, p.cs FROM spots s
 
 def spanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, html)."""
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS k", "p_name AS name", "p_brand AS brand")
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet")).selectExpr("p_partkey AS k", "p_name AS name", "p_brand AS brand")
     return rows.select(F.col("k").alias("id"), F.expr(_HTML.replace("''2''", "\\'2\\'")).alias("html"))
 
 

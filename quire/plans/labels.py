@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import alphabets
 from quire.functions.alphabets import PLAIN, READINGS, SCHEMES
-from quire.plans.registry import registered
+from quire.plans.registry import registered, spread
 
 QUERIES, SQL, query = registered()
 
@@ -18,7 +18,7 @@ _TABLE = f"names AS (SELECT p_partkey AS id, {_NAMES} AS name FROM part)"
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(_NAMES).alias("name"))
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select(F.col("p_partkey").alias("id"), F.expr(_NAMES).alias("name"))
 
 
 def _encode_sql(name: str) -> str:
@@ -51,7 +51,7 @@ _ROWS = "rows AS (SELECT p_partkey AS id, list_transform(range(0, 12), lambda k:
 def id_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = F.sequence(F.lit(0), F.lit(11))
     ids = F.transform(places, lambda k: ((F.col("p_partkey") * 7 + F.floor(k / 2) * (F.col("p_partkey") % 5 + 1) * 11) % 43).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), ids.alias("ids"), F.transform(places, lambda k: ((F.col("p_partkey") + k * 3) % 10) / 10.0).alias("scores"))
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select(F.col("p_partkey").alias("id"), ids.alias("ids"), F.transform(places, lambda k: ((F.col("p_partkey") + k * 3) % 10) / 10.0).alias("scores"))
 
 
 def _decode_sql(name: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import structures
 from quire.functions.geometry import Box
 from quire.plans.queries import _BOXES, page_boxes
-from quire.plans.registry import registered
+from quire.plans.registry import registered, spread
 
 QUERIES, SQL, query = registered()
 
@@ -18,7 +18,7 @@ _TABLE = f"t AS (SELECT p_partkey AS id, p_name AS name, {_TOKENS} AS joined FRO
 
 
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.expr(_TOKENS).alias("joined"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.expr(_TOKENS).alias("joined"))
     return rows.withColumn("tokens", F.split("joined", r"\|"))
 
 
@@ -47,7 +47,7 @@ _IDS = "['O', 'B-QUESTION', 'I-QUESTION', 'B-ANSWER', 'I-ANSWER', 'B-HEADER', 'I
 SELECT id, array_to_string(CASE WHEN upper(label) = 'IGNORE' THEN list_transform(tokens, lambda x: 0) WHEN list_contains({_IDS}, 'B-' || upper(label)) THEN list_transform(range(1, len(tokens) + 1), lambda k: list_position({_IDS}, CASE k WHEN 1 THEN 'B-' ELSE 'I-' END || upper(label)) - 1) END, ',') AS labels,
   array_to_string(list_transform(range(1, 13), lambda k: CASE WHEN k <= len(tokens) THEN length(tokens[k]) ELSE 9 END), ',') AS ids, array_to_string(list_transform(range(1, 13), lambda k: CASE WHEN k <= len(tokens) THEN 1 ELSE 0 END), ',') AS mask, array_to_string(tokens[1:5], '') AS chunk FROM w""")
 def token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.filter(F.split("p_name", ""), lambda c: c != "").alias("tokens"), F.expr("element_at(array('question', 'answer', 'Ignore', 'HEADER', 'none'), cast(p_partkey % 5 + 1 as int))").alias("label"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select(F.col("p_partkey").alias("id"), F.filter(F.split("p_name", ""), lambda c: c != "").alias("tokens"), F.expr("element_at(array('question', 'answer', 'Ignore', 'HEADER', 'none'), cast(p_partkey % 5 + 1 as int))").alias("label"))
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
     row = structures.padded(F.transform("tokens", F.length), 12, 9)
     return rows.select("id", text(structures.token_labels(F.col("label"), F.col("tokens"), ["question", "Answer", "other", "header"])).alias("labels"), text(row["ids"]).alias("ids"), text(row["mask"]).alias("mask"), F.array_join(structures.first_chunk(F.col("tokens"), 5), "").alias("chunk"))
@@ -73,6 +73,6 @@ SELECT id, coalesce(array_to_string(list_transform(places, lambda j: {_VOCABULAR
 def decoded_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = F.sequence(F.lit(0), F.lit(9))
     ids = F.transform(places, lambda k: ((F.col("p_partkey") * 5 + k * (F.col("p_partkey") % 6 + 1)) % 7).cast("int"))
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), ids.alias("ids"), F.transform(places, lambda k: ((F.col("p_partkey") + k) % 8) / 8.0).alias("scores"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select(F.col("p_partkey").alias("id"), ids.alias("ids"), F.transform(places, lambda k: ((F.col("p_partkey") + k) % 8) / 8.0).alias("scores"))
     found = rows.select("id", structures.decoded_structure(F.col("ids"), F.col("scores"), list(_VOCABULARY), 6, (0, 6)).alias("d"))
     return found.select("id", F.array_join("d.tokens", "").alias("tokens"), F.round("d.score", 6).alias("score"), F.array_join(F.col("d.cells").cast("array<string>"), ",").alias("cells"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import table_tokens
 from quire.operators import table_matching
 from quire.plans.queries import _BOXES, _PAIRS, page_boxes
-from quire.plans.registry import registered
+from quire.plans.registry import registered, spread
 
 QUERIES, SQL, query = registered()
 
@@ -43,7 +43,7 @@ repaired AS (SELECT *, CASE WHEN head = '' THEN html ELSE replace(html, head, re
 
 @query("repaired_heads", f"WITH t AS (SELECT p_partkey AS id, {_HTML} AS html FROM part), {_bold('t')} SELECT id, bold FROM repaired")
 def repaired_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(_HTML.replace("chr(8232)", "' '")).alias("html"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select(F.col("p_partkey").alias("id"), F.expr(_HTML.replace("chr(8232)", "' '")).alias("html"))
     return rows.select("id", table_tokens.bold_heads(F.col("html")).alias("bold"))
 
 

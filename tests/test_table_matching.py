@@ -119,3 +119,11 @@ def test_tables(spark):
 def test_hull(spark):
     rows = spark.createDataFrame([(0, 0, 2, 2, 1, 1, 3, 3), (0, 0, 4, 4, 1, 1, 2, 2), (0, 0, 1, 1, 2, 0, 3, 1), (0, 2, 1, 3, 2, 0, 3, 1)], "a_x1 int, a_y1 int, a_x2 int, a_y2 int, b_x1 int, b_y1 int, b_x2 int, b_y2 int")
     assert [r.h for r in rows.select(Box.of("a_").hull_area(Box.of("b_")).alias("h")).collect()] == [8.0, 16.0, 3.0, 5.0]
+
+
+def test_parts_are_spread(spark, sf_dir):
+    """A small file of parts is a task for each core at least, in every query over them."""
+    from quire.plans import grids, labels, structures
+
+    for rows in (labels.names, labels.id_rows, grids.spanned, structures.tables):
+        assert rows(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
