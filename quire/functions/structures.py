@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,15 +96,16 @@ def padded(ids: Column, width: int, fill: int = 0) -> Column:
 def clockwise(points: Column) -> Column:
     """Four points from the top left on: least and largest sum of coordinates, between them the rest by difference."""
 
+    def first(ranked: Column, by: Callable[[Column], Column]) -> Column:
+        return F.array_min(F.transform(ranked, lambda p: F.struct(by(p).alias("by"), p["i"].alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
+
     def of(ranked: Column) -> Column:
-        by_sum = F.array_sort(F.transform(ranked, lambda p: F.struct((p["x"] + p["y"]).alias("s"), p["i"].alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
-        far = F.array_sort(F.transform(ranked, lambda p: F.struct((-p["x"] - p["y"]).alias("s"), p["i"].alias("i"), p["x"].alias("x"), p["y"].alias("y"))))[0]
-        near = by_sum[0]
-        rest = F.filter(ranked, lambda p: (p["i"] != near["i"]) & (p["i"] != far["i"]))
-        up = F.array_sort(F.transform(rest, lambda p: F.struct((p["y"] - p["x"]).alias("d"), p["i"].alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
-        down = F.array_sort(F.transform(rest, lambda p: F.struct((p["x"] - p["y"]).alias("d"), p["i"].alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
-        point = lambda p: F.array(p["x"], p["y"])
-        return F.array(point(near), point(F.get(up, F.lit(0))), point(far), point(F.get(down, F.lit(0))))
+        ends = F.struct(first(ranked, lambda p: p["x"] + p["y"]).alias("near"), first(ranked, lambda p: -p["x"] - p["y"]).alias("far"))
+        return let(ends, lambda e: let(F.filter(ranked, lambda p: (p["i"] != e["near"]["i"]) & (p["i"] != e["far"]["i"])), lambda rest: between(e, rest)))
+
+    def between(ends: Column, rest: Column) -> Column:
+        chosen = F.array(ends["near"], first(rest, lambda p: p["y"] - p["x"]), ends["far"], first(rest, lambda p: p["x"] - p["y"]))
+        return F.transform(chosen, lambda p: F.array(p["x"], p["y"]))
 
     return F.when(F.size(points) == 4, let(F.transform(points, lambda p, i: F.struct(p[0].alias("x"), p[1].alias("y"), i.alias("i"))), of))
 

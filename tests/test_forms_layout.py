@@ -106,3 +106,26 @@ def test_batches_are_spread(spark):
         for k, (_, i) in enumerate(own):
             batch = [v for v, _ in own[k // 6 * 6 : k // 6 * 6 + 6]]
             assert got[i] == (k // 6, pytest.approx(sum(batch) / len(batch)))
+
+
+def test_corners_come_without_sorting(spark):
+    """The least and largest are looked for, as sorting would give them: ties go by place, missing points stay."""
+    import random
+
+    from quire.functions import structures
+
+    rng = random.Random(15)
+    rows = [[[rng.randint(0, 2), rng.randint(0, 2)] for _ in range(4)] for _ in range(60)] + [[[0, 0], [1, 1]], None, []]
+    order = structures.clockwise(F.col("p"))
+    assert "sort" not in str(order)
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(rows)], "i int, p array<array<int>>")
+    for r in table.select("i", order.alias("q")).collect():
+        if len(rows[r.i] or []) != 4:
+            assert r.q is None
+            continue
+        ranked = list(enumerate(rows[r.i]))
+        near, far = min(ranked, key=lambda k: sum(k[1])), max(ranked, key=lambda k: (sum(k[1]), -k[0]))
+        rest = [k for k in ranked if k[0] not in (near[0], far[0])]
+        up = min(rest, key=lambda k: (k[1][1] - k[1][0], k[0]))
+        down = min(rest, key=lambda k: (k[1][0] - k[1][1], k[0]))
+        assert r.q == [near[1], up[1], far[1], down[1]]
