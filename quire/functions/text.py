@@ -121,20 +121,22 @@ def edit_distance(a: str, b: str) -> int:
     if not b:
         return len(a)
     n = len(a)
-    full, top = (1 << n) - 1, 1 << (n - 1)
+    full, last = (1 << n) - 1, n - 1
     letters = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
     places = {c: int.from_bytes(np.packbits(letters == ord(c), bitorder="little").tobytes(), "little") for c in set(b) & set(a)}
     up, down, found = full, 0, n
-    for c in b:
+    for i, c in enumerate(b):
         eq = places.get(c, 0)
-        same = ((((eq & up) + up) ^ up) | eq | down) & full
-        more, less = down | (full ^ (same | up)), up & same
-        if more & top:
-            found += 1
-        elif less & top:
-            found -= 1
-        more = (more << 1 | 1) & full
-        up, down = (less << 1) & full | (full ^ (same | more)), more & same
+        same = (((eq & up) + up ^ up) | eq | down) & full if eq else down
+        less = up & same
+        more = down | (full ^ (same | up))
+        # bits from the last place on are few: reading them costs nothing, as do those that steps leave beyond it
+        found += (more >> last & 1) - (less >> last & 1)
+        more = more << 1 | 1
+        up = less << 1 | (full ^ (same | more))
+        down = more & same
+        if not i & 63:
+            up &= full
     return found
 
 

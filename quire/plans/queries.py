@@ -192,7 +192,9 @@ def recognition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("whole_text_scores")
 def whole_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recognition_scores on whole texts as they are, in one piece each."""
-    pairs = whole_text_pairs(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-docs.count() // 1024))
+    pairs = whole_text_pairs(docs).repartition(tasks)  # time goes by the square of a text's length, not by bytes
     return metrics.whole_text_recognition(pairs, "t", "next", "source").withColumn("similarity", F.round("similarity", 6))
 
 

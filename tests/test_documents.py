@@ -105,6 +105,16 @@ def test_whole_text_scores(spark, tmp_path):
     assert {r.source: (r.n, r.correct, r.similarity) for r in found} == want
 
 
+def test_whole_texts_are_dealt_by_count(spark, sf_dir):
+    """Pairs of texts are not left in the few tasks that their bytes make."""
+    frame = type(spark.range(1))
+    dealt, whole = [], frame.repartition
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(frame, "repartition", lambda df, n, *by: dealt.append(n) or whole(df, n, *by))
+        queries.QUERIES["whole_text_scores"](spark, sf_dir)
+    assert dealt and min(dealt) >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_html(spark):
     assert _one(spark, records.html_tokens(F.lit('<table class="x"><tr><td rowspan="2">a</td></tr>'), True)) == ["<table>", "<tr>", '<td rowspan="2">', "</td>", "</tr>"]
     assert _one(spark, records.html_text(F.lit("<p>a &amp; b<p>a &amp; b<br><script>x</script>c"))) == "a & b\nc"
