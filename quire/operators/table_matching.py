@@ -36,7 +36,9 @@ def _rows(found: Column) -> Column:
 def _found(boxes: DataFrame, cells: DataFrame, page: str, text: Column) -> DataFrame:
     """(page, box_id, cell_id, rule, row_cells, text); see ``matches``.
 
-    Both sides are dealt by page once: all that follows, windows over a page's boxes and cells, stays where it is.
+    Both sides are dealt by page once, or not at all if they come so in equally many tasks: all that follows, windows over
+    a page's boxes and cells, stays where it is.  Windows of one order share a sort; pairs of boxes that are settled go
+    before cells are looked at.
     """
     corners = ("x1", "y1", "x2", "y2")
     real = cells.where(F.col("x1") + F.col("y1") + F.col("x2") + F.col("y2") != 0)
@@ -51,15 +53,19 @@ def _found(boxes: DataFrame, cells: DataFrame, page: str, text: Column) -> DataF
         F.when(one.overlaps(two), one.hull_iou(two)).alias("iou"), F.sqrt(((x - bx) * (x - bx) + (y - by) * (y - by)).cast("double")).alias("far"),
     )
     of_box, of_cell = Window.partitionBy(page, "box"), Window.partitionBy(page, "cell")
-    best = pairs.withColumn("any", F.max("inside").over(of_box)).withColumn("nth", F.row_number().over(of_box.orderBy(F.desc_nulls_last("iou"), "cell")))
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    by_share = of_box.orderBy(F.desc_nulls_last("iou"), "cell")
+    best = pairs.withColumns({"any": F.max("inside").over(by_share.rowsBetween(*whole)), "nth": F.row_number().over(by_share)})
     second = best.withColumn("second", ~F.col("any") & (F.col("iou") > 0) & (F.col("nth") == 1)).withColumn("second", F.coalesce("second", none)).withColumn("box_taken", F.col("any") | F.max("second").over(of_box))
-    free = second.withColumn("open", ~F.col("box_taken") & ~F.max(F.col("inside") | F.col("second")).over(of_cell) & F.col("cell").isNotNull())
-    third = free.withColumn("third", F.col("open") & (F.row_number().over(of_cell.orderBy(F.desc("open"), "far", "box")) == 1))
-    ruled = third.withColumn("over", ~F.col("box_taken") & ~F.max("third").over(of_box) & (F.col("nth") == 1))
+    nearest = of_cell.orderBy("box_taken", "far", "box")
+    free = second.where(F.col("inside") | F.col("second") | ~F.col("box_taken")).withColumns({"cell_taken": F.max(F.col("inside") | F.col("second")).over(nearest.rowsBetween(*whole)), "near": F.row_number().over(nearest)})
+    third = free.withColumn("third", ~F.col("box_taken") & ~F.col("cell_taken") & F.col("cell").isNotNull() & (F.col("near") == 1))
+    ruled = third.withColumn("left", ~F.col("box_taken") & (F.col("nth") == 1))
     rule = F.when(F.col("inside"), 1).when(F.col("second"), 2).when(F.col("third"), 3)
-    by_page = ruled.where(rule.isNotNull() | F.col("over")).groupBy(page).agg(
+    near, left = F.collect_set(F.when(F.col("third"), F.col("box"))), F.array_sort(F.collect_list(F.when(F.col("left"), F.struct("box", "x", "y"))))
+    by_page = ruled.where(rule.isNotNull() | F.col("left")).groupBy(page).agg(
         F.collect_list(F.when(rule.isNotNull(), F.struct("box", "cell", rule.alias("rule"), F.lit(None).cast("int").alias("row_cells"), "text"))).alias("met"),
-        F.array_sort(F.collect_list(F.when(F.col("over"), F.struct("box", "x", "y")))).alias("over"), F.map_from_entries(F.collect_list(F.when(F.col("over"), F.struct("box", "text")))).alias("texts"), F.coalesce(F.max("cells"), F.lit(0)).alias("cells"),
+        F.filter(left, lambda b: ~F.array_contains(near, b["box"])).alias("over"), F.map_from_entries(F.collect_list(F.when(F.col("left"), F.struct("box", "text")))).alias("texts"), F.coalesce(F.max("cells"), F.lit(0)).alias("cells"),
     )
     rows = by_page.select(page, "met", "texts", "cells", _rows(F.col("over")).alias("rows"))
     heads = F.transform("rows", lambda r: F.transform(r, lambda b, i: F.struct(b.alias("box"), F.when(i == 0, F.size(r)).alias("row_cells"))))
@@ -74,7 +80,8 @@ def matches(boxes: DataFrame, cells: DataFrame, page: str = "page_id") -> DataFr
     common one).  3: each cell left takes the nearest box left.  4: boxes left over are dealt in rows to new cells,
     numbered behind the table's own; a row's first box says how many cells it has.  Cells are numbered from 0 by their
     key; cells whose corners add up to zero don't count.  ``boxes`` and ``cells`` have page, box_id and corners, keys
-    are distinct within a page, and pages are not null.
+    are distinct within a page, and pages are not null.  A task sorts all pairs of its pages: large tables should come
+    dealt by page in tasks of bounded size.
     """
     return _found(boxes, cells, page, F.lit(None).cast("string")).drop("text")
 

@@ -50,6 +50,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
 
 
+def page_tasks(rows: DataFrame) -> int:
+    """How many tasks ``rows`` are dealt to by page: the session's, or more where their number asks for more."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+
+
 def rounded(value: Column, places: int) -> Column:
     """A double rounded as SQL engines do that round it times a power of ten; ``round`` goes by its decimal digits, and they differ next to halves."""
     return F.round(value * F.lit(10.0**places)) / F.lit(10.0**places)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import table_tokens
 from quire.operators import table_matching
 from quire.plans.queries import _BOXES, _PAIRS, page_boxes
-from quire.plans.registry import registered, spread
+from quire.plans.registry import page_tasks, registered, spread
 
 QUERIES, SQL, query = registered()
 
@@ -72,14 +72,18 @@ matched AS MATERIALIZED (
   SELECT page_id, box_id, cell_id, 1 AS rule, CAST(NULL AS BIGINT) AS row_cells FROM first UNION ALL SELECT page_id, box_id, cell_id, 2, NULL FROM second UNION ALL SELECT page_id, box_id, cell_id, 3, NULL FROM third UNION ALL SELECT page_id, box_id, cell_id, 4, row_cells FROM fourth)"""
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = page_boxes(spark, sf_dir)
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in tasks of bounded size: what meets on a page is several times its rows, and is sorted by one window after another."""
+    return page_boxes(spark, sf_dir, page_tasks(spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+
+
+def _sides(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("kind = 'F'"), found.where("kind = 'O'")
 
 
 @query("table_rules", f"WITH RECURSIVE {_RULES} SELECT page_id, box_id, CAST(cell_id AS BIGINT) AS cell_id, rule, CAST(row_cells AS INTEGER) AS row_cells FROM matched")
 def table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_matching.matches(*_sides(spark, sf_dir))
+    return table_matching.matches(*_sides(_boxes(spark, sf_dir)))
 
 
 #: A page's tokens: head and body of plain cells, cut off before the end on two pages of three.
@@ -98,6 +102,7 @@ placed AS (SELECT page_id, ids, ts, toks[i] AS tok, i, CASE WHEN toks[i] LIKE '<
 put AS (SELECT page_id AS id, string_agg(CASE WHEN n IS NULL THEN replace(tok, '<eb></eb>', '<td></td>') ELSE replace(tok, '><', '>' || ts[list_position(ids, n)] || '<') END, '' ORDER BY i) AS html FROM placed WHERE n IS NULL OR (n < len(ids) AND list_contains(ids, n)) GROUP BY 1),
 {_bold('put')} SELECT id AS page_id, '<html><body><table>' || bold || '</table></body></html>' AS html FROM repaired""")
 def matched_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, cells = _sides(spark, sf_dir)
-    pages = page_boxes(spark, sf_dir).select("page_id").distinct().select("page_id", F.split(F.expr(_TOKENS), r"\|").alias("tokens"))
+    boxes = _boxes(spark, sf_dir)
+    found, cells = _sides(boxes)
+    pages = boxes.select("page_id").distinct().select("page_id", F.split(F.expr(_TOKENS), r"\|").alias("tokens"))
     return table_matching.tables(found.withColumn("text", F.expr(_BOX_TEXT.format(s="STRING"))), cells, pages)

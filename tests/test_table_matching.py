@@ -127,3 +127,17 @@ def test_parts_are_spread(spark, sf_dir):
 
     for rows in (labels.names, labels.id_rows, grids.spanned, structures.tables):
         assert rows(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_pages_are_dealt_by_their_rows(spark, sf_dir, monkeypatch):
+    """More rows are more tasks, not larger ones: pairs of a page's boxes and cells are sorted in memory."""
+    from quire.plans import registry, tables
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    for name in ("table_rules", "matched_tables"):
+        whole = sorted(tables.QUERIES[name](spark, sf_dir).collect(), key=str)
+        with monkeypatch.context() as m:
+            m.setattr(registry, "TASK_ROWS", 500)
+            dealt = tables.QUERIES[name](spark, sf_dir)
+            assert dealt.rdd.getNumPartitions() >= rows / 500 > spark.sparkContext.defaultParallelism
+            assert sorted(dealt.collect(), key=str) == whole
