@@ -24,8 +24,8 @@ def page_boxes(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> Da
     """Order lines as boxes on pages, dealt by page to ``tasks`` if given."""
     line = _read(spark, sf_dir, "lineitem")
     x1, y1 = (F.col("l_partkey") * 7) % 600, (F.col("l_suppkey") * 13 + F.col("l_linenumber") * 37) % 400
-    placed = line.withColumn("page_id", F.expr("l_orderkey div 4")).withColumn("x1", x1).withColumn("y1", y1)
-    placed = placed.repartition(tasks, "page_id") if tasks else placed
+    paged = line.withColumn("page_id", F.expr("l_orderkey div 4"))
+    placed = (paged.repartition(tasks, "page_id") if tasks else paged).withColumn("x1", x1).withColumn("y1", y1)
     order = Window.partitionBy("page_id").orderBy("y1", "x1", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")
     return placed.select(
         "page_id", F.row_number().over(order).cast("long").alias("box_id"), "x1", "y1", (F.col("x1") + 40 + F.col("l_quantity").cast("int") * 4).alias("x2"), (F.col("y1") + 20 + F.col("l_linenumber") * 2).alias("y2"),
